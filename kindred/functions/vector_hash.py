@@ -2,51 +2,48 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.plans.key_schemes import signed
+from kindred.plans.key_schemes import any_bit, signed
 from kindred.plans.thresholds import HASH_BITS
 
 
-def vector_median(vector: Column) -> Column:
-    """Middle of the 63 values that follow the first (DC) value."""
-    return F.sort_array(F.slice(vector, 2, 63))[31]
-
-
-def pack_bits(vector: Column, cut: Column) -> Column:
-    """Bit ``63 - i`` is set where ``vector[i] >= cut``.
-
-    Written out as 64 plain comparisons, which stay inside generated code;
-    ``transform``/``aggregate`` lambdas are interpreted element by element.
-    """
-    bits = [
-        F.when(vector[i] >= cut, F.lit(signed(1 << (HASH_BITS - 1 - i)))).otherwise(F.lit(0).cast("bigint"))
-        for i in range(HASH_BITS)
-    ]
-    while len(bits) > 1:
-        bits = [reduce(lambda a, b: a.bitwiseOR(b), bits[i : i + 2]) for i in range(0, len(bits), 2)]
-    return bits[0]
+def _bits(vector: str, cut: str, positions: range) -> Column:
+    """Bit ``63 - i`` is set where ``vector[i] >= cut``, for some ``i``."""
+    weight = {i: signed(1 << (HASH_BITS - 1 - i)) for i in positions}
+    return F.expr(any_bit([f"if(`{vector}`[{i}] >= `{cut}`, {w}L, 0L)" for i, w in weight.items()]))
 
 
 def hash_vectors(df: DataFrame, vector: str) -> DataFrame:
     """Add ``phash`` and ``error`` for the vectors in column ``vector``.
 
-    A missing vector or one that does not hold 64 values gets an error text
-    and no hash; it never stops the job.
+    The cut is the middle of the 63 values after the first.  A vector that is
+    missing or does not hold 64 numbers gets an error and no hash.
+
+    The comparisons are written out, because ``transform`` and ``aggregate``
+    lambdas are interpreted element by element; and in two steps of 32,
+    because one step would exceed the size of a method that the JVM compiles.
+    The test for null keeps the two steps apart, and ``inline`` keeps filters
+    on the result from copying the whole text once per use of the cut.
     """
-    v = F.col(vector)
-    error = F.when(v.isNull(), F.lit("no vector")).when(
-        F.size(v) != HASH_BITS, F.concat(F.lit("expected 64 values, found "), F.size(v).cast("string"))
-    )
+    first, others = f"`{vector}`[0]", f"sort_array(slice(`{vector}`, 2, {HASH_BITS - 1}))"
+    usable = f"""size(`{vector}`) = {HASH_BITS} and {first} is not null and not isnan({first})
+        and s[0] is not null and not isnan(s[{HASH_BITS - 2}])"""
+    cut = f"transform(array({others}), s -> struct(if({usable}, s[{(HASH_BITS - 2) // 2}], null) as _cut))"
+    error = f"""case when _cut is not null then null
+        when `{vector}` is null then 'no vector'
+        when size(`{vector}`) <> {HASH_BITS} then concat('expected {HASH_BITS} values, found ', size(`{vector}`))
+        else 'value missing or not a number' end"""
     return (
-        df.withColumn("error", error)
-        .withColumn("_cut", F.when(F.col("error").isNull(), vector_median(v)))
-        .withColumn("phash", F.when(F.col("error").isNull(), pack_bits(v, F.col("_cut"))))
-        .drop("_cut")
-    )
+        df.select("*", F.expr(f"inline({cut})"))
+        .withColumn("_low", F.when(F.col("_cut").isNotNull(), _bits(vector, "_cut", range(32, 64))))
+        .withColumns({
+            "phash": F.when(F.col("_low").isNotNull(), F.col("_low").bitwiseOR(_bits(vector, "_cut", range(32)))),
+            "error": F.expr(error),
+        })
+        .drop("_cut", "_low")
+    )
 
 
 def hex_hash(value: Column) -> Column:

@@ -20,8 +20,10 @@ def _relink(pairs: DataFrame, n_pairs: int, hot_rows: int, scratch: Scratch) ->
     Nodes with very many neighbours (at most ``2 * HOT_SHARE``) are joined by
     broadcast, so their neighbours are never shuffled to one task.
     """
-    lows = pairs.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("degree")).select(
-        "u", F.least("u", "low").alias("low"), "degree"
+    lows = (
+        pairs.groupBy("u")
+        .agg(F.min("v").alias("low"), F.count("*").alias("degree"))
+        .select("u", F.least("u", "low").alias("low"), "degree")
     )
     share = max(hot_rows, n_pairs // HOT_SHARE)
     if n_pairs <= share:
@@ -50,19 +52,20 @@ def large_star(edges: DataFrame, n_edges: int, hot_rows: int, scratch: Scratch)
     return linked.where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
 
 
-def _are_stars(edges: DataFrame) -> bool:
-    """Whether no node has two parents or is both child and parent."""
-    ends = F.array(
-        F.struct(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")),
-        F.struct(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent")),
-    )
-    return (
-        edges.select(F.explode(ends).alias("end"))
+def _shape(edges: DataFrame) -> tuple[bool, int]:
+    """Whether all components are stars, and the number of edges.
+
+    In a star no node has two parents or is both child and parent.
+    """
+    ends = F.expr("explode(array(struct(u as node, 1 as child, 0 as parent), struct(v as node, 0 as child, 1 as parent)))")
+    nodes = (
+        edges.select(ends.alias("end"))
         .groupBy("end.node")
         .agg(F.sum("end.child").alias("parents"), F.max("end.parent").alias("parent"))
-        .where("parents > 1 or (parents = 1 and parent = 1)")
-        .isEmpty()
     )
+    other = F.bool_or(F.expr("parents > 1 or (parents = 1 and parent = 1)"))
+    found = nodes.agg(F.coalesce(other, F.lit(False)), F.coalesce(F.sum("parents"), F.lit(0))).first()
+    return not found[0], found[1]
 
 
 def connected_components(
@@ -77,13 +80,12 @@ def connected_components(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(),
         "edges",
     )
-    steps = [small_star]
-    while True:
+    n_edges, steps, stars = edges.count(), [small_star], False
+    while not stars:
         for step in steps:
-            n_edges = edges.count()
             linked = scratch.keep(step(edges, n_edges, hot_rows, scratch), step.__name__)
             scratch.drop(edges)
             edges = linked
-        if _are_stars(edges):
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         steps = [large_star, small_star]
+        stars, n_edges = _shape(edges)
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -20,9 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.functions.bits import hamming
 from kindred.operators.skew import join_unique
-from kindred.plans.key_schemes import KeyScheme, choose_scheme, signed
+from kindred.plans.key_schemes import KeyScheme, any_bit, choose_scheme, long_array, signed
 from kindred.sources.scratch import Scratch
 
 
@@ -53,55 +52,38 @@ def distinct_hashes(images: DataFrame) -> DataFrame:
     return images.groupBy("phash").agg(F.min("image_id").alias("id"), F.count("*").alias("n"))
 
 
-def _long_array(values: tuple[int, ...]) -> Column:
-    return F.expr("array(" + ",".join(f"{signed(v)}L" for v in values) + ")")
-
-
-def _any_of(columns: list[Column]) -> Column:
-    """Bitwise or of the columns, as a balanced tree."""
-    while len(columns) > 1:
-        columns = [
-            reduce(lambda a, b: a.bitwiseOR(b), columns[i : i + 2]) for i in range(0, len(columns), 2)
-        ]
-    return columns[0]
-
-
 def with_keys(rows: DataFrame, scheme: KeyScheme, level: int = 1) -> DataFrame:
     """One row per key: adds ``no<level>`` (which key) and ``key<level>``."""
-    masks = F.posexplode(_long_array(scheme.key_masks)).alias(f"no{level}", "_mask")
+    masks = F.posexplode(F.expr(long_array(scheme.key_masks))).alias(f"no{level}", "_mask")
     return rows.select("*", masks).withColumn(
         f"key{level}", F.col("phash").bitwiseAND(F.col("_mask"))
     ).drop("_mask")
 
 
-def _owned(scheme: KeyScheme, difference: Column, no: Column) -> Column:
-    """Whether this key is the one that reports the pair."""
-    zero = F.lit(0).cast("bigint")
-    agreeing = _any_of(
-        [
-            F.when(difference.bitwiseAND(F.lit(signed(block))) == 0, F.lit(signed(block))).otherwise(zero)
-            for block in scheme.blocks
-        ]
+def _owned(scheme: KeyScheme, difference: str, no: str) -> str:
+    """SQL text: whether this key is the one that reports the pair."""
+    agreeing = any_bit(
+        [f"if(({difference} & {signed(b)}L) = 0L, {signed(b)}L, 0L)" for b in scheme.blocks]
     )
-    reach, mask = _long_array(scheme.reach_masks), _long_array(scheme.key_masks)
-    return agreeing.bitwiseAND(reach[no]) == mask[no]
+    reach, mask = long_array(scheme.reach_masks), long_array(scheme.key_masks)
+    return f"({agreeing} & {reach}[{no}]) = {mask}[{no}]"
 
 
 def _join_keyed(left: DataFrame, right: DataFrame, schemes: list[KeyScheme], distance: int) -> DataFrame:
     """Verified pairs of two keyed tables, each reported by one key."""
-    keys = [c for level in range(1, len(schemes) + 1) for c in (f"no{level}", f"key{level}")]
-    x, y = left.alias("x"), right.alias("y")
-    once = (F.col("x.phash") < F.col("y.phash")) | ~F.col("y.fresh")
-    difference = F.col("x.phash").bitwiseXOR(F.col("y.phash"))
-    met = reduce(lambda p, q: p & q, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in keys])
-    near = met & once & (F.bit_count(difference) <= distance)
+    difference = "(x.phash ^ y.phash)"
+    tests = []
+    for level in range(1, len(schemes) + 1):
+        tests += [f"x.no{level} = y.no{level}", f"x.key{level} = y.key{level}"]
+    tests += ["(x.phash < y.phash or not y.fresh)", f"bit_count({difference}) <= {distance}"]
     for level, scheme in enumerate(schemes, start=1):
         if len(scheme.key_masks) > 1:
-            near = near & _owned(scheme, difference, F.col(f"x.no{level}"))
-    return x.join(y, near).select(
-        F.least("x.id", "y.id").alias("a"),
-        F.greatest("x.id", "y.id").alias("b"),
-        hamming(F.col("x.phash"), F.col("y.phash")).cast("bigint").alias("distance"),
+            tests.append(_owned(scheme, difference, f"x.no{level}"))
+    x, y = left.alias("x"), right.alias("y")
+    return x.join(y, F.expr(" and ".join(tests))).selectExpr(
+        "least(x.id, y.id) as a",
+        "greatest(x.id, y.id) as b",
+        f"cast(bit_count({difference}) as bigint) as distance",
     )
 
 

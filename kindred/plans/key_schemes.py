@@ -28,6 +28,18 @@ def signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
+def any_bit(terms: list[str]) -> str:
+    """SQL text for the bitwise or of the terms, as a balanced tree."""
+    while len(terms) > 1:
+        terms = [f"({' | '.join(terms[i : i + 2])})" for i in range(0, len(terms), 2)]
+    return terms[0]
+
+
+def long_array(values: tuple[int, ...]) -> str:
+    """SQL text for an array literal of 64-bit masks."""
+    return "array(" + ", ".join(f"{signed(v)}L" for v in values) + ")"
+
+
 @dataclass(frozen=True)
 class KeyScheme:
     """Blocks (bit masks) and the number of them that must agree."""
