@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from importlib.util import find_spec
@@ -107,8 +108,10 @@ def decoded_images(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     Rows that cannot be decoded have a height of -1.
     """
     image = spark.read.format("image").option("recursiveFileLookup", "true").load(paths)
+    # The source gives the path as an encoded URI.
+    origin = F.url_decode(F.replace(F.col("image.origin"), F.lit("+"), F.lit("%2B")))
     return image.select(
-        F.col("image.origin").alias("path"),
+        origin.alias("path"),
         F.col("image.height").alias("height"),
         F.col("image.width").alias("width"),
         F.col("image.nChannels").alias("channels"),
@@ -148,7 +151,8 @@ def hash_files_jvm(spark: SparkSession, files: DataFrame, root: str) -> DataFram
     few = listed.select("path").limit(LISTED_PATHS + 1).collect()
     if not few:
         return spark.createDataFrame([], FINGERPRINT_SCHEMA)
-    where = [row.path for row in few] if len(few) <= LISTED_PATHS else root
+    literal = [re.sub(r"([\[\]{}*?\\])", r"\\\1", row.path) for row in few]
+    where = literal if len(few) <= LISTED_PATHS else root
     with few_listing_tasks(spark):
         decoded = decoded_images(spark, where)
     decoded = decoded.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))

@@ -125,8 +125,8 @@ def list_images_hadoop(spark: SparkSession, root: str) -> DataFrame:
     """The same columns from Spark's own file index, for any Hadoop file system.
 
     Content is not read.  The index lives on the driver, skips names that
-    start with ``.`` or ``_`` and has milliseconds only, so prefer
-    :func:`list_images` where executors can reach the files.
+    start with ``.`` or ``_``, enters linked folders and has milliseconds
+    only, so prefer :func:`list_images` where executors can reach the files.
     """
     found = (
         spark.read.format("binaryFile")

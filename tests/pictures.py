@@ -39,10 +39,10 @@ def read_png(content: bytes) -> np.ndarray:
 def smooth(seed: int, side: int = 64) -> np.ndarray:
     """A smooth random picture of the given size."""
     rng = np.random.default_rng(seed)
-    y, x = np.mgrid[0:side, 0:side] / side
+    y, x = (np.mgrid[0:side, 0:side] + 0.5) / side
     total = np.zeros((side, side))
-    for u in range(5):
-        for v in range(5):
+    for u in range(8):
+        for v in range(8):
             total += rng.normal() * np.cos(np.pi * u * x) * np.cos(np.pi * v * y)
     total -= total.min()
     return (40 + 160 * total / total.max()).astype(np.uint8)
