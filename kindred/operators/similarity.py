@@ -4,14 +4,15 @@ The rows are ``id, phash, fresh`` with distinct ``phash``; rows of one old
 group may share an ``id``.  A pair is looked for when at least one side is
 fresh: all rows are fresh in a full build, only the pending ones in an
 incremental run.  Pairs meet by equi-join on block keys
-(``plans.key_schemes``).  Buckets that hold too many rows are keyed a second
-time with other blocks, and what is still too large after that is compared in
-tiles of bounded size that are spread over the cluster.  Every way is exact.
+(``plans.key_schemes``).  Small buckets are joined row by row.  Larger ones
+are compared as arrays, in tiles of bounded size that are spread over the
+cluster, which is many times faster per comparison.  Very large ones are first
+keyed a second time with other blocks.  Every way is exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.operators.skew import join_unique
-from kindred.plans.key_schemes import KeyScheme, any_bit, choose_scheme, long_array, signed
+from kindred.plans.key_schemes import TILE_FROM, KeyScheme, any_bit, choose_scheme, long_array, signed
 from kindred.sources.scratch import Scratch
 
 
@@ -29,16 +30,20 @@ from kindred.sources.scratch import Scratch
 class JoinLimits:
     """Sizes at which the join changes its physical form."""
 
-    # Key rows of the fresh side that may be broadcast (about 40 bytes each).
+    # Key rows of the fresh side that may be broadcast (about 40 bytes each),
+    # and rows of it that one key may meet.
     broadcast_keys: int = 500_000
-    # Rows of one bucket that are joined directly.
-    bucket_rows: int = 4096
-    # Number of hot buckets that may be broadcast.
-    hot_buckets: int = 1_000_000
+    broadcast_bucket: int = 1000
+    # Rows of one bucket that are joined row by row, and in tiles.
+    bucket_rows: int = TILE_FROM
+    rekey_rows: int = 200_000
+    # Number of larger buckets that may be broadcast.
+    large_buckets: int = 1_000_000
     # Rows on each side of one tile.
     tile_rows: int = 8192
-    # Comparisons and key rows that one task should get.
+    # Comparisons (row by row, in tiles) and key rows that one task should get.
     task_comparisons: int = 5_000_000
+    task_tile_comparisons: int = 5_000_000_000
     task_keys: int = 2_000_000
     # Tables up to this size are spread anew when they sit in few partitions.
     respread_rows: int = 5_000_000
@@ -47,6 +52,12 @@ class JoinLimits:
 DEFAULT_LIMITS = JoinLimits()
 
 
+# What a row does in a tile.
+BOTH, PROBE, OTHER = 0, 1, 2
+# Comparisons done by one NumPy call; small enough for the caches.
+BLOCK_COMPARISONS = 131_072
+
+
 def distinct_hashes(images: DataFrame) -> DataFrame:
     """One row per fingerprint: ``phash``, smallest ``id``, copies ``n``."""
     return images.groupBy("phash").agg(F.min("image_id").alias("id"), F.count("*").alias("n"))
@@ -87,6 +98,28 @@ def _join_keyed(left: DataFrame, right: DataFrame, schemes: list[KeyScheme], dis
     )
 
 
+def _close(left: np.ndarray, right: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Places in ``left`` and ``right``, and distances, of the close pairs, by blocks."""
+    if not len(left) or not len(right):
+        return
+    # Tests are read eight at a time, since almost all of them fail.
+    width = -(-len(right) // 8) * 8
+    padded = np.resize(right, width)
+    step = max(1, BLOCK_COMPARISONS // width)
+    difference = np.empty((step, width), dtype=np.uint64)
+    apart, near = np.empty((step, width), dtype=np.uint8), np.empty((step, width), dtype=bool)
+    for start in range(0, len(left), step):
+        rows = min(step, len(left) - start)
+        np.bitwise_xor(left[start : start + rows, None], padded[None, :], out=difference[:rows])
+        np.bitwise_count(difference[:rows], out=apart[:rows])
+        np.less_equal(apart[:rows], distance, out=near[:rows])
+        eights = np.flatnonzero(near[:rows].reshape(-1).view(np.uint64))
+        at = (eights[:, None] * 8 + np.arange(8)).reshape(-1)
+        at = at[near.reshape(-1)[at] & (at % width < len(right))]
+        if len(at):
+            yield start + at // width, at % width, apart.reshape(-1)[at]
+
+
 def _tile_function(schemes: list[KeyScheme], distance: int, forest: bool) -> Callable:
     """Function that compares the two sides of one tile.
 
@@ -98,87 +131,106 @@ def _tile_function(schemes: list[KeyScheme], distance: int, forest: bool) -> Cal
     masks = [s.key_masks for s in schemes]
     reaches = [s.reach_masks for s in schemes]
 
-    def owned(pdf: pd.DataFrame, difference: np.ndarray) -> np.ndarray:
+    def bits(rows: pd.DataFrame) -> np.ndarray:
+        return rows["phash"].to_numpy().view(np.uint64)
+
+    def owned(numbers: list[int], difference: np.ndarray) -> np.ndarray:
         keep = np.ones(len(difference), dtype=bool)
-        for level, block in enumerate(blocks):
-            no = int(pdf[f"no{level + 1}"].iloc[0])
+        for no, block, mask, reach in zip(numbers, blocks, masks, reaches):
             equal = np.where(difference[:, None] & block[None, :], np.uint64(0), block[None, :])
             agreeing = np.bitwise_or.reduce(equal, axis=1)
-            keep &= (agreeing & np.uint64(reaches[level][no])) == np.uint64(masks[level][no])
+            keep &= (agreeing & np.uint64(reach[no])) == np.uint64(mask[no])
         return keep
 
-    def pairs(pdf: pd.DataFrame, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        right_id, right_hash = right["id"].to_numpy(), right["phash"].to_numpy()
-        right_bits, right_old = right_hash.view(np.uint64), ~right["fresh"].to_numpy(dtype=bool)
-        for image, value in zip(left["id"].to_numpy(), left["phash"].to_numpy()):
-            difference = right_bits ^ np.array(value).view(np.uint64)
-            apart = np.bitwise_count(difference)
-            hit = np.flatnonzero((apart <= distance) & ((right_hash > value) | right_old))
-            hit = hit[owned(pdf, difference[hit])]
-            if len(hit):
-                found.append(pd.DataFrame({
-                    "a": np.minimum(image, right_id[hit]),
-                    "b": np.maximum(image, right_id[hit]),
-                    "distance": apart[hit].astype(np.int64),
-                }))
-        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": [], "distance": []})
-
-    def links(pdf: pd.DataFrame, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def pairs(numbers: list[int], left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left_bits, right_bits = bits(left), bits(right)
+        left_id, right_id = left["id"].to_numpy(), right["id"].to_numpy()
+        left_hash, right_hash = left["phash"].to_numpy(), right["phash"].to_numpy()
+        right_old = ~right["fresh"].to_numpy(dtype=bool)
+        found = [np.empty((0, 3), dtype=np.int64)]
+        for i, j, apart in _close(left_bits, right_bits, distance):
+            mine = np.flatnonzero((left_hash[i] < right_hash[j]) | right_old[j])
+            if len(mine):
+                i, j, apart = i[mine], j[mine], apart[mine]
+                mine = owned(numbers, left_bits[i] ^ right_bits[j])
+                x, y = left_id[i[mine]], right_id[j[mine]]
+                found.append(np.column_stack([np.minimum(x, y), np.maximum(x, y), apart[mine].astype(np.int64)]))
+        return pd.DataFrame(np.concatenate(found), columns=["a", "b", "distance"])
+
+    def links(numbers: list[int], left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         nodes = pd.concat([left, right]).drop_duplicates("phash").sort_values(["id", "phash"])
-        ids, bits = nodes["id"].to_numpy(), nodes["phash"].to_numpy().view(np.uint64)
-        place = pd.Series(np.arange(len(nodes)), index=nodes["phash"])
-        right_at = place[right["phash"]].to_numpy()
-        right_bits = bits[right_at]
+        ids, place = nodes["id"].to_numpy(), pd.Series(np.arange(len(nodes)), index=nodes["phash"])
+        left_at, right_at = place[left["phash"]].to_numpy(), place[right["phash"]].to_numpy()
         label = np.arange(len(nodes))
-        for at in place[left["phash"]].to_numpy():
-            near = right_at[np.bitwise_count(right_bits ^ bits[at]) <= distance]
-            joined = np.unique(np.append(label[near], label[at]))
-            if len(joined) > 1:
-                label[np.isin(label, joined)] = joined[0]
+        for i, j, _ in _close(bits(left), bits(right), distance):
+            ends = np.column_stack([label[left_at[i]], label[right_at[j]]])
+            ends = ends[ends[:, 0] != ends[:, 1]]
+            if not len(ends):
+                continue
+            for x, y in np.unique(np.sort(ends, axis=1), axis=0).tolist():
+                while label[x] != x:
+                    x = label[x]
+                while label[y] != y:
+                    y = label[y]
+                label[max(x, y)] = min(x, y)
+            while (label[label] != label).any():
+                label = label[label]
         moved = np.flatnonzero(ids[label] != ids)
         return pd.DataFrame({"a": ids[label[moved]], "b": ids[moved], "distance": np.int64(0)})
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        probe = pdf["probe"].to_numpy(dtype=bool)
-        return (links if forest else pairs)(pdf, pdf[probe], pdf[~probe])
+    def compare(tile: pd.DataFrame) -> pd.DataFrame:
+        role, fresh = tile["role"].to_numpy(), tile["fresh"].to_numpy(dtype=bool)
+        numbers = [int(tile[f"no{level}"].iloc[0]) for level in range(1, len(schemes) + 1)]
+        return (links if forest else pairs)(numbers, tile[fresh & (role != OTHER)], tile[role != PROBE])
 
     return compare
 
 
-def _tiles(rows: DataFrame, hot: DataFrame, schemes: list[KeyScheme], distance: int,
+def _key_columns(level: int) -> list[str]:
+    return [c for at in range(1, level + 1) for c in (f"no{at}", f"key{at}")]
+
+
+def _tiles(rows: DataFrame, large: DataFrame, schemes: list[KeyScheme], distance: int,
            forest: bool, limits: JoinLimits) -> DataFrame:
-    """Pairs of oversized buckets, compared in a grid of bounded tiles."""
-    keys = [c for level in range(1, len(schemes) + 1) for c in (f"no{level}", f"key{level}")]
-    across = F.ceil(F.col("n_fresh") / limits.tile_rows)
-    down = F.ceil(F.col("n_rows") / limits.tile_rows)
-    copies = hot.agg(F.sum(F.col("n_rows") * across + F.col("n_fresh") * down)).first()[0]
-    grid = hot.select(*keys, across.alias("_across"), down.alias("_down"))
-    sized = rows.join(F.broadcast(grid), keys)
-    place = F.xxhash64("phash")
-    probes = sized.where("fresh").select(
-        *keys, "id", "phash", "fresh", F.lit(True).alias("probe"),
-        F.pmod(place, F.col("_across")).alias("_i"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_down") - 1)).alias("_j"),
-    )
-    others = sized.select(
-        *keys, "id", "phash", "fresh", F.lit(False).alias("probe"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_across") - 1)).alias("_i"),
-        F.pmod(place, F.col("_down")).alias("_j"),
+    """Pairs of larger buckets, compared in a grid of bounded tiles.
+
+    A bucket that fits one tile is sent once.  In a larger one every probe
+    meets every column of the grid, and every row meets every line.
+    """
+    keys = _key_columns(len(schemes))
+    grid = large.select(
+        *keys, "n_rows", "n_fresh",
+        F.expr(f"ceil(n_fresh / {limits.tile_rows})").alias("_across"),
+        F.expr(f"ceil(n_rows / {limits.tile_rows})").alias("_down"),
     )
+    sent, comparisons = grid.agg(
+        F.sum(F.expr("if(_down = 1, n_rows, n_rows * _across + n_fresh * _down)")), F.sum(F.expr("n_rows * n_fresh"))
+    ).first()
+    tasks = max(sent // limits.task_keys, comparisons // limits.task_tile_comparisons)
+    cells = F.expr(f"""
+        if(_down = 1, array(struct({BOTH} as role, 0L as _i, 0L as _j)), concat(
+          if(fresh, transform(sequence(0L, _down - 1),
+                              j -> struct({PROBE} as role, pmod(xxhash64(phash), _across) as _i, j as _j)), array()),
+          transform(sequence(0L, _across - 1),
+                    i -> struct({OTHER} as role, i as _i, pmod(xxhash64(phash), _down) as _j))))""")
+    placed = (
+        rows.join(F.broadcast(grid.drop("n_rows", "n_fresh")), keys)
+        .select(*keys, "id", "phash", "fresh", F.explode(cells).alias("c"))
+        .select(*keys, "id", "phash", "fresh", "c.role", "c._i", "c._j")
+    )
+    place = [*keys, "_i", "_j"]
     return (
-        _spread(probes.unionByName(others), [*keys, "_i", "_j"], int(copies), limits)
-        .groupBy(*keys, "_i", "_j")
+        _spread(placed, place, tasks)
+        .groupBy(*place)
         .applyInPandas(_tile_function(schemes, distance, forest), "a bigint, b bigint, distance bigint")
     )
 
 
-def _spread(keyed: DataFrame, keys: list[str], n_keys: int, limits: JoinLimits) -> DataFrame:
-    """Partition by key with enough tasks for ``n_keys`` rows."""
-    wanted = n_keys // limits.task_keys
-    if wanted <= int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+def _spread(keyed: DataFrame, keys: list[str], tasks: float) -> DataFrame:
+    """Partition by key where the session's number of partitions is too small."""
+    if tasks <= int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")):
         return keyed
-    return keyed.repartition(int(wanted), *keys)
+    return keyed.repartition(int(tasks), *keys)
 
 
 def _search(rows: DataFrame, distance: int, scratch: Scratch, forest: bool, limits: JoinLimits) -> DataFrame:
@@ -188,7 +240,8 @@ def _search(rows: DataFrame, distance: int, scratch: Scratch, forest: bool, limi
         return spark.createDataFrame([], "a bigint, b bigint, distance bigint")
     scheme = choose_scheme(distance, n_fresh, n_rows)
     n_masks = len(scheme.key_masks)
-    if n_fresh * n_masks <= limits.broadcast_keys:
+    met = n_fresh * scheme.hit_rate() / n_masks
+    if n_fresh * n_masks <= limits.broadcast_keys and met <= limits.broadcast_bucket:
         # The fresh keys are counted, so this broadcast has a known bound; the
         # other side streams past it without a shuffle.
         work = n_fresh * n_rows * scheme.hit_rate() / limits.task_comparisons
@@ -196,40 +249,43 @@ def _search(rows: DataFrame, distance: int, scratch: Scratch, forest: bool, limi
         side = rows.repartition(tasks, "phash") if 1 < tasks and n_rows <= limits.respread_rows else rows
         probes = F.broadcast(with_keys(rows.where("fresh"), scheme))
         return _join_keyed(probes, with_keys(side, scheme), [scheme], distance)
-
-    found, schemes = [], [scheme]
-    keyed = with_keys(rows, scheme)
-    n_keys, probes, others = n_rows * n_masks, n_fresh, n_rows
-    for level in (1, 2):
-        keys = [c for at in range(1, level + 1) for c in (f"no{at}", f"key{at}")]
-        usual = others * schemes[-1].hit_rate() / len(schemes[-1].key_masks)
-        limit = int(max(limits.bucket_rows, 4 * usual, n_keys / limits.hot_buckets))
-        hot = None
-        if others > limit:
-            hot = scratch.keep(
-                keyed.groupBy(*keys)
-                .agg(F.count("*").alias("n_rows"), F.count_if(F.col("fresh")).alias("n_fresh"))
-                .where((F.col("n_rows") > limit) & (F.col("n_fresh") > 0)),
-                "hot",
-            )
-            most = hot.agg(F.max("n_rows"), F.max("n_fresh"), F.sum("n_rows")).first()
-            if most[0] is None:
-                hot = None
-        small = keyed if hot is None else keyed.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-        small = _spread(small, keys, n_keys, limits).hint("merge")
-        left = small if n_fresh == n_rows else small.where("fresh")
-        found.append(_join_keyed(left, small, list(schemes), distance))
-        if hot is None:
-            break
-        crowded = keyed.join(F.broadcast(hot.select(*keys)), keys, "left_semi")
-        if level == 2:
-            found.append(_tiles(crowded, hot, list(schemes), distance, forest, limits))
-            break
-        others, probes = most[0], most[1]
-        schemes.append(choose_scheme(distance, probes, others, strided=True))
-        keyed = with_keys(scratch.keep(crowded, "crowded"), schemes[-1], level=2)
-        n_keys = most[2] * len(schemes[-1].key_masks)
-    return reduce(DataFrame.unionByName, found)
+    all_fresh = n_fresh == n_rows
+    return _search_keyed(with_keys(rows, scheme), [scheme], n_rows, n_rows * n_masks, all_fresh,
+                         distance, scratch, forest, limits)
+
+
+def _search_keyed(keyed: DataFrame, schemes: list[KeyScheme], most: int, n_keys: int, all_fresh: bool,
+                  distance: int, scratch: Scratch, forest: bool, limits: JoinLimits) -> DataFrame:
+    """Pairs of keyed rows; no bucket has more than ``most`` of the ``n_keys`` rows."""
+    keys = _key_columns(len(schemes))
+    # At most ``large_buckets`` buckets exceed this, so their list can be broadcast.
+    limit = int(max(limits.bucket_rows, n_keys / limits.large_buckets))
+    small, found = keyed, []
+    if most > limit:
+        large = scratch.keep(
+            keyed.groupBy(*keys)
+            .agg(F.count("*").alias("n_rows"), F.count_if(F.col("fresh")).alias("n_fresh"))
+            .where((F.col("n_rows") > limit) & (F.col("n_fresh") > 0)),
+            "large",
+        )
+        last = len(schemes) == 2
+        tiled = large if last else large.where(F.col("n_rows") <= limits.rekey_rows)
+        if not tiled.isEmpty():
+            found.append(_tiles(keyed, tiled, schemes, distance, forest, limits))
+        huge = large.where(F.col("n_rows") > limits.rekey_rows)
+        size = None if last else huge.agg(F.max("n_rows"), F.max("n_fresh"), F.sum("n_rows")).first()
+        if size and size[0] is not None:
+            crowded = keyed.join(F.broadcast(huge.select(*keys)), keys, "left_semi")
+            finer = choose_scheme(distance, size[1], size[0], strided=True)
+            n_finer = size[2] * len(finer.key_masks)
+            found.append(_search_keyed(
+                with_keys(scratch.keep(crowded, "crowded"), finer, level=2), [*schemes, finer], size[0], n_finer,
+                all_fresh, distance, scratch, forest, limits,
+            ))
+        small = keyed.join(F.broadcast(large.select(*keys)), keys, "left_anti")
+    small = _spread(small, keys, n_keys // limits.task_keys).hint("merge")
+    left = small if all_fresh else small.where("fresh")
+    return reduce(DataFrame.unionByName, found, _join_keyed(left, small, schemes, distance))
 
 
 def similar_pairs(rows: DataFrame, distance: int, scratch: Scratch,

@@ -16,9 +16,15 @@ from math import comb
 
 from kindred.plans.thresholds import HASH_BITS
 
-# Cost of moving one key row through explode, shuffle and sort, in units of
-# one fingerprint comparison (measured with bench.py --tune).
+# Costs in units of one comparison of two joined rows, as measured: moving one
+# key row through explode, shuffle and sort; handing it to a tile; one
+# comparison in a tile; and one tile.
 KEY_ROW_COST = 200
+TILE_ROW_COST = 600
+TILE_COMPARISON_COST = 0.1
+TILE_COST = 40_000
+# Bucket size from which a tile is cheaper than joined rows.
+TILE_FROM = 1500
 # Longest list of masks put in one plan.
 MAX_KEYS = 5000
 
@@ -69,6 +75,17 @@ class KeyScheme:
         """Expected key matches of one pair of uniform hashes."""
         return sum(2.0 ** -mask.bit_count() for mask in self.key_masks)
 
+    def cost(self, probes: int, rows: int) -> float:
+        """Estimated cost to compare ``probes`` with ``rows`` uniform hashes."""
+        n_keys = len(self.key_masks)
+        key_rows, comparisons = (probes + rows) * n_keys, probes * rows * self.hit_rate()
+        if rows * self.hit_rate() / n_keys <= TILE_FROM:
+            return key_rows * KEY_ROW_COST + comparisons
+        tiles = sum(2.0 ** mask.bit_count() for mask in self.key_masks)
+        return (
+            key_rows * (KEY_ROW_COST + TILE_ROW_COST) + comparisons * TILE_COMPARISON_COST + tiles * TILE_COST
+        )
+
 
 def contiguous_blocks(count: int) -> tuple[int, ...]:
     """``count`` runs of neighbouring bits, most significant first."""
@@ -92,7 +109,7 @@ def choose_scheme(distance: int, probes: int, rows: int, strided: bool = False)
         if n_keys > MAX_KEYS:
             break
         scheme = KeyScheme(layout(distance + agree), agree)
-        cost = (probes + rows) * n_keys * KEY_ROW_COST + probes * rows * scheme.hit_rate()
+        cost = scheme.cost(probes, rows)
         if cost < best_cost:
             best, best_cost = scheme, cost
     return best

@@ -22,8 +22,8 @@ from kindred.plans.thresholds import check_threshold, max_distance
 # Limits that force each physical form on small data.
 BROADCAST = JoinLimits()
 SHUFFLED = JoinLimits(broadcast_keys=0)
-REKEYED = JoinLimits(broadcast_keys=0, bucket_rows=8, task_keys=2_000)
-TILED = JoinLimits(broadcast_keys=0, bucket_rows=1, tile_rows=16)
+REKEYED = JoinLimits(broadcast_keys=0, bucket_rows=8, rekey_rows=8, tile_rows=16, task_keys=2_000)
+TILED = JoinLimits(broadcast_keys=0, bucket_rows=1, tile_rows=16, task_tile_comparisons=500)
 FORMS = {"broadcast": BROADCAST, "shuffled": SHUFFLED, "rekeyed": REKEYED, "tiled": TILED}
 
 
