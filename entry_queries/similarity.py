@@ -77,14 +77,17 @@ def candidate_pairs_95(spark, sf_dir):
 
 def similar_pairs(threshold):
     def query(spark, sf_dir):
-        pairs = similarity.similar_images(hashed_variants(spark, sf_dir), max_distance(threshold), Scratch(spark))
+        scratch = Scratch(spark)
+        hashes = scratch.keep(hashed_variants(spark, sf_dir), "hashes")
+        pairs = similarity.similar_images(hashes, max_distance(threshold), scratch)
         return pairs.withColumn("similarity", similarity_column(F.col("distance")))
 
     return query
 
 
 def _clustered(spark, sf_dir, threshold, scratch):
-    return clustering.cluster(hashed_variants(spark, sf_dir), threshold, scratch)
+    hashes = scratch.keep(hashed_variants(spark, sf_dir), "hashes")
+    return clustering.cluster(hashes, threshold, scratch)
 
 
 def components(threshold):
