@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-from functools import lru_cache
 
 import numpy as np
 
@@ -15,7 +14,6 @@ GREY_WEIGHTS = (19595, 38470, 7471)
 LANCZOS_RADIUS = 3.0
 
 
-@lru_cache(maxsize=1)
 def cosine_rows() -> np.ndarray:
     """The first 8 rows of the orthonormal 32-point DCT-II."""
     u, x = np.meshgrid(np.arange(KEPT), np.arange(SIDE), indexing="ij")
@@ -36,16 +34,22 @@ def hash_blocks(blocks: np.ndarray) -> np.ndarray:
     return np.where(values >= cut, weights, np.uint64(0)).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-@lru_cache(maxsize=256)
+# Weights by length, kept per worker for the lengths seen last.
+RESIZE_ROWS: dict[int, np.ndarray] = {}
+RESIZE_KEPT = 64
+
+
 def resize_rows(length: int) -> np.ndarray:
     """32 x ``length`` matrix of antialiased Lanczos weights."""
-    scale = length / SIDE
-    stretch = max(scale, 1.0)
-    centre = (np.arange(SIDE)[:, None] + 0.5) * scale
-    at = np.arange(length)[None, :] + 0.5
-    t = (at - centre) / stretch
-    weights = np.where(np.abs(t) < LANCZOS_RADIUS, np.sinc(t) * np.sinc(t / LANCZOS_RADIUS), 0.0)
-    return weights / weights.sum(axis=1, keepdims=True)
+    if length not in RESIZE_ROWS:
+        scale = length / SIDE
+        centre = (np.arange(SIDE)[:, None] + 0.5) * scale
+        t = (np.arange(length)[None, :] + 0.5 - centre) / max(scale, 1.0)
+        weights = np.where(np.abs(t) < LANCZOS_RADIUS, np.sinc(t) * np.sinc(t / LANCZOS_RADIUS), 0.0)
+        if len(RESIZE_ROWS) >= RESIZE_KEPT:
+            RESIZE_ROWS.clear()
+        RESIZE_ROWS[length] = weights / weights.sum(axis=1, keepdims=True)
+    return RESIZE_ROWS[length]
 
 
 def _to_bytes(values: np.ndarray) -> np.ndarray:

@@ -17,7 +17,7 @@ from kindred.sources.scratch import Scratch
 def _relink(pairs: DataFrame, n_pairs: int, hot_rows: int, scratch: Scratch) -> DataFrame:
     """``u, v, low`` where ``low`` is the smallest of ``u`` and its ``v``.
 
-    Nodes with very many neighbours (at most ``2 * HOT_SHARE``) are joined by
+    Nodes with very many neighbours (at most ``HOT_SHARE``) are joined by
     broadcast, so their neighbours are never shuffled to one task.
     """
     lows = (

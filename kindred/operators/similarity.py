@@ -130,6 +130,7 @@ def _tile_function(schemes: list[KeyScheme], distance: int, forest: bool) -> Cal
     blocks = [np.array(s.blocks, dtype=np.uint64) for s in schemes]
     masks = [s.key_masks for s in schemes]
     reaches = [s.reach_masks for s in schemes]
+    levels = range(1, len(schemes) + 1)
 
     def bits(rows: pd.DataFrame) -> np.ndarray:
         return rows["phash"].to_numpy().view(np.uint64)
@@ -180,7 +181,7 @@ def _tile_function(schemes: list[KeyScheme], distance: int, forest: bool) -> Cal
 
     def compare(tile: pd.DataFrame) -> pd.DataFrame:
         role, fresh = tile["role"].to_numpy(), tile["fresh"].to_numpy(dtype=bool)
-        numbers = [int(tile[f"no{level}"].iloc[0]) for level in range(1, len(schemes) + 1)]
+        numbers = [int(tile[f"no{level}"].iloc[0]) for level in levels]
         return (links if forest else pairs)(numbers, tile[fresh & (role != OTHER)], tile[role != PROBE])
 
     return compare
