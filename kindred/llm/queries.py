@@ -10,6 +10,7 @@ from kindred.llm.exact_dedup import exact_duplicates
 from kindred.llm.packing import best_fit_packing
 from kindred.llm.quality_rules import quality_rules
 from kindred.llm.simhash_links import near_duplicates
+from kindred.llm.substring_dedup import repeated_substrings
 from kindred.sources.scratch import Scratch
 
 
@@ -38,6 +39,27 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_substrings(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
+OP8_SQL = r"""
+with w as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda x: x <> '') as words
+  from documents),
+s as (select doc_id, unnest(range(1, len(words) - 33)) as i, words from w where len(words) >= 35),
+h as (select doc_id, i, array_to_string(words[i:i + 34], ' ') as win from s),
+r as (select doc_id, i from (select *, count(*) over (partition by win) as n from h) where n > 1),
+g as (select distinct doc_id, i + k as at from r, range(35) t(k)),
+p as (select doc_id, words, unnest(range(1, len(words) + 1)) as at from w),
+k as (select p.doc_id, string_agg(words[p.at], ' ' order by p.at) as kept, count(*) as n
+      from p left join g on p.doc_id = g.doc_id and p.at = g.at where g.at is null group by p.doc_id)
+select w.doc_id, len(words)::bigint as n_words, (len(words) - coalesce(n, 0))::bigint as n_removed,
+       sha256(coalesce(kept, '')) as kept_sha256
+from w left join k on w.doc_id = k.doc_id
+"""
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -50,6 +72,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op6_exact_dedup": (op6_exact_dedup, OP6_SQL),
     "op7_quality_rules": (op7_quality_rules, None),
+    "op8_substring_dedup": (op8_substring_dedup, OP8_SQL),
     "op9_simhash": (op9_simhash, None),
     "op10_packing": (op10_packing, None),
 }
