@@ -9,12 +9,14 @@ as the ``docs`` of the next one.  All but the last return the columns of
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kindred.llm.exact_dedup import drop_exact_duplicates
 from kindred.llm.packing import best_fit_packing
 from kindred.llm.quality_rules import good_documents
 from kindred.llm.queries import tokenizer_path
 from kindred.llm.simhash_links import drop_near_duplicates
+from kindred.llm.substring_dedup import drop_repeated_substrings
 from kindred.sources.scratch import Scratch
 
 
@@ -33,6 +35,12 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near_duplicates(docs, Scratch(spark))
 
 
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without the passages that repeat."""
+    kept = drop_repeated_substrings(docs, Scratch(spark))
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their place in sequences."""
     return best_fit_packing(docs, Scratch(spark), tokenizer_path("word_bpe_49k.json"))
@@ -42,6 +50,7 @@ STAGES = [
     ("quality_rules", quality_stage),
     ("exact_dedup", exact_stage),
     ("simhash", near_stage),
+    ("substring_dedup", substring_stage),
     ("packing", packing_stage),
 ]
 
