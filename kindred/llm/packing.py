@@ -35,8 +35,8 @@ END_ID = 1
 # Fillings looked at per step before the best one so far is taken.
 SEARCH_NODES = 2000
 # Words that a Python worker remembers, and words looked up at once.
-KNOWN_WORDS = 400_000
-WORDS_AT_ONCE = 200_000
+KNOWN_WORDS = 1_000_000
+WORDS_AT_ONCE = 400_000
 ROWS_PER_SALT, LEAST_SALTS = 20_000, 32
 
 # A word that cannot be part of another one marks the ends of words.
@@ -59,30 +59,29 @@ class WordIds:
 
     def _clear(self) -> None:
         self._number: dict[bytes, int] = {}
-        self._ids = [np.zeros(0, np.uint32)]
         self._flat = np.zeros(0, np.uint32)
         self._starts = np.zeros(1, np.int64)
 
-    def _encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word; words go to the tokenizer many at a time, with marks between them."""
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has; marks between words tell them apart."""
         if len(self._mark) != 1 or any(_MARK in w for w in words):
-            return [np.array(x.ids, np.uint32) for x in self._encode(words, add_special_tokens=False)]
-        out = []
+            ids = [np.array(x.ids, np.uint32) for x in self._encode(words, add_special_tokens=False)]
+            return np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
         between = f" {_MARK} "
-        texts = [between.join(words[i : i + 500]) for i in range(0, len(words), 500)]
-        for found in self._encode(texts, add_special_tokens=False):
-            ids = np.array(found.ids, np.uint32)
-            out += [x[1:] if k else x for k, x in enumerate(np.split(ids, np.flatnonzero(ids == self._mark[0])))]
-        return out
-
-    def _learn(self, words: Iterable[bytes]) -> None:
-        new = list(words)
-        found = self._encode_words([w.decode("utf-8", "replace") for w in new])
+        texts = [between.join(words[i : i + 500]) + between for i in range(0, len(words), 500)]
+        ids = np.concatenate([np.array(x.ids, np.uint32) for x in self._encode(texts, add_special_tokens=False)])
+        is_mark = ids == self._mark[0]
+        return ids[~is_mark], np.diff(np.flatnonzero(is_mark), prepend=-1) - 1
+
+    def _learn(self, new: Iterable[bytes]) -> None:
         number = self._number
-        for w in new:
-            number[w] = len(number)
-        self._flat = np.concatenate([self._flat, *found]) if found else self._flat
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        at = len(number)
+        words = []
+        for at, w in enumerate(new, at):
+            number[w] = at
+            words.append(w.decode("utf-8", "replace"))
+        found, lengths = self._encode_words(words)
+        self._flat = np.concatenate((self._flat, found))
         self._starts = np.concatenate((self._starts, self._starts[-1] + np.cumsum(lengths)))
 
     def of_texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
