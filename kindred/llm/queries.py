@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred.llm import language_crf, quality_model
+from kindred.llm.chat_format import format_turns, read_back
 from kindred.llm.common import table
 from kindred.llm.exact_dedup import exact_duplicates
+from kindred.llm.html_text import extract_text
 from kindred.llm.packing import best_fit_packing
 from kindred.llm.quality_rules import quality_rules
+from kindred.llm.sentence_pieces import encode
 from kindred.llm.simhash_links import near_duplicates
 from kindred.llm.substring_dedup import repeated_substrings
 from kindred.sources.scratch import Scratch
@@ -20,6 +24,36 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = r"\### Assistant: </turn> ok"
+    added = spark.range(2, numPartitions=1).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(tricky).alias("text"),
+    )
+    return read_back(format_turns(turns.unionByName(added)))
+
+
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.quality_scores(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op5_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_crf.languages(docs, language_crf.fit(docs))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), Scratch(spark))
 
@@ -70,6 +104,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece": (op1_sentencepiece, None),
+    "op2_chat_format": (op2_chat_format, None),
+    "op3_quality_model": (op3_quality_model, None),
+    "op4_html_text": (op4_html_text, None),
+    "op5_language_crf": (op5_language_crf, None),
     "op6_exact_dedup": (op6_exact_dedup, OP6_SQL),
     "op7_quality_rules": (op7_quality_rules, None),
     "op8_substring_dedup": (op8_substring_dedup, OP8_SQL),
