@@ -42,7 +42,7 @@ def piece_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     rank, step = text.astype(np.int64), 1
     while True:
         after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:] + 1
+        after[: max(0, n - step)] = rank[step:] + 1
         key = rank * (int(rank.max()) + 2) + after
         order = np.argsort(key, kind="stable")
         step *= 2
