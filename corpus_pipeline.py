@@ -20,30 +20,47 @@ from kindred.llm.substring_dedup import drop_repeated_substrings
 from kindred.sources.scratch import Scratch
 
 
+_before: list[Scratch] = []
+
+
+def _scratch(spark: SparkSession) -> Scratch:
+    """Working tables of one stage.
+
+    Those of the stage before go: its result has been written when the next
+    stage is called, so the disk holds the tables of one stage only.
+    """
+    while _before:
+        old = _before.pop()
+        if old.spark.sparkContext is spark.sparkContext:
+            old.clear()
+    _before.append(Scratch(spark))
+    return _before[-1]
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weighed rules call good."""
-    return good_documents(docs, Scratch(spark))
+    return good_documents(docs, _scratch(spark))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return drop_exact_duplicates(docs, Scratch(spark))
+    return drop_exact_duplicates(docs, _scratch(spark))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return drop_near_duplicates(docs, Scratch(spark))
+    return drop_near_duplicates(docs, _scratch(spark))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the passages that repeat."""
-    kept = drop_repeated_substrings(docs, Scratch(spark))
+    kept = drop_repeated_substrings(docs, _scratch(spark))
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their place in sequences."""
-    return best_fit_packing(docs, Scratch(spark), tokenizer_path("word_bpe_49k.json"))
+    return best_fit_packing(docs, _scratch(spark), tokenizer_path("word_bpe_49k.json"))
 
 
 STAGES = [
@@ -63,5 +80,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        last, docs = docs, scratch.keep(stage(spark, docs, sf_dir), name)
+        if name != STAGES[0][0]:
+            scratch.drop(last)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -322,6 +322,11 @@ def similar_images(images: DataFrame, distance: int, scratch: Scratch,
     return copies.unionByName(similar_pairs(rows, distance, scratch, limits))
 
 
+def _pairs_of(count: str) -> Column:
+    """Exact number of pairs of ``count`` rows; the even factor is halved first."""
+    return F.expr(f"if({count} % 2 = 0, ({count} div 2) * ({count} - 1), {count} * (({count} - 1) div 2))")
+
+
 def candidate_counts(images: DataFrame, parts: list[Column], distance: int, scratch: Scratch) -> DataFrame:
     """One row: image pairs that share a part, and those within ``distance``.
 
@@ -336,7 +341,7 @@ def candidate_counts(images: DataFrame, parts: list[Column], distance: int, scra
         F.array(*[F.lit(None).cast("bigint") if not (s >> i) & 1 else F.col("parts")[i] for i in range(len(parts))])
         for s in range(1, 1 << len(parts))
     ]))
-    pairs = F.col("m") * (F.col("m") - 1) / 2
+    pairs = _pairs_of("m")
     sign = F.when(F.bit_count(F.col("s") + 1) % 2 == 1, 1).otherwise(-1)
     candidates = (
         named.select("n", chosen.alias("s", "value"))
@@ -352,7 +357,7 @@ def candidate_counts(images: DataFrame, parts: list[Column], distance: int, scra
         .join(size.withColumnsRenamed({"id": "b", "n": "n_b"}), "b")
         .select((F.col("n_a") * F.col("n_b")).alias("m"))
     )
-    equal = kept.select((F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("m"))
+    equal = kept.select(_pairs_of("n").alias("m"))
     verified = apart.unionByName(equal).select(
         F.lit(0).cast("bigint").alias("n_candidates"), F.col("m").alias("n_verified")
     )

@@ -27,6 +27,9 @@ IMAGES_PER_BATCH = 32
 # Longest list of paths handed to the image source.
 LISTED_PATHS = 10_000
 
+# What a file can be blamed for; anything else fails the task.
+DECODE_ERRORS = (OSError, ValueError, SyntaxError, EOFError)
+
 Decoder = Callable[[bytes], np.ndarray]
 
 
@@ -67,7 +70,7 @@ def hash_files(files: DataFrame, decode: Decoder = image_hash.pillow_block) -> D
                     try:
                         with open_input(path) as stream:
                             block = decode(stream.read())
-                    except Exception as failure:  # one bad file never stops the run
+                    except DECODE_ERRORS as failure:  # one bad file never stops the run
                         error = str(failure) or UNKNOWN_ERROR
                     blocks.append(block)
                     errors.append(error)
@@ -95,7 +98,7 @@ def _hash_decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 with open_input(row.path) as stream:
                     grey = image_hash.upright(grey, image_hash.jpeg_orientation(stream))
                 block = image_hash.shrink(grey)
-            except Exception as failure:
+            except DECODE_ERRORS as failure:
                 error = str(failure) or UNKNOWN_ERROR
             blocks.append(block)
             errors.append(error)

@@ -62,3 +62,8 @@ class Scratch:
         """Delete a table made by :meth:`keep` that no plan reads any more."""
         path = self._path(kept._kindred_path)
         path.getFileSystem(self._conf()).delete(path, True)
+
+    def clear(self) -> None:
+        """Delete the whole folder; no plan may read from it any more."""
+        path = self._path(self.root)
+        path.getFileSystem(self._conf()).delete(path, True)
