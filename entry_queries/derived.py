@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.functions.vector_hash import hash_vectors
+from kindred.sources.listing import local_path, qualified, remote_path
 
 BASE_NS = 1_700_000_000_000_000_000
 
@@ -192,11 +193,13 @@ def _write_files(root: str):
         import pandas as pd
         from pyarrow import fs
 
+        systems = {}
         for batch in batches:
             for row in batch.itertuples(index=False):
                 content = _png(row.e)
                 where = f"{root}{row.path}"
-                system, inner = fs.FileSystem.from_uri(where if "://" in where else "file://" + where)
+                local = local_path(where)
+                system, inner = (fs.LocalFileSystem(), local) if local else remote_path(where, systems)
                 system.create_dir(os.path.dirname(inner), recursive=True)
                 with system.open_output_stream(inner) as out:
                     out.write(content)
@@ -209,4 +212,4 @@ def write_images(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
     """Write one PNG per vector variant below ``root``."""
     tasks = spark.sparkContext.defaultParallelism
     files = variants(spark, sf_dir).select("path", "e").repartition(tasks, "path")
-    return files.mapInPandas(_write_files(root), "path string")
+    return files.mapInPandas(_write_files(qualified(spark, root)), "path string")

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from entry_queries.derived import components_sql, write_images
 from kindred.operators import clustering, grouping
-from kindred.sources.images import decoded_images, fingerprint_files, small_batches
-from kindred.sources.listing import list_images, list_images_hadoop
+from kindred.sources.images import decoded_images, fingerprint_files
+from kindred.sources.listing import list_images, list_images_hadoop, qualified
 from kindred.sources.report import report_lines
 from kindred.sources.scratch import Scratch
 
@@ -20,7 +20,7 @@ def _relative(path, root):
 def _folder(spark, sf_dir):
     """A new folder of images: ``scratch, root``."""
     scratch = Scratch(spark)
-    root = scratch.folder("images")
+    root = qualified(spark, scratch.folder("images"))
     scratch.keep(write_images(spark, sf_dir, root), "written")
     return scratch, root
 
@@ -46,8 +46,8 @@ def image_decode(spark, sf_dir):
 
 def _hashed(spark, sf_dir):
     scratch, root = _folder(spark, sf_dir)
-    with small_batches(spark):
-        hashed = scratch.keep(fingerprint_files(spark, list_images(spark, root, scratch), root), "hashed")
+    files = list_images(spark, root, scratch)
+    hashed = scratch.keep(fingerprint_files(spark, files, scratch=scratch), "hashed")
     path = _relative(F.col("path"), root)
     return scratch, hashed.withColumn("path", path)
 

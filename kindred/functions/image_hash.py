@@ -87,26 +87,53 @@ def upright(grey: np.ndarray, orientation: int) -> np.ndarray:
     return grey
 
 
-def jpeg_orientation(stream) -> int:
-    """EXIF orientation of a JPEG stream, 1 when there is none."""
-    if stream.read(2) != b"\xff\xd8":
-        return 1
+def exif_orientation(stream) -> int:
+    """EXIF orientation of a JPEG, PNG or TIFF file, 1 when there is none.
+
+    ``stream`` can seek; pixels are passed over.
+    """
+    mark = stream.read(8)
+    if mark[:2] == b"\xff\xd8":
+        return _jpeg_orientation(stream)
+    if mark == b"\x89PNG\r\n\x1a\n":
+        return _png_orientation(stream)
+    return _tiff_orientation(stream, 0)
+
+
+def _jpeg_orientation(stream) -> int:
+    stream.seek(2)
     while True:
         head = stream.read(4)
         if len(head) < 4 or head[0] != 0xFF or head[1] == 0xDA:
             return 1
-        body = stream.read(int.from_bytes(head[2:], "big") - 2)
-        if head[1] == 0xE1 and body[:6] == b"Exif\0\0":
-            return _tiff_orientation(body[6:])
-
-
-def _tiff_orientation(tiff: bytes) -> int:
-    order = "little" if tiff[:2] == b"II" else "big"
-    at = int.from_bytes(tiff[4:8], order)
-    for i in range(int.from_bytes(tiff[at : at + 2], order)):
-        entry = tiff[at + 2 + 12 * i : at + 14 + 12 * i]
-        if int.from_bytes(entry[:2], order) == 0x0112:
-            found = int.from_bytes(entry[8:10], order)
+        end = stream.tell() + int.from_bytes(head[2:], "big") - 2
+        if head[1] == 0xE1 and stream.read(6) == b"Exif\0\0":
+            return _tiff_orientation(stream, stream.tell())
+        stream.seek(end)
+
+
+def _png_orientation(stream) -> int:
+    while True:
+        head = stream.read(8)
+        if len(head) < 8 or head[4:] == b"IEND":
+            return 1
+        if head[4:] == b"eXIf":
+            return _tiff_orientation(stream, stream.tell())
+        stream.seek(stream.tell() + int.from_bytes(head[:4], "big") + 4)
+
+
+def _tiff_orientation(stream, start: int) -> int:
+    """Orientation in the first directory of TIFF data that begins at ``start``."""
+    stream.seek(start)
+    head = stream.read(8)
+    if head[:4] not in (b"II*\0", b"MM\0*"):
+        return 1
+    order = "little" if head[:2] == b"II" else "big"
+    stream.seek(start + int.from_bytes(head[4:], order))
+    entries = stream.read(12 * int.from_bytes(stream.read(2), order))
+    for at in range(0, len(entries) - 11, 12):
+        if int.from_bytes(entries[at : at + 2], order) == 0x0112:
+            found = int.from_bytes(entries[at + 8 : at + 10], order)
             return found if 1 <= found <= 8 else 1
     return 1
 

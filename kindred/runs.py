@@ -12,7 +12,7 @@ from kindred.operators import snapshot_diff as diff
 from kindred.operators.clustering import cluster, regroup
 from kindred.operators.numbering import assign_ids
 from kindred.plans.thresholds import DEFAULT_THRESHOLD, check_threshold
-from kindred.sources.images import Decoder, fingerprint_files, small_batches
+from kindred.sources.images import Decoder, fingerprint_files
 from kindred.sources.listing import list_images
 from kindred.sources.report import write_report
 from kindred.sources.scratch import Scratch
@@ -45,11 +45,11 @@ def sync(spark: SparkSession, listing: DataFrame, store: SnapshotStore, fingerpr
     """
     check_threshold(threshold)
     scratch = scratch or Scratch(spark)
-    state, saved = store.read(), store.saved_threshold()
+    current = store.manifest()
+    state, saved = store.read(current), current.threshold if current else None
     actions = scratch.keep(diff.diff_snapshots(state, listing), "actions")
     to_hash = actions.where("action in ('new', 'modified')").select("path", "size", "modified_ns")
-    with small_batches(spark):
-        hashed = scratch.keep(fingerprint(to_hash), "hashed")
+    hashed = scratch.keep(fingerprint(to_hash), "hashed")
 
     decision = diff.rebuild_decision(actions, saved, threshold).first()
     counters = diff.run_counters(actions, hashed).first()
@@ -64,7 +64,7 @@ def sync(spark: SparkSession, listing: DataFrame, store: SnapshotStore, fingerpr
     )
     new = good.join(actions.where("action = 'new'").select("path"), "path", "left_semi")
     new = assign_ids(new, state, scratch).select("image_id", "path", "size", "modified_ns", "phash", no_group)
-    changed = modified.unionByName(new)
+    changed = scratch.keep(modified.unionByName(new), "changed")
 
     if decision.threshold_changed or decision.has_null_group:
         result = cluster(unchanged.unionByName(changed), threshold, scratch)
@@ -72,8 +72,8 @@ def sync(spark: SparkSession, listing: DataFrame, store: SnapshotStore, fingerpr
         touched = actions.where("action in ('modified', 'removed')").select("group_id")
         result = regroup(unchanged, touched, changed, threshold, scratch)
     else:
-        result = unchanged
-    store.publish(result.select(*columns), threshold)
+        result = None  # the stored rows stay as they are
+    store.publish(result, threshold, current)
     return RunResult(
         images=counters.images,
         reused=counters.reused,
@@ -101,7 +101,7 @@ def group_folder(spark: SparkSession, folder: str, threshold: int = DEFAULT_THRE
         spark,
         list_images(spark, folder, scratch),
         SnapshotStore(spark, state),
-        lambda files: fingerprint_files(spark, files, folder, decode),
+        lambda files: fingerprint_files(spark, files, decode, scratch),
         threshold,
         scratch,
     )

@@ -13,19 +13,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.functions import image_hash
-from kindred.sources.listing import LISTING_SCHEMA, local_path
+from kindred.sources.listing import LISTING_SCHEMA, local_path, remote_path
+from kindred.sources.scratch import Scratch
 
 # Fixed value: text for a failure that gives no reason.
 UNKNOWN_ERROR = "Error desconocido"
 
 FINGERPRINT_SCHEMA = LISTING_SCHEMA + ", phash bigint, error string"
+HASHED_SCHEMA = "path string, phash bigint, error string"
 # Encoded bytes one task should decode.
 BYTES_PER_TASK = 128 << 20
 FILES_PER_TASK = 4096
 # Decoded images per Arrow batch when the JVM decodes.
 IMAGES_PER_BATCH = 32
-# Longest list of paths handed to the image source.
-LISTED_PATHS = 10_000
+# Paths that one read of the image source is given on average; any number of
+# files is read in shards of this size.
+SHARD_PATHS = 10_000
+# Spark's file sources pass over such names.
+HIDDEN_NAME = r"(^|/)(\.[^/]*|_[^/=]*)$"
+HIDDEN_ERROR = "names that start with . or _ need Pillow or another decoder"
 
 # What a file can be blamed for; anything else fails the task.
 DECODE_ERRORS = (OSError, ValueError, SyntaxError, EOFError)
@@ -33,15 +39,13 @@ DECODE_ERRORS = (OSError, ValueError, SyntaxError, EOFError)
 Decoder = Callable[[bytes], np.ndarray]
 
 
-def open_input(path: str):
-    """Open a file of any supported file system for reading."""
+def open_input(path: str, systems: dict):
+    """Open a file of any supported file system; see ``remote_path``."""
     local = local_path(path)
     if local:
         return open(local, "rb")
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(path)
-    return system.open_input_stream(inner)
+    system, inner = remote_path(path, systems)
+    return system.open_input_file(inner)
 
 
 def _hash_all(blocks: list[np.ndarray | None]) -> pd.Series:
@@ -61,6 +65,7 @@ def hash_files(files: DataFrame, decode: Decoder = image_hash.pillow_block) -> D
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        systems = {}
         for batch in batches:
             for start in range(0, len(batch), 512):
                 part = batch.iloc[start : start + 512].reset_index(drop=True)
@@ -68,7 +73,7 @@ def hash_files(files: DataFrame, decode: Decoder = image_hash.pillow_block) -> D
                 for path in part["path"]:
                     block, error = None, None
                     try:
-                        with open_input(path) as stream:
+                        with open_input(path, systems) as stream:
                             block = decode(stream.read())
                     except DECODE_ERRORS as failure:  # one bad file never stops the run
                         error = str(failure) or UNKNOWN_ERROR
@@ -86,6 +91,7 @@ def hash_files(files: DataFrame, decode: Decoder = image_hash.pillow_block) -> D
 
 
 def _hash_decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    systems = {}
     for batch in batches:
         blocks, errors = [], []
         for row in batch.itertuples(index=False):
@@ -95,8 +101,8 @@ def _hash_decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     raise ValueError("cannot identify image file")
                 pixels = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.channels)
                 grey = image_hash.grey_of(pixels)
-                with open_input(row.path) as stream:
-                    grey = image_hash.upright(grey, image_hash.jpeg_orientation(stream))
+                with open_input(row.path, systems) as stream:
+                    grey = image_hash.upright(grey, image_hash.exif_orientation(stream))
                 block = image_hash.shrink(grey)
             except DECODE_ERRORS as failure:
                 error = str(failure) or UNKNOWN_ERROR
@@ -143,37 +149,52 @@ def few_listing_tasks(spark: SparkSession):
     return _setting(spark, name, spark.sparkContext.defaultParallelism)
 
 
-def hash_files_jvm(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
+def hash_files_jvm(spark: SparkSession, files: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Like :func:`hash_files`, decoded by the ``image`` source of Spark.
 
-    For clusters without Pillow.  Short lists are read by name; longer ones
-    read the tree below ``root`` and keep the listed files.  Use inside
-    :func:`small_batches` when the result is written.
+    For clusters without Pillow.  Files are read by name, in shards by a hash
+    of the path, so the driver holds the names of one shard however many files
+    there are.  Pixels are hashed where they are decoded; only the hashes are
+    joined with the listing.  The source cannot read names that start with
+    ``.`` or ``_``: they get an error that says so.
     """
+    scratch = scratch or Scratch(spark)
     listed = files.select("path", "size", "modified_ns", F.regexp_replace("path", "^file:/+", "/").alias("plain"))
-    few = listed.select("path").limit(LISTED_PATHS + 1).collect()
-    if not few:
-        return spark.createDataFrame([], FINGERPRINT_SCHEMA)
-    literal = [re.sub(r"([\[\]{}*?\\])", r"\\\1", row.path) for row in few]
-    where = literal if len(few) <= LISTED_PATHS else root
-    with few_listing_tasks(spark):
-        decoded = decoded_images(spark, where)
-    decoded = decoded.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
-    hashed = decoded.join(listed.select(F.col("plain").alias("path")), "path", "left_semi").mapInPandas(
-        _hash_decoded, "path string, phash bigint, error string"
+    shards = max(1, -(-listed.count() // SHARD_PATHS))
+    named = scratch.folder("shards")
+    (
+        listed.where(~F.col("path").rlike(HIDDEN_NAME))
+        .select("plain", F.expr(f"cast(pmod(xxhash64(plain), {shards}) as int)").alias("shard"))
+        .repartition("shard")
+        .write.partitionBy("shard")
+        .parquet(named)
     )
+    by_shard = spark.read.schema("plain string, shard int").parquet(named)
+    done = scratch.folder("hashes")
+    for shard in range(shards):
+        paths = [row.plain for row in by_shard.where(F.col("shard") == shard).select("plain").collect()]
+        if paths:
+            literal = [re.sub(r"([\[\]{}*?\\])", r"\\\1", path) for path in paths]
+            with small_batches(spark), few_listing_tasks(spark):
+                decoded = decoded_images(spark, literal)
+                decoded = decoded.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+                decoded.mapInPandas(_hash_decoded, HASHED_SCHEMA).write.mode("append").parquet(done)
+    hashed = spark.createDataFrame([], HASHED_SCHEMA)
+    if not by_shard.isEmpty():
+        hashed = spark.read.schema(HASHED_SCHEMA).parquet(done)
+    missing = F.when(F.col("path").rlike(HIDDEN_NAME), HIDDEN_ERROR).otherwise(UNKNOWN_ERROR)
     return listed.join(hashed.withColumnRenamed("path", "plain"), "plain", "left").select(
         "path", "size", "modified_ns", "phash",
-        F.when(F.col("phash").isNull(), F.coalesce("error", F.lit(UNKNOWN_ERROR))).alias("error"),
+        F.when(F.col("phash").isNull(), F.coalesce("error", missing)).alias("error"),
     )
 
 
 def fingerprint_files(
-    spark: SparkSession, files: DataFrame, root: str, decode: Decoder | None = None
+    spark: SparkSession, files: DataFrame, decode: Decoder | None = None, scratch: Scratch | None = None
 ) -> DataFrame:
     """Fingerprints by ``decode``, by Pillow where present, else by the JVM."""
     if decode is None and find_spec("PIL") is not None:
         decode = image_hash.pillow_block
     if decode is not None:
         return hash_files(files, decode)
-    return hash_files_jvm(spark, files, root)
+    return hash_files_jvm(spark, files, scratch)

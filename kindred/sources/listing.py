@@ -57,13 +57,28 @@ def _local_entries(folder: str) -> Iterator[tuple[bool, str, int, int]]:
                 continue
 
 
-def _remote_entries(folder: str) -> Iterator[tuple[bool, str, int, int]]:
+def remote_path(path: str, systems: dict) -> tuple:
+    """File system of a path ``scheme://host/...`` and the path inside it.
+
+    Only the part before the path is read as a URI, since names may hold
+    spaces, ``#``, ``?`` or ``%``.  ``systems`` keeps ``(file system, path of
+    its root)`` by that part, so one task connects once.
+    """
+    from pyarrow import fs
+
+    where, rest = re.match(r"([^:/]+://[^/]*)(.*)", path, re.DOTALL).groups()
+    if where not in systems:
+        systems[where] = fs.FileSystem.from_uri(where + "/")
+    system, base = systems[where]
+    return system, base.rstrip("/") + rest
+
+
+def _remote_entries(folder: str, systems: dict) -> Iterator[tuple[bool, str, int, int]]:
     from pyarrow import fs
 
-    scheme = folder.split("://", 1)[0]
-    system, inner = fs.FileSystem.from_uri(folder)
+    system, inner = remote_path(folder, systems)
     for found in system.get_file_info(fs.FileSelector(inner, allow_not_found=True)):
-        path = folder.rstrip("/") + "/" + found.base_name if scheme else found.path
+        path = folder.rstrip("/") + "/" + found.base_name
         if found.type == fs.FileType.Directory:
             yield True, path, 0, 0
         elif found.type == fs.FileType.File and _named_like_image(found.base_name):
@@ -77,12 +92,22 @@ def local_path(path: str) -> str | None:
     return None if "://" in path else path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` in the session's default file system: plain if local, else a full URI."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    local = local_path(system.makeQualified(hadoop).toString())
+    if local is None:
+        return system.makeQualified(hadoop).toString().rstrip("/")
+    return os.path.abspath(local_path(path) or local)
+
+
 def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows = []
+    rows, systems = [], {}
     for batch in batches:
         for folder in batch["folder"]:
             local = local_path(folder)
-            entries = _local_entries(local) if local else _remote_entries(folder)
+            entries = _local_entries(local) if local else _remote_entries(folder, systems)
             for row in entries:
                 rows.append(row)
                 if len(rows) == LISTING_BATCH:
@@ -101,9 +126,8 @@ def list_images(spark: SparkSession, root: str, scratch: Scratch | None = None)
     whose metadata cannot be read are left out.
     """
     scratch = scratch or Scratch(spark)
-    plain = local_path(root)
-    root = os.path.abspath(plain) if plain else root.rstrip("/")
-    if plain and not os.path.isdir(root):
+    root = qualified(spark, root)
+    if local_path(root) and not os.path.isdir(root):
         raise NotADirectoryError(root)
     frontier = spark.createDataFrame([(root,)], "folder string")
     folders = 1

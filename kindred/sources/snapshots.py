@@ -1,14 +1,16 @@
 """Versioned Parquet snapshots of the fingerprint state.
 
-A run writes all its rows below ``v=<n>-<id>`` and then creates one small manifest
-file ``manifest-<n>.json``.  A version exists once its manifest does, so a run
-that dies earlier leaves the previous version in place.  Creating a manifest
-fails when it is already there, so of two runs at once only one publishes.
+A run writes all its rows below ``v=<n>-<id>``, then one small manifest under
+another name, which it renames to ``manifest-<n>.json``.  A version exists once
+its manifest does, whole, so a run that dies earlier leaves the previous version
+in place.  ``n`` follows the version that the run has read, and the rename fails
+when the name is taken: of two runs from one version only one publishes.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -59,9 +61,9 @@ class SnapshotStore:
             stream.close()
         return Manifest(**json.loads(text))
 
-    def read(self) -> DataFrame:
-        """The newest state, empty before the first run."""
-        current = self.manifest()
+    def read(self, current: Manifest | None = None) -> DataFrame:
+        """The state of ``current``, else the newest, empty before the first run."""
+        current = current or self.manifest()
         if current is None:
             return self.spark.createDataFrame([], STATE_SCHEMA)
         return self.spark.read.schema(STATE_SCHEMA).parquet(current.folder)
@@ -77,27 +79,58 @@ class SnapshotStore:
         rows.select("image_id", "path", "size", "modified_ns", "phash", "group_id").write.parquet(folder)
         return folder
 
-    def publish(self, rows: DataFrame, threshold: int) -> Manifest:
-        """Write a new version and make it the current one."""
-        published = self.versions()
-        version = (published[-1] if published else 0) + 1
-        made = Manifest(version, threshold, self.stage(rows, version))
-        self._create(self._name(version), json.dumps(made.__dict__))
+    def publish(self, rows: DataFrame | None, threshold: int, based_on: Manifest | None) -> Manifest:
+        """Make ``rows`` the version after ``based_on``, the one the run has read.
+
+        ``None`` for rows keeps those of ``based_on`` without writing them again.
+        """
+        version = (based_on.version if based_on else 0) + 1
+        if rows is None and based_on:
+            folder = based_on.folder
+        else:
+            folder = self.stage(self.read() if rows is None else rows, version)
+        made = Manifest(version, threshold, folder)
+        self._rename(self._write(json.dumps(made.__dict__)), self._name(version))
         return made
 
-    def _create(self, name: str, text: str) -> None:
+    def _write(self, text: str) -> str:
+        name = f"{self.root}/.manifest-{uuid.uuid4().hex}"
         stream = self._fs.create(self._path(name), False)
         try:
             stream.write(bytearray(text, "utf-8"))
         finally:
             stream.close()
-
-    def vacuum(self, keep: int = 2) -> None:
-        """Delete all but the newest ``keep`` versions."""
-        for version in self.versions()[: -max(1, keep)]:
-            folder = self._load(version).folder
-            self._fs.delete(self._path(self._name(version)), False)
-            self._fs.delete(self._path(folder), True)
+        return name
+
+    def _rename(self, source: str, target: str) -> None:
+        """Rename that fails when the target exists."""
+        spark = self.spark.sparkContext
+        context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+            self._fs.getUri(), spark._jsc.hadoopConfiguration()
+        )
+        options = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+        mode = spark._gateway.new_array(options, 1)
+        mode[0] = options.NONE
+        context.rename(self._fs.makeQualified(self._path(source)), self._fs.makeQualified(self._path(target)), mode)
+
+    def vacuum(self, keep: int = 2, orphan_hours: float = 24) -> None:
+        """Delete all but the newest ``keep`` versions, and what dead runs left.
+
+        Rows and manifests that no version names are deleted once they are
+        older than ``orphan_hours``; a run must be shorter than that.
+        """
+        published = self.versions()
+        gone = [self._load(v) for v in published[: -max(1, keep)]]
+        used = {self._path(self._load(v).folder).getName() for v in published[-max(1, keep) :]}
+        for old in gone:
+            self._fs.delete(self._path(self._name(old.version)), False)
+        expired = {self._path(old.folder).getName() for old in gone} - used
+        before = (time.time() - orphan_hours * 3600) * 1000
+        for pattern in ("v=*", ".manifest-*"):
+            for found in self._fs.globStatus(self._path(f"{self.root}/{pattern}")) or []:
+                name = found.getPath().getName()
+                if name in expired or (name not in used and found.getModificationTime() <= before):
+                    self._fs.delete(found.getPath(), True)
 
 
 def records_for_paths(state: DataFrame, paths: DataFrame) -> DataFrame:

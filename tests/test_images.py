@@ -7,13 +7,15 @@ import numpy as np
 import pictures
 import pytest
 from pictures import png, read_png, smooth
+from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from kindred.functions import image_hash
 from kindred.runs import group_folder, sync
-from kindred.sources.images import decoded_images, fingerprint_files, hash_files
-from kindred.sources.listing import list_images, list_images_hadoop
+from kindred.sources import images
+from kindred.sources.images import decoded_images, fingerprint_files, hash_files, hash_files_jvm, open_input
+from kindred.sources.listing import _remote_entries, list_images, list_images_hadoop, qualified
 from kindred.sources.report import report_lines, write_report
 from kindred.sources.scratch import Scratch, shared_folder
 from kindred.sources.snapshots import SnapshotStore
@@ -82,9 +84,12 @@ def test_orientations():
             tiff = mark + struct.pack(order + "HIHHHIHH", 42, 8, 1, 0x0112, 3, 1, orientation, 0)
             body = b"Exif\0\0" + tiff
             jpeg = b"\xff\xd8\xff\xe0\0\4ab\xff\xe1" + struct.pack(">H", len(body) + 2) + body + b"\xff\xda"
-            assert image_hash.jpeg_orientation(io.BytesIO(jpeg)) == orientation
-    assert image_hash.jpeg_orientation(io.BytesIO(png(a))) == 1
-    assert image_hash.jpeg_orientation(io.BytesIO(b"\xff\xd8\xff\xda")) == 1
+            plain = png(a)
+            late = plain[:-12] + struct.pack(">I", len(tiff)) + b"eXIf" + tiff + bytes(4) + plain[-12:]
+            for content in (jpeg, late, tiff):
+                assert image_hash.exif_orientation(io.BytesIO(content)) == orientation
+    for content in (png(a), b"\xff\xd8\xff\xda", b"", b"GIF89a", b"II*\0\xff\xff\xff\xff", png(a)[:20]):
+        assert image_hash.exif_orientation(io.BytesIO(content)) == 1
 
 
 def test_listing(spark, scratch, folder):
@@ -106,7 +111,7 @@ def test_listing(spark, scratch, folder):
 @pytest.mark.parametrize("decode", [read_png, None])
 def test_fingerprints(spark, scratch, folder, decode):
     files = list_images(spark, str(folder), scratch)
-    found = {r.path[len(str(folder)) + 1 :]: r for r in fingerprint_files(spark, files, str(folder), decode).collect()}
+    found = {r.path[len(str(folder)) + 1 :]: r for r in fingerprint_files(spark, files, decode, scratch).collect()}
     assert len(found) == 9
     first = found["a.png"].phash
     assert found["sub/A+%2B [1] copy.PNG"].phash == first
@@ -118,13 +123,60 @@ def test_fingerprints(spark, scratch, folder, decode):
     assert found["a.png"].size == os.stat(folder / "a.png").st_size
 
 
+def test_shards_and_hidden_names(spark, scratch, folder, monkeypatch):
+    files = list_images(spark, str(folder), scratch)
+    one = {r.path: (r.phash, r.error) for r in hash_files_jvm(spark, files, scratch).collect()}
+    monkeypatch.setattr(images, "SHARD_PATHS", 2)
+    many = {r.path: (r.phash, r.error) for r in hash_files_jvm(spark, files, scratch).collect()}
+    assert one == many and len(one) == 9
+    assert one[str(folder / "_u" / "c.png")][0] is not None
+    assert one[str(folder / ".hid.png")] == (None, images.HIDDEN_ERROR)
+    hidden = files.where(F.col("path").like("%/.hid.png"))
+    assert [r.error for r in hash_files_jvm(spark, hidden, scratch).collect()] == [images.HIDDEN_ERROR]
+    assert hash_files_jvm(spark, files.limit(0), scratch).count() == 0
+
+
+def test_a_missing_module_fails_the_run(spark, scratch, folder, tmp_path):
+    def broken(content):
+        raise ImportError("no decoder here")
+
+    store = SnapshotStore(spark, str(tmp_path / "state"))
+    files = list_images(spark, str(folder), scratch)
+    sync(spark, files, store, lambda f: hash_files(f, read_png), 90, scratch)
+    (folder / "a.png").write_bytes(png(smooth(5)))
+    files = list_images(spark, str(folder), scratch)
+    with pytest.raises(Exception, match="no decoder here"):
+        sync(spark, files, store, lambda f: hash_files(f, broken), 90, scratch)
+    assert store.versions() == [1]
+
+
+def test_remote_names(tmp_path):
+    systems = {"box://host": (fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem()), "")}
+    names = ["a b.png", "a#1.png", "a?1.png", "%2B.png", "é.png"]
+    (tmp_path / "in #1").mkdir()
+    for name in names:
+        (tmp_path / "in #1" / name).write_text(name)
+    (tmp_path / "in #1" / "deep er").mkdir()
+    found = list(_remote_entries("box://host/in #1", systems))
+    assert {path for is_folder, path, _, _ in found if not is_folder} == {"box://host/in #1/" + n for n in names}
+    assert [path for is_folder, path, _, _ in found if is_folder] == ["box://host/in #1/deep er"]
+    for name in names:
+        with open_input("box://host/in #1/" + name, systems) as stream:
+            assert stream.read().decode() == name
+
+
+def test_qualified_paths(spark, tmp_path):
+    odd = str(tmp_path / "a b#1?%2B")
+    assert qualified(spark, odd) == odd and qualified(spark, "file://" + odd) == odd
+
+
 def test_both_decoders_agree(spark, scratch, tmp_path):
     for i in range(6):
         picture = np.stack([smooth(i, 50), smooth(i + 50, 50), smooth(i + 90, 50)], axis=2)
         (tmp_path / f"{i}.png").write_bytes(png(picture))
     files = list_images(spark, str(tmp_path), scratch)
     a = {r.path: r.phash for r in hash_files(files, read_png).collect()}
-    b = {r.path: r.phash for r in fingerprint_files(spark, files, str(tmp_path)).collect()}
+    b = {r.path: r.phash for r in fingerprint_files(spark, files).collect()}
     assert a == b and len(a) == 6
     sizes = {(r.height, r.width, r.channels) for r in decoded_images(spark, str(tmp_path)).collect()}
     assert sizes == {(50, 50, 3)}
@@ -145,10 +197,11 @@ def test_runs_over_a_changing_folder(spark, folder, tmp_path):
         document = json.loads(text)
         assert text == json.dumps(document, ensure_ascii=False, indent=2) + "\n"
         assert len(store.versions()) == result_count[0] + 1
+        folders.append(store.manifest().folder)
         result_count[0] += 1
         return result, document
 
-    result_count = [0]
+    result_count, folders = [0], []
     at = lambda *names: [str(folder / n) for n in names]
     similar = sorted(at("a.png", "brighter.png", "sub/A+%2B [1] copy.PNG", "sub/deep/half.png"))
     hidden = at(".hid.png", "_u/c.png")
@@ -169,6 +222,8 @@ def test_runs_over_a_changing_folder(spark, folder, tmp_path):
     assert document["actualizacion_incremental_grupos"] is True
     assert len(document["imagenes_no_leidas"]) == 1 and state_of(store) == before
 
+    assert folders[0] == folders[1]  # nothing is written again
+
     # one more copy: incremental
     (folder / "ñ \"quoted\".png").write_bytes(png(smooth(2) + 3))
     third, document = run()
@@ -200,17 +255,36 @@ def test_runs_over_a_changing_folder(spark, folder, tmp_path):
     assert len(store.versions()) == 1 and state_of(store) == labels
 
 
-def test_a_run_that_dies_leaves_the_old_version(spark, tmp_path):
+def test_a_run_that_dies_leaves_the_old_version(spark, tmp_path, monkeypatch):
     store = SnapshotStore(spark, str(tmp_path))
     row = "1L as image_id, '/a' as path, 1L as size, 1L as modified_ns, 5L as phash, 1L as group_id"
     old = spark.sql("select " + row)
-    store.publish(old, 90)
-    store.stage(old.limit(0), 2)
+    first = store.publish(old, 90, None)
+
+    def dies(source, target):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(store, "_rename", dies)
+        with pytest.raises(RuntimeError):
+            store.publish(old.limit(0), 90, first)
     assert store.versions() == [1] and store.read().count() == 1
-    store.publish(old.unionByName(old), 95)
-    assert store.manifest().version == 2 and store.read().count() == 2
-    with pytest.raises(Exception, match="already exists"):
-        store._create(store._name(2), "{}")
+
+    # two runs from one version: the second one fails
+    second = store.publish(old.unionByName(old), 95, first)
+    with pytest.raises(Exception, match="exist"):
+        store.publish(old.limit(0), 100, first)
+    assert store.manifest() == second and store.read().count() == 2
+
+    third = store.publish(None, 95, second)
+    assert (third.version, third.folder) == (3, second.folder)
+    store.vacuum(keep=1)
+    assert store.versions() == [3] and store.read().count() == 2
+    assert len([n for n in os.listdir(tmp_path) if n.startswith("v=")]) == 3  # two of dead runs are young
+    store.vacuum(keep=1, orphan_hours=-1)
+    left = [n for n in os.listdir(tmp_path) if n.startswith(("v=", ".manifest")) and not n.endswith(".crc")]
+    assert len(left) == 1
+    assert store.read().count() == 2
 
 
 def test_full_and_step_by_step_runs_agree(spark, scratch, tmp_path):
