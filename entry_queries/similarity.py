@@ -75,24 +75,33 @@ def candidate_pairs_95(spark, sf_dir):
     return similarity.candidate_counts(h, split_bits(F.col("phash"), QUARTERS), max_distance(95), Scratch(spark))
 
 
-def similar_pairs(threshold):
+# The join's forms for large data, forced at any size.
+FORMS = {
+    "shuffled": similarity.JoinLimits(broadcast_keys=0),
+    "tiled": similarity.JoinLimits(broadcast_keys=0, bucket_rows=16, tile_rows=64),
+    "rekeyed": similarity.JoinLimits(broadcast_keys=0, bucket_rows=2, rekey_rows=16, tile_rows=64),
+    "listed": similarity.JoinLimits(broadcast_keys=0, bucket_rows=16, tile_rows=64, large_buckets=0),
+}
+
+
+def similar_pairs(threshold, limits=similarity.DEFAULT_LIMITS):
     def query(spark, sf_dir):
         scratch = Scratch(spark)
         hashes = scratch.keep(hashed_variants(spark, sf_dir), "hashes")
-        pairs = similarity.similar_images(hashes, max_distance(threshold), scratch)
+        pairs = similarity.similar_images(hashes, max_distance(threshold), scratch, limits)
         return pairs.withColumn("similarity", similarity_column(F.col("distance")))
 
     return query
 
 
-def _clustered(spark, sf_dir, threshold, scratch):
+def _clustered(spark, sf_dir, threshold, scratch, limits=similarity.DEFAULT_LIMITS):
     hashes = scratch.keep(hashed_variants(spark, sf_dir), "hashes")
-    return clustering.cluster(hashes, threshold, scratch)
+    return clustering.cluster(hashes, threshold, scratch, limits)
 
 
-def components(threshold):
+def components(threshold, limits=similarity.DEFAULT_LIMITS):
     def query(spark, sf_dir):
-        found = _clustered(spark, sf_dir, threshold, Scratch(spark))
+        found = _clustered(spark, sf_dir, threshold, Scratch(spark), limits)
         return found.select(F.col("image_id").alias("img_id"), "group_id")
 
     return query
@@ -145,6 +154,18 @@ def regroup_after_delete(spark, sf_dir):
     return found.select(F.col("image_id").alias("img_id"), "group_id")
 
 
+def regroup_after_change(spark, sf_dir):
+    """Groups at 95% after the first variants got their fingerprints in place of others."""
+    scratch = Scratch(spark)
+    h = scratch.keep(hashed_variants(spark, sf_dir).select("image_id", "variant", "phash"), "hashes")
+    before = F.when(F.col("variant") == 1, F.bitwise_not(F.col("phash"))).otherwise(F.col("phash"))
+    stored = scratch.keep(clustering.cluster(h.withColumn("phash", before), 95, scratch), "stored")
+    rest = stored.where("variant <> 1").select("image_id", "phash", "group_id")
+    changed = h.where("variant = 1").select("image_id", "phash", F.lit(None).cast("bigint").alias("group_id"))
+    found = clustering.regroup(rest, stored.where("variant = 1").select("group_id"), changed, 95, scratch)
+    return found.select(F.col("image_id").alias("img_id"), "group_id")
+
+
 def merge_groups(spark, sf_dir):
     """Groups at 95% merged into the groups at 90%."""
     scratch = Scratch(spark)
@@ -256,6 +277,7 @@ QUERIES = {
     "incremental_components_95": (incremental_components(95), _components_sql(3)),
     "incremental_components_90": (incremental_components(90), _components_sql(6)),
     "regroup_after_delete": (regroup_after_delete, _components_sql(3, "variant <> 1")),
+    "regroup_after_change": (regroup_after_change, _components_sql(3)),
     "merge_groups": (merge_groups, _components_sql(6)),
     "unreadable": (
         unreadable_vectors,
@@ -266,3 +288,6 @@ for _t in ALLOWED_THRESHOLDS:
     QUERIES[f"similar_pairs_{_t}"] = (similar_pairs(_t), _pairs_sql(max_distance(_t)))
     QUERIES[f"components_{_t}"] = (components(_t), _components_sql(max_distance(_t)))
     QUERIES[f"groups_{_t}"] = (groups(_t), _groups_sql(max_distance(_t)))
+for _form, _limits in FORMS.items():
+    QUERIES[f"similar_pairs_90_{_form}"] = (similar_pairs(90, _limits), _pairs_sql(max_distance(90)))
+QUERIES["components_80_tiled"] = (components(80, FORMS["tiled"]), _components_sql(max_distance(80)))

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entry_queries.derived import SNAPSHOTS_SQL, hashed, listing, state, table
+from entry_queries.derived import SMALL_FILE, SNAPSHOTS_SQL, components_sql, hashed, listing, state, table
 from kindred.operators import snapshot_diff as diff
 from kindred.operators.clustering import init_groups
 from kindred.operators.numbering import assign_ids
-from kindred.sources.listing import extension, is_image
+from kindred.plans.thresholds import ALLOWED_THRESHOLDS, max_distance
+from kindred.runs import sync
+from kindred.sources.listing import IMAGE_EXTENSIONS, extension, is_image
 from kindred.sources.scratch import Scratch
-from kindred.sources.snapshots import has_missing_group, records_for_paths
+from kindred.sources.snapshots import SnapshotStore, has_missing_group, records_for_paths
 
-SAVED_THRESHOLD, THRESHOLD = 90, 95
+THRESHOLD = 95
 
 
 def _shown(name):
@@ -113,8 +118,27 @@ def groups_started(spark, sf_dir):
 
 
 def rebuild_decision(spark, sf_dir):
+    """Decisions over parts of the actions, for every saved threshold."""
     actions = diff.diff_snapshots(state(spark, sf_dir), listing(spark, sf_dir))
-    return diff.rebuild_decision(actions, SAVED_THRESHOLD, THRESHOLD)
+    found = [
+        diff.rebuild_decision(actions.where(condition), saved, THRESHOLD).select(
+            F.lit(part).alias("part"), F.lit(saved).cast("bigint").alias("saved"), "*"
+        )
+        for part, condition in ACTION_PARTS.items()
+        for saved in ALLOWED_THRESHOLDS
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+def sync_runs(spark, sf_dir):
+    """Two runs over a real store: the stored files, then the current ones."""
+    scratch = Scratch(spark)
+    store = SnapshotStore(spark, scratch.folder("state"))
+    for files in (state(spark, sf_dir).select("path", "size", "modified_ns"), listing(spark, sf_dir)):
+        sync(spark, files, store, hashed, THRESHOLD, scratch)
+    current = store.manifest()
+    saved = F.lit(current.threshold).cast("bigint").alias("threshold")
+    return store.read(current).select("path", "size", "modified_ns", "image_id", "phash", "group_id", saved)
 
 
 def missing_groups(spark, sf_dir):
@@ -139,8 +163,34 @@ upserted as (
   union all select image_id, path, size, modified_ns, phash, null::bigint from changed)
 """
 _WITH = f"with {SNAPSHOTS_SQL} "
+_RUNS = f"""with recursive {SNAPSHOTS_SQL},
+first_run as materialized (
+  select path, size, modified_ns, size * 40503 as h, row_number() over (order by path) as img_id
+  from state where size >= {SMALL_FILE}),
+later as (
+  select l.path, l.size, l.modified_ns, f.img_id,
+    case when f.size = l.size and f.modified_ns = l.modified_ns then f.h else l.size * 40503 end as h
+  from listing l left join first_run f on f.path = l.path where l.size >= {SMALL_FILE}),
+final as materialized (
+  select path, size, modified_ns, h, img_id from later where img_id is not null
+  union all
+  select path, size, modified_ns, h,
+    (select max(img_id) from first_run) + row_number() over (order by path) from later where img_id is null),
+{components_sql('final', max_distance(THRESHOLD))}
+select path, size, modified_ns, img_id::bigint as image_id, h::bigint as phash, group_id::bigint as group_id,
+  {THRESHOLD}::bigint as threshold
+from final join comp using (img_id)"""
+# Parts of the actions with different decisions.
+ACTION_PARTS = {
+    "all": "true",
+    "changed": "action in ('new', 'modified')",
+    "gone": "action in ('new', 'removed')",
+    "added": "action = 'new' or (action = 'unchanged' and group_id is not null)",
+    "ungrouped": "action = 'unchanged'",
+}
+_PARTS = " union all ".join(f"select '{part}' as part, * from actions where {c}" for part, c in ACTION_PARTS.items())
 _SUFFIX = "lower(regexp_extract(path, '[^/](\\.[^./]+)$', 1))"
-_IMAGES = "'.avif', '.bmp', '.gif', '.heic', '.heif', '.jpeg', '.jpg', '.jxl', '.png', '.tif', '.tiff', '.webp'"
+_IMAGES = ", ".join(f"'{suffix}'" for suffix in IMAGE_EXTENSIONS)
 
 QUERIES = {
     "extension_filter": (
@@ -191,10 +241,14 @@ QUERIES = {
     ),
     "rebuild_decision": (
         rebuild_decision,
-        _WITH + "select bool_or(action = 'modified') as has_modified, bool_or(action = 'removed') as has_removed, "
-        "true as threshold_changed, bool_or(action = 'unchanged' and group_id is null) as has_null_group, "
-        "true as full_rebuild from actions",
+        _WITH + f"""select part, saved::bigint as saved, bool_or(action = 'modified') as has_modified,
+          bool_or(action = 'removed') as has_removed, saved <> {THRESHOLD} as threshold_changed,
+          bool_or(action = 'unchanged' and group_id is null) as has_null_group,
+          saved <> {THRESHOLD} or bool_or(action in ('modified', 'removed') or (action = 'unchanged' and group_id is null))
+            as full_rebuild
+        from ({_PARTS}) p, (values {', '.join(f'({t})' for t in ALLOWED_THRESHOLDS)}) t(saved) group by part, saved""",
     ),
+    "sync_runs": (sync_runs, _RUNS),
     "missing_groups": (missing_groups, _WITH + "select bool_or(group_id is null) as has_null_group from state"),
     "run_report": (
         run_report,

@@ -126,14 +126,16 @@ def regroup(state: DataFrame, touched: DataFrame, changed: DataFrame, threshold:
 
     ``state`` holds the unchanged rows that are left, ``touched`` the labels
     (``group_id``) of groups that lost a row, ``changed`` the new or changed
-    rows.  Only the rest of the touched groups and the changed rows are
-    grouped again: no other group had an edge to them.
+    rows.  The rest of the touched groups is grouped again by itself, since no
+    other group had an edge to it; then the changed rows meet all others.
     """
+    columns = [*state.columns]
     broken = touched.select("group_id").where("group_id is not null").distinct()
     marked = scratch.keep(
         join_unique(state, broken.withColumn("_broken", F.lit(True)), "group_id", "left", scratch), "marked"
     )
-    left_over = marked.where("_broken").select(*state.columns)
-    settled = marked.where("_broken is null").select(*state.columns)
-    pending = left_over.unionByName(changed.select(*state.columns))
-    return cluster_incremental(settled, pending, threshold, scratch, limits)
+    left_over = cluster(marked.where("_broken").select(*columns), threshold, scratch, limits)
+    settled = marked.where("_broken is null").select(*columns).unionByName(left_over.select(*columns))
+    if changed.isEmpty():
+        return settled
+    return cluster_incremental(settled, changed.select(*columns), threshold, scratch, limits)

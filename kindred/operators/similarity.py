@@ -37,7 +37,7 @@ class JoinLimits:
     # Rows of one bucket that are joined row by row, and in tiles.
     bucket_rows: int = TILE_FROM
     rekey_rows: int = 200_000
-    # Number of larger buckets that may be broadcast.
+    # Length of the list of larger buckets that may be broadcast.
     large_buckets: int = 1_000_000
     # Rows on each side of one tile.
     tile_rows: int = 8192
@@ -215,7 +215,7 @@ def _tiles(rows: DataFrame, large: DataFrame, schemes: list[KeyScheme], distance
           transform(sequence(0L, _across - 1),
                     i -> struct({OTHER} as role, i as _i, pmod(xxhash64(phash), _down) as _j))))""")
     placed = (
-        rows.join(F.broadcast(grid.drop("n_rows", "n_fresh")), keys)
+        _meet(rows, grid, keys, "inner", limits)
         .select(*keys, "id", "phash", "fresh", F.explode(cells).alias("c"))
         .select(*keys, "id", "phash", "fresh", "c.role", "c._i", "c._j")
     )
@@ -227,6 +227,22 @@ def _tiles(rows: DataFrame, large: DataFrame, schemes: list[KeyScheme], distance
     )
 
 
+def _meet(rows: DataFrame, buckets: DataFrame, keys: list[str], how: str, limits: JoinLimits) -> DataFrame:
+    """Keyed rows joined with a written list of buckets and their ``n_rows``.
+
+    A list of a counted, short length is broadcast.  Of a longer one only the
+    very large buckets are, one for at least ``rekey_rows`` key rows; the rest
+    meet by a shuffle, in which no key is hot.
+    """
+    if buckets.count() <= limits.large_buckets:
+        return rows.join(F.broadcast(buckets), keys, how)
+    hot = F.broadcast(buckets.where(F.col("n_rows") > limits.rekey_rows))
+    rest = buckets.where(F.col("n_rows") <= limits.rekey_rows).hint("merge")
+    if how == "left_anti":
+        return rows.join(hot, keys, how).join(rest, keys, how)
+    return rows.join(hot, keys, how).unionByName(rows.join(rest, keys, how))
+
+
 def _spread(keyed: DataFrame, keys: list[str], tasks: float) -> DataFrame:
     """Partition by key where the session's number of partitions is too small."""
     if tasks <= int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")):
@@ -259,14 +275,12 @@ def _search_keyed(keyed: DataFrame, schemes: list[KeyScheme], most: int, n_keys:
                   distance: int, scratch: Scratch, forest: bool, limits: JoinLimits) -> DataFrame:
     """Pairs of keyed rows; no bucket has more than ``most`` of the ``n_keys`` rows."""
     keys = _key_columns(len(schemes))
-    # At most ``large_buckets`` buckets exceed this, so their list can be broadcast.
-    limit = int(max(limits.bucket_rows, n_keys / limits.large_buckets))
     small, found = keyed, []
-    if most > limit:
+    if most > limits.bucket_rows:
         large = scratch.keep(
             keyed.groupBy(*keys)
             .agg(F.count("*").alias("n_rows"), F.count_if(F.col("fresh")).alias("n_fresh"))
-            .where((F.col("n_rows") > limit) & (F.col("n_fresh") > 0)),
+            .where((F.col("n_rows") > limits.bucket_rows) & (F.col("n_fresh") > 0)),
             "large",
         )
         last = len(schemes) == 2
@@ -276,14 +290,14 @@ def _search_keyed(keyed: DataFrame, schemes: list[KeyScheme], most: int, n_keys:
         huge = large.where(F.col("n_rows") > limits.rekey_rows)
         size = None if last else huge.agg(F.max("n_rows"), F.max("n_fresh"), F.sum("n_rows")).first()
         if size and size[0] is not None:
-            crowded = keyed.join(F.broadcast(huge.select(*keys)), keys, "left_semi")
+            crowded = _meet(keyed, huge, keys, "left_semi", limits)
             finer = choose_scheme(distance, size[1], size[0], strided=True)
             n_finer = size[2] * len(finer.key_masks)
             found.append(_search_keyed(
                 with_keys(scratch.keep(crowded, "crowded"), finer, level=2), [*schemes, finer], size[0], n_finer,
                 all_fresh, distance, scratch, forest, limits,
             ))
-        small = keyed.join(F.broadcast(large.select(*keys)), keys, "left_anti")
+        small = _meet(keyed, large, keys, "left_anti", limits)
     small = _spread(small, keys, n_keys // limits.task_keys).hint("merge")
     left = small if all_fresh else small.where("fresh")
     return reduce(DataFrame.unionByName, found, _join_keyed(left, small, schemes, distance))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kindred.sources.images import UNKNOWN_ERROR
+
 
 def file_differs(stored: str, current: str) -> Column:
     """Whether size or modification time differ between two aliases."""
@@ -75,7 +77,7 @@ def hashed_new_paths(new: DataFrame, hashed: DataFrame) -> DataFrame:
     return new.select("path").intersect(hashed.where(F.col("phash").isNotNull()).select("path"))
 
 
-def unreadable(hashed: DataFrame, unknown: str = "Error desconocido") -> DataFrame:
+def unreadable(hashed: DataFrame, unknown: str = UNKNOWN_ERROR) -> DataFrame:
     """Rows without a hash and the reason."""
     return hashed.where(F.col("phash").isNull()).withColumn("error", F.coalesce("error", F.lit(unknown)))
 

@@ -1,6 +1,8 @@
 import random
 
 import pytest
+
+import entry_queries.similarity
 from brute import groups, pairs
 from pyspark.sql import functions as F
 
@@ -24,7 +26,8 @@ BROADCAST = JoinLimits()
 SHUFFLED = JoinLimits(broadcast_keys=0)
 REKEYED = JoinLimits(broadcast_keys=0, bucket_rows=8, rekey_rows=8, tile_rows=16, task_keys=2_000)
 TILED = JoinLimits(broadcast_keys=0, bucket_rows=1, tile_rows=16, task_tile_comparisons=500)
-FORMS = {"broadcast": BROADCAST, "shuffled": SHUFFLED, "rekeyed": REKEYED, "tiled": TILED}
+LISTED = JoinLimits(broadcast_keys=0, bucket_rows=4, rekey_rows=16, tile_rows=16, large_buckets=0)
+FORMS = {"broadcast": BROADCAST, "shuffled": SHUFFLED, "rekeyed": REKEYED, "tiled": TILED, "listed": LISTED}
 
 
 def planted(n: int, seed: int, free_bits: int = 64) -> dict[int, int]:
@@ -229,3 +232,30 @@ def test_new_neighbours(spark, scratch):
 def test_distinct_hashes(spark):
     found = distinct_hashes(images(spark, {3: 9, 1: 9, 2: 4}))
     assert {tuple(r) for r in found.collect()} == {(9, 1, 2), (4, 2, 1)}
+
+
+def test_registered_forms_are_entered(spark, monkeypatch):
+    entered = set()
+
+    def spy(name, label=lambda args: ""):
+        real = getattr(similarity, name)
+
+        def call(*args):
+            entered.add(name + label(args))
+            return real(*args)
+
+        monkeypatch.setattr(similarity, name, call)
+
+    spy("_search_keyed", lambda args: f"{len(args[1])}")
+    spy("_tiles", lambda args: f"{len(args[2])}")
+    want = {
+        "similar_pairs_90_shuffled": {"_search_keyed1"},
+        "similar_pairs_90_tiled": {"_search_keyed1", "_tiles1"},
+        "similar_pairs_90_listed": {"_search_keyed1", "_tiles1"},
+        "similar_pairs_90_rekeyed": {"_search_keyed1", "_search_keyed2", "_tiles2"},
+        "components_80_tiled": {"_search_keyed1", "_tiles1"},
+    }
+    for name, forms in want.items():
+        entered.clear()
+        entry_queries.similarity.QUERIES[name][0](spark, "/root/testdata/sf0.01")
+        assert forms <= entered, (name, entered)
