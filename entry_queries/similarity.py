@@ -79,7 +79,7 @@ def candidate_pairs_95(spark, sf_dir):
 FORMS = {
     "shuffled": similarity.JoinLimits(broadcast_keys=0),
     "tiled": similarity.JoinLimits(broadcast_keys=0, bucket_rows=16, tile_rows=64),
-    "rekeyed": similarity.JoinLimits(broadcast_keys=0, bucket_rows=2, rekey_rows=16, tile_rows=64),
+    "rekeyed": similarity.JoinLimits(broadcast_keys=0, bucket_rows=4, rekey_rows=4, tile_rows=64),
     "listed": similarity.JoinLimits(broadcast_keys=0, bucket_rows=16, tile_rows=64, large_buckets=0),
 }
 
