@@ -23,15 +23,16 @@ from kindred.sources.scratch import Scratch
 _before: list[Scratch] = []
 
 
-def _scratch(spark: SparkSession) -> Scratch:
+def _scratch(spark: SparkSession, first: bool = False) -> Scratch:
     """Working tables of one stage.
 
     Those of the stage before go: its result has been written when the next
-    stage is called, so the disk holds the tables of one stage only.
+    stage is called, so the disk holds the tables of one stage only.  The first
+    stage deletes nothing, as the result of an earlier run may still be read.
     """
     while _before:
         old = _before.pop()
-        if old.spark.sparkContext is spark.sparkContext:
+        if not first and old.spark.sparkContext is spark.sparkContext:
             old.clear()
     _before.append(Scratch(spark))
     return _before[-1]
@@ -39,7 +40,7 @@ def _scratch(spark: SparkSession) -> Scratch:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weighed rules call good."""
-    return good_documents(docs, _scratch(spark))
+    return good_documents(docs, _scratch(spark, first=True))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
