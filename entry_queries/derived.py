@@ -169,24 +169,44 @@ hashed as (
 PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
-def _png(values) -> bytes:
-    """A 32x32 grey PNG, stored without compression; each value is a 4x4 patch."""
+def _levels(values):
+    """Vector components as 8-bit levels."""
+    import numpy as np
+
+    return np.floor(np.clip(np.asarray(values, dtype=np.float64) * 300.0 + 128.0, 0.0, 255.0) + 0.5).astype(np.uint8)
+
+
+def _stored_png(pixels) -> bytes:
+    """A PNG of an (h, w, 1 or 3) array, stored without compression."""
     import struct
     import zlib
 
-    import numpy as np
-
     def chunk(kind: bytes, body: bytes) -> bytes:
         return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
-    grey = np.floor(np.clip(np.asarray(values, dtype=np.float64) * 300.0 + 128.0, 0.0, 255.0) + 0.5)
-    pixels = np.kron(grey.reshape(8, 8), np.ones((4, 4))).astype(np.uint8)
-    lines = np.hstack([np.zeros((32, 1), np.uint8), pixels]).tobytes()
-    head = struct.pack(">IIBBBBB", 32, 32, 8, 0, 0, 0, 0)
+    height, width, channels = pixels.shape
+    lines = b"".join(b"\0" + row.tobytes() for row in pixels)
+    head = struct.pack(">IIBBBBB", width, height, 8, 2 if channels == 3 else 0, 0, 0, 0)
     return PNG_SIGNATURE + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines, 0)) + chunk(b"IEND", b"")
 
 
-def _write_files(root: str):
+def _grey_png(values) -> bytes:
+    """32 x 32 grey pixels; each value is a 4 x 4 patch."""
+    import numpy as np
+
+    return _stored_png(np.kron(_levels(values).reshape(8, 8), np.ones((4, 4), np.uint8))[:, :, None])
+
+
+def _colour_png(values) -> bytes:
+    """48 x 40 colour pixels in patches of 6 x 5; each channel has the values in another order."""
+    import numpy as np
+
+    levels, i = _levels(values), np.arange(64)
+    channels = [levels[order].reshape(8, 8) for order in (i, 63 - i, (5 * i + 3) % 64)]
+    return _stored_png(np.stack([np.kron(c, np.ones((5, 6), np.uint8)) for c in channels], axis=2))
+
+
+def _write_files(root: str, png):
     def run(batches):
         import os
 
@@ -196,7 +216,7 @@ def _write_files(root: str):
         systems = {}
         for batch in batches:
             for row in batch.itertuples(index=False):
-                content = _png(row.e)
+                content = png(row.e)
                 where = f"{root}{row.path}"
                 local = local_path(where)
                 system, inner = (fs.LocalFileSystem(), local) if local else remote_path(where, systems)
@@ -212,4 +232,13 @@ def write_images(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
     """Write one PNG per vector variant below ``root``."""
     tasks = spark.sparkContext.defaultParallelism
     files = variants(spark, sf_dir).select("path", "e").repartition(tasks, "path")
-    return files.mapInPandas(_write_files(qualified(spark, root)), "path string")
+    return files.mapInPandas(_write_files(qualified(spark, root), _grey_png), "path string")
+
+
+def write_colour_images(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
+    """Write one colour PNG per vector below ``root``."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    path = F.format_string("/colour%s/%s.png", F.col("label").cast("string"), F.col("vec_id").cast("string"))
+    files = vectors.select(path.alias("path"), F.col("embedding").alias("e"))
+    files = files.repartition(spark.sparkContext.defaultParallelism, "path")
+    return files.mapInPandas(_write_files(qualified(spark, root), _colour_png), "path string")

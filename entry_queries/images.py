@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from entry_queries.derived import components_sql, write_images
+from entry_queries.derived import components_sql, write_colour_images, write_images
 from kindred.operators import clustering, grouping
 from kindred.sources.images import decoded_images, fingerprint_files
 from kindred.sources.listing import list_images, list_images_hadoop, qualified
@@ -17,11 +17,11 @@ def _relative(path, root):
     return F.substring(plain, F.lit(len(root) + 1), F.length(plain))
 
 
-def _folder(spark, sf_dir):
+def _folder(spark, sf_dir, write=write_images):
     """A new folder of images: ``scratch, root``."""
     scratch = Scratch(spark)
     root = qualified(spark, scratch.folder("images"))
-    scratch.keep(write_images(spark, sf_dir, root), "written")
+    scratch.keep(write(spark, sf_dir, root), "written")
     return scratch, root
 
 
@@ -44,8 +44,8 @@ def image_decode(spark, sf_dir):
     return found.select(_relative(F.col("path"), root).alias("path"), *sizes)
 
 
-def _hashed(spark, sf_dir):
-    scratch, root = _folder(spark, sf_dir)
+def _hashed(spark, sf_dir, write=write_images):
+    scratch, root = _folder(spark, sf_dir, write)
     files = list_images(spark, root, scratch)
     hashed = scratch.keep(fingerprint_files(spark, files, scratch=scratch), "hashed")
     path = _relative(F.col("path"), root)
@@ -57,6 +57,12 @@ def image_phash(spark, sf_dir):
     return hashed.select("path", "phash", "error")
 
 
+def image_phash_colour(spark, sf_dir):
+    """Pictures in colour and of another size: grey weights and Lanczos resize count."""
+    _, hashed = _hashed(spark, sf_dir, write_colour_images)
+    return hashed.select("path", "phash", "error")
+
+
 def _grouped(spark, sf_dir):
     scratch, hashed = _hashed(spark, sf_dir)
     number = F.regexp_extract("path", r"(\d+)\.png$", 1).cast("bigint")
@@ -124,6 +130,49 @@ hm as materialized (
   from halves)
 """
 
+# Each channel has the vector in another order; 48 x 40 pixels in patches of 6 x 5.
+_COLOUR_SQL = """
+with lanczos as materialized (
+  select size, u, x // (size // 8) as p, sum(w) / sum(sum(w)) over (partition by size, u) as w
+  from (select size, u, x, case when abs(t) >= 3 then 0 when t = 0 then 1
+               else sin(pi() * t) / (pi() * t) * sin(pi() * t / 3) / (pi() * t / 3) end as w
+        from (select size, u, x, (x + 0.5 - (u + 0.5) * size / 32.0)::double / (size / 32.0)::double as t
+              from (select unnest([48, 40]) as size), range(32) a(u), range(48) b(x) where x < size))
+  group by size, u, x // (size // 8)),
+level as (
+  select vec_id, '/colour' || label || '/' || vec_id || '.png' as path,
+    [floor(least(greatest(x::double * 300.0::double + 128.0::double, 0.0::double), 255.0::double) + 0.5::double)::bigint
+     for x in embedding] as e
+  from embeddings),
+patch as (
+  select vec_id, path, i // 8 as py, i % 8 as px,
+    (19595 * e[i + 1] + 38470 * e[64 - i] + 7471 * e[(5 * i + 3) % 64 + 1] + 32768) >> 16 as grey
+  from level, range(64) t(i)),
+wide as materialized (
+  select vec_id, path, py, u, least(greatest(floor(sum(w * grey) + 0.5), 0), 255) as grey
+  from patch join lanczos on size = 48 and p = px group by all),
+tall as materialized (
+  select vec_id, path, l.u as r, wide.u as c, least(greatest(floor(sum(w * grey) + 0.5), 0), 255) as grey
+  from wide join lanczos l on size = 40 and p = py group by all),
+basis as materialized (
+  select u, x, case when u = 0 then sqrt(1.0 / 32) else sqrt(2.0 / 32) end * cos(pi() * (2 * x + 1) * u / 64) as w
+  from range(8) t(u), range(32) r(x)),
+half as materialized (
+  select vec_id, path, b.u, r, sum(b.w * grey) as c from tall join basis b on b.x = tall.c group by all),
+freq as (
+  select vec_id, path, b.u * 8 + half.u as i, sum(b.w * c) as c from half join basis b on b.x = r group by all),
+cut as (
+  select path, list(c order by i) as cs, list_sort(list(c) filter (i > 0))[32] as med from freq group by vec_id, path),
+halves as (
+  select path,
+    list_sum([case when cs[i + 1] >= med then (1::bigint << (31 - i)) else 0 end for i in range(32)])::bigint as hi,
+    list_sum([case when cs[i + 33] >= med then (1::bigint << (31 - i)) else 0 end for i in range(32)])::bigint as lo
+  from cut)
+select path, (case when hi >= 2147483648 then hi - 4294967296 else hi end) * 4294967296 + lo as phash,
+       null::varchar as error
+from halves
+"""
+
 _GROUPS = f"""with recursive {_IMAGES_SQL}, {components_sql('hm', 6)},
 g as (select group_id, count(*) as size, row_number() over (order by group_id) as id
       from comp group by group_id having count(*) > 1),
@@ -160,6 +209,7 @@ QUERIES = {
         _VARIANTS.format("32::bigint as height, 32::bigint as width, 1::bigint as channels"),
     ),
     "image_phash": (image_phash, f"with {_IMAGES_SQL} select path, h as phash, null::varchar as error from hm"),
+    "image_phash_colour": (image_phash_colour, _COLOUR_SQL),
     "image_groups_90": (image_groups_90, _GROUPS + "select * from members order by id, path"),
     "report_document": (report_document, _GROUPS + _DOCUMENT),
 }
