@@ -8,7 +8,7 @@ from entry_queries.derived import components_sql, write_colour_images, write_ima
 from kindred.operators import clustering, grouping
 from kindred.sources.images import decoded_images, fingerprint_files
 from kindred.sources.listing import list_images, list_images_hadoop, qualified
-from kindred.sources.report import report_lines
+from kindred.sources.report import SUMMARY_KEYS, report_lines
 from kindred.sources.scratch import Scratch
 
 
@@ -78,15 +78,8 @@ def image_groups_90(spark, sf_dir):
 def report_document(spark, sf_dir):
     """The lines of the report over these images, with their place."""
     scratch, images = _grouped(spark, sf_dir)
-    summary = {
-        "carpeta_analizada": "/images",
-        "similitud_minima_porcentaje": 90,
-        "imagenes_analizadas": images.count(),
-        "hashes_reutilizados_cache": 0,
-        "hashes_calculados_esta_ejecucion": images.count(),
-        "actualizacion_incremental_grupos": False,
-        "imagenes_nuevas_agregadas_a_grupos": images.count(),
-    }
+    n = images.count()
+    summary = dict(zip(SUMMARY_KEYS, ("/images", 90, n, 0, n, False, n), strict=True))
     none = images.limit(0).select("path", F.lit("").alias("error"))
     return report_lines(summary, images, none, scratch).select(
         F.col("section").cast("bigint").alias("section"), "major", "minor",

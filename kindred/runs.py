@@ -14,7 +14,7 @@ from kindred.operators.numbering import assign_ids
 from kindred.plans.thresholds import DEFAULT_THRESHOLD, check_threshold
 from kindred.sources.images import Decoder, fingerprint_files
 from kindred.sources.listing import list_images
-from kindred.sources.report import write_report
+from kindred.sources.report import SUMMARY_KEYS, write_report
 from kindred.sources.scratch import Scratch
 from kindred.sources.snapshots import SnapshotStore
 
@@ -105,14 +105,9 @@ def group_folder(spark: SparkSession, folder: str, threshold: int = DEFAULT_THRE
         threshold,
         scratch,
     )
-    summary = {
-        "carpeta_analizada": folder,
-        "similitud_minima_porcentaje": threshold,
-        "imagenes_analizadas": result.images,
-        "hashes_reutilizados_cache": result.reused,
-        "hashes_calculados_esta_ejecucion": result.calculated,
-        "actualizacion_incremental_grupos": not result.full_rebuild,
-        "imagenes_nuevas_agregadas_a_grupos": result.new_images,
-    }
+    values = (
+        folder, threshold, result.images, result.reused, result.calculated, not result.full_rebuild, result.new_images,
+    )
+    summary = dict(zip(SUMMARY_KEYS, values, strict=True))
     write_report(summary, result.state, result.unreadable, report, scratch)
     return result

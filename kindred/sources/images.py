@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from importlib.util import find_spec
 
 import numpy as np
@@ -128,6 +128,28 @@ def decoded_images(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
+def register_phash(spark: SparkSession, name: str = "phash", decode: Decoder = image_hash.pillow_block) -> None:
+    """Make ``phash(content)`` known to SQL: the hash of an encoded image.
+
+    ``content`` is binary, as in Spark's ``binaryFile`` source.  A null or
+    unreadable image gives null.
+    """
+
+    @F.pandas_udf("bigint")
+    def phash(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in contents:
+            blocks = []
+            for content in batch:
+                block = None
+                if content is not None:
+                    with suppress(*DECODE_ERRORS):
+                        block = decode(bytes(content))
+                blocks.append(block)
+            yield _hash_all(blocks)
+
+    spark.udf.register(name, phash)
+
+
 @contextmanager
 def _setting(spark: SparkSession, name: str, value: int):
     before = spark.conf.get(name)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from kindred.functions import image_hash
 from kindred.runs import group_folder, sync
 from kindred.sources import images
-from kindred.sources.images import decoded_images, fingerprint_files, hash_files, hash_files_jvm, open_input
+from kindred.sources.images import decoded_images, fingerprint_files, hash_files, hash_files_jvm, open_input, register_phash
 from kindred.sources.listing import _remote_entries, list_images, list_images_hadoop, qualified
 from kindred.sources.report import report_lines, write_report
 from kindred.sources.scratch import Scratch, shared_folder
@@ -123,6 +123,19 @@ def test_fingerprints(spark, scratch, folder, decode):
     assert found["a.png"].size == os.stat(folder / "a.png").st_size
 
 
+def test_phash_in_sql(spark, scratch, folder):
+    files = list_images(spark, str(folder), scratch)
+    want = {r.path: r.phash for r in fingerprint_files(spark, files, read_png, scratch).collect()}
+    register_phash(spark, decode=read_png)
+    spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(folder)).createOrReplaceTempView("found")
+    rows = spark.sql("select path, phash(content) as phash, phash(cast(null as binary)) as none from found").collect()
+    got = {r.path.removeprefix("file:"): r.phash for r in rows}
+    known = [name for name in ("a.png", "other.png", "bad.jpg", "black.png", "sub/deep/half.png")]
+    assert [got[f"{folder}/{n}"] for n in known] == [want[f"{folder}/{n}"] for n in known]
+    assert got[f"{folder}/a.png"] is not None and got[f"{folder}/bad.jpg"] is None
+    assert all(r.none is None for r in rows)
+
+
 def test_shards_and_hidden_names(spark, scratch, folder, monkeypatch):
     files = list_images(spark, str(folder), scratch)
     one = {r.path: (r.phash, r.error) for r in hash_files_jvm(spark, files, scratch).collect()}
