@@ -10,6 +10,10 @@ The model is fitted on stretches of at most ``STRETCH`` words of about
 ``SAMPLE`` documents; stretches of different documents are joined, so that the
 transitions see changes of language.  Predictions read every word.
 
+Words stand between ASCII white space.  One of more than ``LETTERS`` letters
+(text without such space) is several words: it is split at what is neither a
+letter, a mark nor an apostrophe, and then after every ``LETTERS`` letters.
+
 Nulls: a null text has no words; a text without a letter is ``und`` with score
 0.  A null language teaches nothing; with nothing to learn all is ``und``.
 Repeated rows get equal results.  An empty table gives an empty result.
@@ -18,6 +22,7 @@ Repeated rows get equal results.  An empty table gives an empty result.
 from __future__ import annotations
 
 import sys
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -32,6 +37,7 @@ from kindred.llm.common import crc_bucket, utf8
 
 FOLDS, HELD_OUT = 4, 2
 SAMPLE, STRETCH = 3000, 60
+LETTERS = 32
 HASH_SIZE = 1 << 15
 LEXICON = 300
 EPOCHS, RATE, BATCH = 4, 0.3, 64
@@ -39,9 +45,37 @@ KNOWN_WORDS, WORDS_AT_ONCE = 800_000, 800_000
 UNDETERMINED = "und"
 
 
+def _letters(word: str) -> str:
+    return "".join(c for c in word.lower() if c.isalpha())
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """Words of a text; one of more than ``LETTERS`` letters is several."""
+    own = text.split()
+    if max(map(len, own), default=0) <= LETTERS:
+        return own
+    words: list[bytes] = []
+    for word in own:
+        if len(word) <= LETTERS or sum(map(str.isalpha, long := word.decode("utf-8", "replace"))) <= LETTERS:
+            words.append(word)
+            continue
+        start, n = 0, 0
+        for i, c in enumerate(long):
+            letter = c.isalpha()
+            inside = letter or c in "'\u2019" or unicodedata.category(c)[0] == "M"
+            if not inside or letter and n == LETTERS:
+                if n:
+                    words.append(long[start:i].encode())
+                start, n = i + (not inside), 0
+            n += letter
+        if n:
+            words.append(long[start:].encode())
+    return words
+
+
 def word_features(word: str, lexicon: dict[str, int]) -> list[int]:
     """Hashed affixes, n-grams and lexicon entry of a word; none without a letter."""
-    core = "".join(c for c in word.lower() if c.isalpha())[:64]
+    core = _letters(word)
     if not core:
         return []
     marked = f"<{core}>"
@@ -87,19 +121,20 @@ def forward_backward(emission: np.ndarray, transition: np.ndarray, lengths: np.n
 class Crf:
     """Weights by feature and label, and transitions."""
 
-    def __init__(self, texts: list[tuple[str, str]], seed: int = 7):
+    def __init__(self, given: list[tuple[str, str]], seed: int = 7):
+        texts = [([w.decode() for w in words_of(text.encode())], lang) for text, lang in given]
         self.labels = sorted({lang for _, lang in texts})
         number = {lang: k for k, lang in enumerate(self.labels)}
         n = len(self.labels)
         by_label = [Counter() for _ in range(n)]
         for text, lang in texts:
-            by_label[number[lang]].update("".join(c for c in w.lower() if c.isalpha()) for w in text.split())
+            by_label[number[lang]].update(map(_letters, text))
         words = dict.fromkeys(w for c in by_label for w, _ in c.most_common(LEXICON) if w)
         self.lexicon = {w: k for k, w in enumerate(words)}
         self.weights = np.zeros((HASH_SIZE + len(self.lexicon), n), np.float32)
         self.transition = np.zeros((n, n), np.float32)
         if n:
-            self._fit([(t.split(), number[lang]) for t, lang in texts], np.random.default_rng(seed))
+            self._fit([(ws, number[lang]) for ws, lang in texts], np.random.default_rng(seed))
 
     def _fit(self, texts: list[tuple[list[str], int]], rng: np.random.Generator) -> None:
         known: dict[str, list[int]] = {}
@@ -174,7 +209,7 @@ def label_words(texts: list[bytes], known: _Emissions) -> tuple[np.ndarray, np.n
     words: list[bytes] = []
     lengths = np.empty(len(texts), np.int64)
     for i, text in enumerate(texts):
-        own = text.split()
+        own = words_of(text)
         lengths[i] = len(own)
         words += own
     if len(known.number) > KNOWN_WORDS:
@@ -224,6 +259,17 @@ def _predict(model: Crf, key: str):
     return run
 
 
+def _stretches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A stretch of each text, from the place that a hash picks."""
+    for batch in batches:
+        texts = []
+        for text, place in zip(utf8(batch["text"]), batch["place"].to_pylist(), strict=True):
+            words = words_of(text)
+            first = place % max(1, len(words) - STRETCH + 1)
+            texts.append(b" ".join(words[first : first + STRETCH]).decode("utf-8", "replace"))
+        yield pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string()), "lang": batch["lang"]})
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Crf:
     """A model from stretches of documents outside the held-out fold."""
     usable = docs.where(F.col(lang).isNotNull() & (crc_bucket(doc_id, FOLDS) != HELD_OUT)).select(
@@ -231,10 +277,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str
     )
     share = min(1.0, sample / max(1, usable.count()))
     chosen = usable.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), "\\s+"), lambda w: w != "")
-    # a stretch from a place that a hash picks
-    first = F.pmod(F.xxhash64("_id", F.lit(1)), F.greatest(F.size("w") - STRETCH + 1, F.lit(1))).cast("int") + 1
-    rows = chosen.withColumn("w", words).select(F.array_join(F.slice("w", first, STRETCH), " ").alias("text"), "lang").collect()
+    rows = chosen.select(F.xxhash64("_id", F.lit(1)).alias("place"), "text", "lang").mapInArrow(_stretches, "text string, lang string").collect()
     return Crf(sorted((r["text"], r["lang"]) for r in rows))
 
 

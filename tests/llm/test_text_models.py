@@ -190,3 +190,27 @@ def test_languages_of_odd_rows(spark):
         assert (r["lang_pred"], r["score"]) == ("und", 0.0)
     nothing = language_crf.fit(frame(spark, []))
     assert {r["lang_pred"] for r in language_crf.languages(frame(spark), nothing).collect()} == {"und"}
+
+
+def test_words_without_white_space_are_read_to_the_end(spark):
+    assert language_crf.words_of("don't a-b 12".encode()) == [b"don't", b"a-b", b"12"]
+    assert language_crf.words_of(("x" * 70).encode()) == [b"x" * 32, b"x" * 32, b"x" * 6]
+    assert language_crf.words_of(b"ab/" * 20) == [b"ab"] * 20
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_crf.fit(docs)
+    a, b = (
+        next(r["text"].split()[:300] for r in docs.where(docs.lang == lang).orderBy("doc_id").collect() if len(r["text"].split()) > 300)
+        for lang in model.labels[:2]
+    )
+    for between in ("\u00a0", "/", ""):
+        # the first words are of one language, all others of another one
+        rows = [(1, between.join(a[:25] + b), None, None, 0), (2, between.join(b[:25] + a), None, None, 0)]
+        found = {r["doc_id"]: r["lang_pred"] for r in language_crf.languages(frame(spark, rows), model).collect()}
+        assert found == {1: model.labels[1], 2: model.labels[0]}
+    # long words teach, too
+    joined = [(k, "\u3002".join((a, b)[k % 2]), model.labels[k % 2], "s", 0) for k in range(40)]
+    again = language_crf.fit(frame(spark, joined))
+    assert language_crf.words_of(joined[0][1].encode())[-1].decode() in joined[0][1][-40:]
+    assert again.labels == model.labels[:2]
+    found = language_crf.languages(frame(spark, joined), again).collect()
+    assert all(r["lang_pred"] == joined[r["doc_id"]][2] for r in found)
