@@ -2,10 +2,13 @@
 
 Spark tokenises the documents and cuts longer ones into pieces.  How pieces
 share sequences depends on their lengths alone, and there are at most
-``capacity`` lengths, so the plan is made from the number of pieces per length:
-the longest piece left is completed by a branch-and-bound search for the
-undominated filling that wastes least, starting from the best-fit filling, and
-the filling is repeated as long as its lengths last.  Spark then numbers the
+``capacity`` lengths, so the plan is made from the number of pieces per length.
+First the longest piece left is completed by the filling that wastes least, as
+often as its lengths last.  Where that needs more sequences than the lower bound
+L2 of Martello and Toth, a search goes back to other undominated fillings and
+other numbers of repeats, fewest deviations first, and leaves what cannot beat
+the best plan.  It ends at the bound, when all is searched, or at ``PLAN_NODES``
+steps with the best plan so far.  Spark then numbers the
 pieces within their length (salted, so that a length that a third of all pieces
 share is not one group) and each number finds its place in the plan.
 
@@ -34,6 +37,8 @@ CAPACITY = 4096
 END_ID = 1
 # Fillings looked at per step before the best one so far is taken.
 SEARCH_NODES = 2000
+# Steps of the search for a plan with fewer sequences.
+PLAN_NODES = 20_000
 # Words that a Python worker remembers, and words looked up at once.
 KNOWN_WORDS = 1_000_000
 WORDS_AT_ONCE = 400_000
@@ -221,17 +226,31 @@ def best_filling(lengths: list[int], counts: dict[int, int], room: int, nodes: i
     return best
 
 
-def packing_plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = SEARCH_NODES) -> dict[int, np.ndarray]:
-    """Places by length: rows ``first number, pieces per sequence, first sequence, offset``.
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Sequences needed at least: L2 of Martello and Toth."""
+    if not counts:
+        return 0
+    x = np.array(sorted(counts), np.int64)
+    n = np.array([counts[k] for k in x.tolist()], np.int64)
+    number = np.concatenate(([0], np.cumsum(n)))
+    volume = np.concatenate(([0], np.cumsum(n * x)))
+    half = int(np.searchsorted(2 * x, capacity, "right"))  # longer ones stand in sequences of their own
+    alone = int(number[-1] - number[half])
+    aside = np.arange(half)  # shorter ones than this are put aside
+    upto = np.maximum(half, np.searchsorted(x, capacity - x[:half], "right"))
+    room = (number[upto] - number[half]) * capacity - (volume[upto] - volume[half])
+    more = -(-(volume[half] - volume[aside] - room) // capacity)
+    return alone + max(0, int(more.max(initial=0)))
 
-    Piece ``r`` of a length belongs to the last row whose first number is not
-    above ``r``.
-    """
-    left = {length: n for length, n in sorted(counts.items()) if n}
+
+Filling = list[tuple[int, int]]
+
+
+def _greedy(left: dict[int, int], capacity: int, nodes: int) -> list[tuple[Filling, int]]:
+    """Fillings and how often each is taken; always the least waste for the longest piece."""
+    left = dict(left)
     lengths = list(left)
-    used = dict.fromkeys(left, 0)
-    places: dict[int, list[tuple[int, int, int, int]]] = {length: [] for length in left}
-    sequence = 0
+    steps = []
     while lengths:
         longest = lengths[-1]
         left[longest] -= 1
@@ -242,14 +261,157 @@ def packing_plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int =
         for length, k in filling:
             wanted[length] = wanted.get(length, 0) + k
         times = min(left[length] // k for length, k in wanted.items())
-        offset = 0
         for length, k in wanted.items():
-            places[length].append((used[length], k, sequence, offset))
-            used[length] += k * times
             left[length] -= k * times
-            offset += k * length
             if not left[length]:
                 lengths.remove(length)
+        steps.append((list(wanted.items()), times))
+    return steps
+
+
+def _dominates(better: Filling, other: Filling) -> bool:
+    """Whether the pieces of ``other`` are seen to fit into those of ``better``."""
+    if sum(k for _, k in better) > 64 or sum(k for _, k in other) > 64:
+        return False
+    rooms = sorted(length for length, k in better for _ in range(k))
+    for length, k in sorted(other, reverse=True):
+        for _ in range(k):
+            at = bisect.bisect_left(rooms, length)
+            if at == len(rooms):
+                return False
+            bisect.insort(rooms, rooms.pop(at) - length)
+    return True
+
+
+def fillings(lengths: list[int], counts: dict[int, int], room: int, waste: int, nodes: int) -> tuple[list[Filling], bool]:
+    """Undominated fillings that waste at most ``waste``, least first, and whether these are all."""
+    below = [0]
+    for length in lengths:
+        below.append(below[-1] + length * counts[length])
+    found: list[tuple[int, Filling]] = []
+    stack = [(room, bisect.bisect_right(lengths, room), [], room + 1)]
+    seen = 0
+    while stack and seen < nodes:
+        left, upto, taken, skipped = stack.pop()
+        seen += 1
+        fits = bisect.bisect_right(lengths, left)
+        if fits < upto:
+            upto = fits
+        if left - min(below[upto], left) > waste or left >= skipped and left - below[upto] >= skipped:
+            continue  # too much waste, or a skipped piece would fit whatever follows
+        if not upto:
+            if left <= waste and left < skipped:
+                found.append((left, taken))
+            continue
+        length = lengths[upto - 1]
+        most = min(counts[length], left // length)
+        for k in range(most + 1):
+            # of this length some stay out: a filling with room for one more is dominated
+            out = skipped if k == counts[length] else min(skipped, length)
+            stack.append((left - k * length, upto - 1, [*taken, (length, k)] if k else taken, out))
+    found.sort(key=lambda x: (x[0], [(-a, -k) for a, k in x[1]]))
+    kept: list[Filling] = []
+    for _, filling in found:
+        if len(kept) < 200 and not any(_dominates(other, filling) for other in kept):
+            kept = [other for other in kept if not _dominates(filling, other)]
+            kept.append(filling)
+    return kept, not stack and len(kept) < 200
+
+
+def _search(
+    counts: dict[int, int], capacity: int, best: list[tuple[Filling, int]], nodes: int, plan_nodes: int
+) -> list[tuple[Filling, int]]:
+    """A plan with fewer sequences than ``best`` where one is found, else ``best``."""
+    least = sum(times for _, times in best)
+    bound = lower_bound(counts, capacity)
+    seen, allowed, met_limit = 0, 0, True
+
+    def choices(left: dict[int, int], used: int) -> list[tuple[Filling, int]]:
+        """All fillings of the longest piece, as often as they can be; then fewer times."""
+        lengths = sorted(left)
+        longest = lengths[-1]
+        spare = (least - 1 - used) * capacity - sum(x * n for x, n in left.items())
+        if spare < 0:
+            return []
+        rest = {**left, longest: left[longest] - 1}
+        open_lengths = lengths if rest[longest] else lengths[:-1]
+        room = capacity - longest
+        found, complete = fillings(open_lengths, rest, room, spare, nodes)
+        if not complete:
+            first = best_filling(open_lengths, rest, room, nodes)
+            found = [first] + [x for x in found if x != first]
+        often, fewer = [], []
+        for filling in found:
+            wanted = {longest: 1}
+            for length, k in filling:
+                wanted[length] = wanted.get(length, 0) + k
+            waste = capacity - sum(x * k for x, k in wanted.items())
+            most = min(left[x] // k for x, k in wanted.items())
+            most = min(most, spare // waste) if waste else most
+            if most:
+                often.append((list(wanted.items()), most))
+            while most > 1:
+                most //= 2
+                fewer.append((list(wanted.items()), most))
+        return often + fewer
+
+    while met_limit and least > bound and seen < plan_nodes:
+        met_limit = False
+        known: dict[tuple, int] = {}  # deviations left when a state was met
+        steps: list[tuple[Filling, int]] = []
+        start = {x: n for x, n in counts.items() if n}
+        frames = [(start, 0, allowed, iter(enumerate(choices(start, 0))))]
+        while frames and least > bound and seen < plan_nodes:
+            left, used, deviations, open_ = frames[-1]
+            at, step = next(open_, (None, None))
+            if at is None or at > deviations:
+                met_limit |= at is not None
+                frames.pop()
+                if frames:
+                    steps.pop()
+                continue
+            seen += 1
+            filling, times = step
+            now = dict(left)
+            for length, k in filling:
+                now[length] -= k * times
+                if not now[length]:
+                    del now[length]
+            total = used + times
+            if total + lower_bound(now, capacity) >= least:
+                continue
+            if not now:
+                best, least = [*steps, step], total
+                continue
+            state = (total, *sorted(now.items()))
+            if known.get(state, -1) >= deviations - at:
+                continue
+            known[state] = deviations - at
+            steps.append(step)
+            frames.append((now, total, deviations - at, iter(enumerate(choices(now, total)))))
+        allowed = 2 * allowed + 1
+    return best
+
+
+def packing_plan(
+    counts: dict[int, int], capacity: int = CAPACITY, nodes: int = SEARCH_NODES, plan_nodes: int = PLAN_NODES
+) -> dict[int, np.ndarray]:
+    """Places by length: rows ``first number, pieces per sequence, first sequence, offset``.
+
+    Piece ``r`` of a length belongs to the last row whose first number is not
+    above ``r``.
+    """
+    given = {length: n for length, n in sorted(counts.items()) if n}
+    steps = _search(given, capacity, _greedy(given, capacity, nodes), nodes, plan_nodes)
+    used = dict.fromkeys(given, 0)
+    places: dict[int, list[tuple[int, int, int, int]]] = {length: [] for length in given}
+    sequence = 0
+    for filling, times in steps:
+        offset = 0
+        for length, k in filling:
+            places[length].append((used[length], k, sequence, offset))
+            used[length] += k * times
+            offset += k * length
         sequence += times
     return {length: np.array(rows, np.int64).T for length, rows in places.items()}
 

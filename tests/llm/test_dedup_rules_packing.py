@@ -9,7 +9,7 @@ import pytest
 import xxhash
 
 from kindred.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
-from kindred.llm.packing import best_filling, best_fit_packing, packing_plan
+from kindred.llm.packing import best_filling, best_fit_packing, lower_bound, packing_plan
 from kindred.llm.quality_rules import good_documents, quality_rules
 from kindred.llm.simhash_links import (
     covering_triples,
@@ -246,3 +246,37 @@ def test_plan_places_every_piece_once():
         rest = sum(n * x for x, n in counts.items() if t <= x <= 50)
         bound = max(bound, alone + max(0, -(-(rest - room) // 100)))
     assert bound <= len(filled) <= 1.01 * bound
+
+
+def sequences_of(counts, capacity):
+    plan = packing_plan(counts, capacity)
+    filled = Counter()
+    for length, n in counts.items():
+        first, k, sequence, _ = plan[length]
+        row = np.searchsorted(first, np.arange(n), "right") - 1
+        for s in (sequence[row] + (np.arange(n) - first[row]) // k[row]).tolist():
+            filled[s] += length
+    assert max(filled.values()) <= capacity
+    return len(filled)
+
+
+def test_plan_goes_back_to_other_fillings():
+    counts = {2457: 1000, 2253: 2000, 1597: 1000, 1024: 2000, 819: 2000}
+    assert lower_bound(counts, 4096) == sequences_of(counts, 4096) == 3000
+
+
+def test_plan_is_the_least_of_small_tables():
+    rng = np.random.default_rng(8)
+
+    def least(left, capacity, rooms=()):
+        """Sequences by trying every place of every piece."""
+        if not left:
+            return len(rooms)
+        x, rest = left[0], left[1:]
+        places = {r for r in rooms if r >= x}
+        tries = [least(rest, capacity, (*(rooms[: rooms.index(r)]), r - x, *rooms[rooms.index(r) + 1 :])) for r in places]
+        return min([*tries, least(rest, capacity, (*rooms, capacity - x))])
+
+    for _ in range(30):
+        pieces = sorted(rng.integers(8, 60, 7).tolist(), reverse=True)
+        assert sequences_of(dict(Counter(pieces)), 100) == least(pieces, 100)
