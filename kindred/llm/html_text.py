@@ -4,9 +4,12 @@ Every node of the page gets its characters per tag, adjusted for links; the
 subtree whose children's densities have the largest sum is the core of the
 page.  The smallest density on the way from there to the body is the threshold:
 neighbours along that way that reach it belong to the article too.  An enclosing
-``article`` or ``main`` is taken whole.  What is boilerplate by its element or
-its class (menus, forms, notices, comments, ...) is left out before densities
-are computed.
+``article`` or ``main`` is taken whole.  What is boilerplate by its element
+(menus, scripts, ...) is left out before densities are computed.  A class, id or
+role (notices, comments, ...) and a form only make a subtree doubtful: it is left
+out unless it holds an ``article`` or ``main``, or holds blocks and more text
+outside links than the rest of the page, or nothing would be left without the
+doubtful ones.
 
 Nulls: a null page is empty; a page without text gives an empty text.  Pages
 are independent, so repeated rows give repeated results.
@@ -36,19 +39,22 @@ CLOSES = {
 }
 WALLS = frozenset("table ul ol dl body html article section div".split())
 # Elements and class words of what is not the article.
-DROPPED = RAW | frozenset("head nav footer aside form menu select option button dialog object canvas audio video label input".split())
+DROPPED = RAW | frozenset("head nav footer aside menu select option button dialog object canvas audio video label input".split())
 DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent "
     "cookie cookies disqus footer gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices "
     "overlay pager pagination popup popover promo promoted promotion recommended related reply replies respond search share "
     "sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split()
 )
+# Beside one of these, a class word says something about another part of the page.
+DENIALS = frozenset("no not non has have with without free enabled disabled".split())
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
 )
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+
 
 
 class Page:
@@ -56,6 +62,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tags, self.parents, self.dropped = ["#"], [-1], [False]
+        self.doubtful: list[int] = []
         self.runs: list[tuple[int, str]] = []  # node, text; "" ends a block
         self._parse(source)
 
@@ -70,9 +77,18 @@ class Page:
         if not dropped:
             in_article = any(self.tags[k] in ("article", "main") for k in stack)
             dropped = tag == "header" and not in_article
+            doubtful = tag == "form"
             if attributes and tag not in ("html", "body", "article", "main"):
-                words = set(re.split(r"[^a-z0-9]+", " ".join("".join(m) for m in _NAMES.findall(attributes)).lower()))
-                dropped |= bool(words & DROPPED_WORDS) or ("header" in words and not in_article) or bool(_HIDDEN.search(attributes))
+                given: dict[str, str] = {}
+                for name, *values in _ATTRIBUTE.findall(attributes):
+                    given.setdefault(name.lower(), html.unescape("".join(values)))
+                dropped |= "hidden" in given or bool(_NO_DISPLAY.search(given.get("style", "")))
+                for name in " ".join(given.get(k, "") for k in ("class", "id", "role")).lower().split():
+                    words = set(re.split(r"[^a-z0-9]+", name))
+                    if not words & DENIALS:
+                        doubtful |= bool(words & DROPPED_WORDS) or ("header" in words and not in_article)
+            if doubtful and not dropped:
+                self.doubtful.append(len(self.tags))
         self.tags.append(tag)
         self.parents.append(parent)
         self.dropped.append(dropped)
@@ -117,6 +133,28 @@ class Page:
                 stack.pop()
 
 
+def _settle(page: Page, in_link: list[bool]) -> None:
+    """Drop the doubtful subtrees that are not the article."""
+    n = len(page.tags)
+    plain, holds = [0] * n, [tag in ("article", "main") and not gone for tag, gone in zip(page.tags, page.dropped, strict=True)]
+    for k, text in page.runs:
+        if not page.dropped[k] and not in_link[k]:
+            plain[k] += len("".join(text.split()))
+    blocks = [False] * n  # whether a block lies inside
+    own = plain[:]
+    for k in range(n - 1, 0, -1):
+        plain[page.parents[k]] += plain[k]
+        holds[page.parents[k]] |= holds[k]
+        blocks[page.parents[k]] |= not page.dropped[k] and (blocks[k] or page.tags[k] in BLOCK)
+    gone = [False] * n
+    for k in page.doubtful:
+        gone[k] = not (holds[k] or blocks[k] and 2 * plain[k] > plain[0])
+    for k in range(1, n):
+        gone[k] |= gone[page.parents[k]]
+    if any(size and not out for size, out in zip(own, gone, strict=True)):
+        page.dropped = [a or b for a, b in zip(page.dropped, gone, strict=True)]
+
+
 def main_text(source: str) -> str:
     """Blocks of the article, two line breaks between them."""
     page = Page(source)
@@ -125,6 +163,8 @@ def main_text(source: str) -> str:
     in_link = [False] * n
     for k in range(1, n):
         in_link[k] = page.tags[k] == "a" or in_link[page.parents[k]]
+    if page.doubtful:
+        _settle(page, in_link)
     for k, text in page.runs:
         if not page.dropped[k]:
             size = len("".join(text.split()))

@@ -109,6 +109,22 @@ def test_pages_of_all_kinds(spark):
     assert texts[0] == texts[1] == texts[7] == "" and texts[2] == "plain text" and texts[8] == "deep" and texts[9] == "<b> x"
 
 
+@pytest.mark.parametrize("wrapper", [
+    "<div id=page class='has-sidebar'>", "<div class='no-sidebar'>", "<div class='ad-free'>", "<div class='search-result'>",
+    "<div class='share-enabled'>", "<div class='related-post'>", "<form>", "<div data-id=sidebar>", "<div title='the hidden cost'>",
+])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<div>{}</div>"])
+def test_wrappers_around_the_article_are_kept(wrapper, inner):
+    end = "</form>" if wrapper == "<form>" else "</div>"
+    body = inner.replace("{}", ARTICLE + "<div class=ad>Buy this</div>")
+    page = f"<body><nav><a href=x>Home</a></nav>{wrapper}<div class=sidebar>Aside</div>{body}{end}<div style='display:none'>No</div><p hidden>No</p></body>"
+    assert main_text(page) == WANT
+
+
+def test_two_doubtful_halves_are_not_an_empty_page():
+    assert main_text("<div class=search>one two</div><div class=share>six ten</div>")
+
+
 # --- quality model -----------------------------------------------------------
 
 
