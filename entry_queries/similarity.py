@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from entry_queries.derived import HASHES_SQL, components_sql, hashed_variants, variants
+from entry_queries.derived import HASHES_SQL, components_sql, hashed_variants, table, variants
 from kindred.functions.bits import QUARTERS, hamming, hash_parts, probe_values, split_bits
+from kindred.functions.text_hash import hash_texts
 from kindred.functions.vector_hash import hash_vectors, hex_hash
 from kindred.operators import clustering, grouping, similarity
 from kindred.operators.snapshot_diff import unreadable
@@ -186,6 +187,39 @@ def unreadable_vectors(spark, sf_dir):
     return unreadable(hash_vectors(v, "e")).select("img_id", "error")
 
 
+def document_hashes(spark, sf_dir):
+    return hash_texts(table(spark, sf_dir, "documents"), "text", ["doc_id"]).select("doc_id", "phash", "error")
+
+
+def document_groups(threshold):
+    """Groups of documents whose text fingerprints are similar."""
+
+    def query(spark, sf_dir):
+        scratch = Scratch(spark)
+        hashes = hash_texts(table(spark, sf_dir, "documents"), "text", ["doc_id"]).where("phash is not null")
+        hashes = scratch.keep(hashes.select(F.col("doc_id").alias("image_id"), "phash"), "hashes")
+        found = clustering.cluster(hashes, threshold, scratch)
+        return found.select(F.col("image_id").alias("doc_id"), "group_id")
+
+    return query
+
+
+DOCUMENTS_SQL = r"""
+w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[ \n\t]+'), lambda x: x <> '') as a
+      from documents where text is not null),
+sh as (select doc_id, unnest(case when len(a) < 3 then [array_to_string(a, ' ')]
+       else [a[i] || ' ' || a[i + 1] || ' ' || a[i + 2] for i in range(1, len(a) - 1)] end) as g from w),
+b as (select doc_id, ('0x' || substr(md5(g), 1, 8))::bigint as hi, ('0x' || substr(md5(g), 9, 8))::bigint as lo from sh),
+bits as (select doc_id, p, sum(case when p < 32 then ((hi >> (31 - p)) & 1) * 2 - 1 else ((lo >> (63 - p)) & 1) * 2 - 1 end) as v
+         from b, range(64) t(p) group by doc_id, p),
+q as (select doc_id, sum(case when v >= 0 and p < 32 then 1::bigint << (31 - p) else 0 end)::bigint as hi,
+        sum(case when v >= 0 and p >= 32 then 1::bigint << (63 - p) else 0 end)::bigint as lo
+      from bits group by doc_id),
+dh as materialized (
+  select doc_id as img_id, (case when hi >= 2147483648 then hi - 4294967296 else hi end) * 4294967296 + lo as h from q)
+"""
+
+
 def _pairs_sql(k: int) -> str:
     return f"""with {HASHES_SQL},
 d as materialized (select h, min(img_id) as rep from hm group by h)
@@ -279,6 +313,16 @@ QUERIES = {
     "regroup_after_delete": (regroup_after_delete, _components_sql(3, "variant <> 1")),
     "regroup_after_change": (regroup_after_change, _components_sql(3)),
     "merge_groups": (merge_groups, _components_sql(6)),
+    "document_hashes": (
+        document_hashes,
+        f"""with {DOCUMENTS_SQL} select doc_id, h as phash, case when h is null then 'no text' end as error
+        from documents left join dh on doc_id = img_id""",
+    ),
+    "document_groups_90": (
+        document_groups(90),
+        f"""with recursive {DOCUMENTS_SQL}, {components_sql('dh', max_distance(90))}
+        select img_id as doc_id, group_id from comp""",
+    ),
     "unreadable": (
         unreadable_vectors,
         f"with {HASHES_SQL} select img_id, 'no vector' as error from hm where label = 9",

@@ -1,10 +1,14 @@
+import hashlib
 import random
+import re
+from collections import Counter
 
 import pytest
 from brute import labels
 from pyspark.sql import functions as F
 
 from kindred.functions.bits import QUARTERS, THIRDS, hash_parts, probe_values, split_bits
+from kindred.functions.text_hash import hash_texts
 from kindred.functions.vector_hash import hash_vectors, hex_hash
 from kindred.operators import snapshot_diff as diff
 from kindred.operators.clustering import init_groups, merge_groups
@@ -51,6 +55,30 @@ def test_vector_hash(spark):
     assert [r[0] for r in top] == ["F" * 16, "0" * 15 + "1"]
 
 
+def plain_simhash(text):
+    tokens = [t for t in re.split("[ \n\t]+", text.lower()) if t]
+    grams = [" ".join(tokens[i : i + 3]) for i in range(len(tokens) - 2)] or [" ".join(tokens)]
+    values = [int(hashlib.md5(g.encode()).hexdigest()[:16], 16) for g in grams]
+    return signed(sum(1 << k for k in range(64) if 2 * sum(v >> k & 1 for v in values) >= len(values)))
+
+
+def test_text_hash(spark):
+    rng = random.Random(4)
+    words = ["eine", "Öl", "naïve", "x", "12", "de", "STRASSE", "中文"]
+    texts = ["", " \n\t", "one", "One  two", "a b c", "a b c d", "tab\tline\nend", "z " * 5000]
+    texts += [" ".join(rng.choice(words) for _ in range(n)) for n in (3, 4, 17, 400, 3000)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(3, "one two"), (3, "one two"), (None, "a b c"), (99, None)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    df = df.withColumns({"phash": F.lit("p"), "_n": F.lit(0), "_h": F.lit(0)})
+    found = hash_texts(df, "text", ["id"])
+    assert found.columns == ["id", "phash", "error"]
+    want = Counter((i, None if t is None else plain_simhash(t), "no text" if t is None else None) for i, t in rows)
+    assert Counter(map(tuple, found.collect())) == want
+    assert hash_texts(df.limit(0), "text", ["id"]).count() == 0
+    plan = hash_texts(df, "text", ["id"])._jdf.queryExecution().sparkPlan().toString()
+    assert "Python" not in plan and "collect_list" not in plan
+
+
 def test_extensions(spark):
     cases = {
         "/a/b.JPG": ".jpg", "/a/.jpg": "", "/a/b.c.png": ".png", "/a/b": "", "/a.d/b": "", "/a/b.": "",
