@@ -11,6 +11,7 @@ from kindred.functions.vector_hash import hash_vectors, hex_hash
 from kindred.operators import clustering, grouping, similarity
 from kindred.operators.snapshot_diff import unreadable
 from kindred.plans.thresholds import ALLOWED_THRESHOLDS, max_distance, max_distance_column, similarity_column
+from kindred.sources.key_index import scratch_index
 from kindred.sources.scratch import Scratch
 
 PROBE_RADIUS = 2
@@ -132,15 +133,22 @@ def _old_and_new(spark, sf_dir, threshold, scratch):
 def incremental_neighbours(spark, sf_dir):
     scratch = Scratch(spark)
     old, new = _old_and_new(spark, sf_dir, 95, scratch)
-    found = clustering.new_neighbours(old, new, 95, scratch)
+    index = scratch_index(scratch.keep(old.select("phash").distinct(), "stored"), max_distance(95), scratch)
+    found = clustering.new_neighbours(old, new, 95, scratch, index=index)
     return found.withColumnRenamed("image_id", "img_id")
 
 
-def incremental_components(threshold):
+def incremental_components(threshold, indexed=True):
+    """Groups after new rows; the stored keys are in an index, or made in the run."""
+
     def query(spark, sf_dir):
         scratch = Scratch(spark)
         old, new = _old_and_new(spark, sf_dir, threshold, scratch)
-        found = clustering.cluster_incremental(old, new, threshold, scratch)
+        index = None
+        if indexed:
+            stored = scratch.keep(old.select("phash").distinct(), "stored")
+            index = scratch_index(stored, max_distance(threshold), scratch)
+        found = clustering.cluster_incremental(old, new, threshold, scratch, index=index)
         return found.select(F.col("image_id").alias("img_id"), "group_id")
 
     return query
@@ -310,6 +318,7 @@ QUERIES = {
     ),
     "incremental_components_95": (incremental_components(95), _components_sql(3)),
     "incremental_components_90": (incremental_components(90), _components_sql(6)),
+    "incremental_components_90_unindexed": (incremental_components(90, False), _components_sql(6)),
     "regroup_after_delete": (regroup_after_delete, _components_sql(3, "variant <> 1")),
     "regroup_after_change": (regroup_after_change, _components_sql(3)),
     "merge_groups": (merge_groups, _components_sql(6)),

@@ -27,6 +27,8 @@ class Manifest:
     version: int
     threshold: int
     folder: str
+    # What ``sources.key_index`` needs to open the index of the stored keys.
+    index: dict | None = None
 
 
 class SnapshotStore:
@@ -79,17 +81,24 @@ class SnapshotStore:
         rows.select("image_id", "path", "size", "modified_ns", "phash", "group_id").write.parquet(folder)
         return folder
 
-    def publish(self, rows: DataFrame | None, threshold: int, based_on: Manifest | None) -> Manifest:
+    def index_folder(self) -> str:
+        """Name for a new index of the stored keys."""
+        return f"{self.root}/keys-{uuid.uuid4().hex}"
+
+    def publish(
+        self, rows: DataFrame | None, threshold: int, based_on: Manifest | None, index: dict | None = None
+    ) -> Manifest:
         """Make ``rows`` the version after ``based_on``, the one the run has read.
 
         ``None`` for rows keeps those of ``based_on`` without writing them again.
+        ``index`` describes an index that holds every fingerprint of ``rows``.
         """
         version = (based_on.version if based_on else 0) + 1
         if rows is None and based_on:
             folder = based_on.folder
         else:
             folder = self.stage(self.read() if rows is None else rows, version)
-        made = Manifest(version, threshold, folder)
+        made = Manifest(version, threshold, folder, index)
         self._rename(self._write(json.dumps(made.__dict__)), self._name(version))
         return made
 
@@ -113,6 +122,10 @@ class SnapshotStore:
         mode[0] = options.NONE
         context.rename(self._fs.makeQualified(self._path(source)), self._fs.makeQualified(self._path(target)), mode)
 
+    def _folders(self, made: Manifest) -> list[str]:
+        """Names of what a version uses."""
+        return [self._path(x).getName() for x in (made.folder, (made.index or {}).get("folder")) if x]
+
     def vacuum(self, keep: int = 2, orphan_hours: float = 24) -> None:
         """Delete all but the newest ``keep`` versions, and what dead runs left.
 
@@ -121,12 +134,12 @@ class SnapshotStore:
         """
         published = self.versions()
         gone = [self._load(v) for v in published[: -max(1, keep)]]
-        used = {self._path(self._load(v).folder).getName() for v in published[-max(1, keep) :]}
+        used = {x for v in published[-max(1, keep) :] for x in self._folders(self._load(v))}
         for old in gone:
             self._fs.delete(self._path(self._name(old.version)), False)
-        expired = {self._path(old.folder).getName() for old in gone} - used
+        expired = {x for old in gone for x in self._folders(old)} - used
         before = (time.time() - orphan_hours * 3600) * 1000
-        for pattern in ("v=*", ".manifest-*"):
+        for pattern in ("v=*", "keys-*", ".manifest-*"):
             for found in self._fs.globStatus(self._path(f"{self.root}/{pattern}")) or []:
                 name = found.getPath().getName()
                 if name in expired or (name not in used and found.getModificationTime() <= before):

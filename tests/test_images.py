@@ -12,7 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from kindred.functions import image_hash
-from kindred.runs import group_folder, sync
+from kindred.runs import KEPT_VERSIONS, group_folder, sync
 from kindred.sources import images
 from kindred.sources.images import decoded_images, fingerprint_files, hash_files, hash_files_jvm, open_input, register_phash
 from kindred.sources.listing import _remote_entries, list_images, list_images_hadoop, qualified
@@ -209,7 +209,8 @@ def test_runs_over_a_changing_folder(spark, folder, tmp_path):
         text = "".join(open(os.path.join(report, n), encoding="utf-8").read() for n in parts)
         document = json.loads(text)
         assert text == json.dumps(document, ensure_ascii=False, indent=2) + "\n"
-        assert len(store.versions()) == result_count[0] + 1
+        assert store.versions() == list(range(1, result_count[0] + 2))[-KEPT_VERSIONS:]  # older ones are deleted
+        assert len([n for n in os.listdir(state) if n.startswith("v=")]) <= KEPT_VERSIONS
         folders.append(store.manifest().folder)
         result_count[0] += 1
         return result, document
@@ -300,7 +301,12 @@ def test_a_run_that_dies_leaves_the_old_version(spark, tmp_path, monkeypatch):
     assert store.read().count() == 2
 
 
-def test_full_and_step_by_step_runs_agree(spark, scratch, tmp_path):
+def state_count(store):
+    return store.read().select("phash").distinct().count()
+
+
+@pytest.mark.parametrize("index_from", [100])
+def test_full_and_step_by_step_runs_agree(spark, scratch, tmp_path, index_from):
     def fingerprint(files):
         value = F.regexp_extract("path", r"(\d+)", 1).cast("bigint")
         return files.withColumn("phash", value.bitwiseXOR(F.shiftleft(value, 20))).withColumn("error", F.lit(None).cast("string"))
@@ -311,11 +317,19 @@ def test_full_and_step_by_step_runs_agree(spark, scratch, tmp_path):
     )
     steps, whole = SnapshotStore(spark, str(tmp_path / "steps")), SnapshotStore(spark, str(tmp_path / "whole"))
     for end in ("/p0080", "/p0150", "/p9"):
-        sync(spark, files.where(F.col("path") < end), steps, fingerprint, 95, scratch)
+        sync(spark, files.where(F.col("path") < end), steps, fingerprint, 95, scratch, index_from)
     sync(spark, files, whole, fingerprint, 95, scratch)
     assert state_of(steps) == state_of(whole)
     shrunk = files.where("path not like '%7.png'")
-    sync(spark, shrunk, steps, fingerprint, 95, scratch)
+    sync(spark, shrunk, steps, fingerprint, 95, scratch, index_from)
+    index = steps.manifest().index
+    assert (index is None) == (index_from > 200)
+    steps.vacuum(keep=1, orphan_hours=-1)
+    kept = [n for n in os.listdir(tmp_path / "steps") if n.startswith("keys-")]
+    assert kept == ([os.path.basename(index["folder"])] if index else [])
+    if index:  # holds every fingerprint ever stored, the forgotten ones too
+        keys = spark.read.parquet(f"{index['folder']}/keys").select("phash").distinct().count()
+        assert keys == 200 == state_count(whole)
     again = SnapshotStore(spark, str(tmp_path / "again"))
     sync(spark, shrunk, again, fingerprint, 95, scratch)
     paths = lambda s: {p: {q for q, w in state_of(s).items() if w[2] == v[2]} for p, v in state_of(s).items()}
