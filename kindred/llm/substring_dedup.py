@@ -3,6 +3,7 @@
 A window is ``window`` (35) consecutive words of one document; every word
 inside a window that starts anywhere else too is removed.
 
+0.  Every row gets a number in a written table; spans find their row by it.
 1.  Anchors.  Each window is filed under the smallest hash of its 8-word
     shingles, so equal windows are filed under equal anchors.  An anchor with
     the words of all windows filed under it is a region.  About one word in
@@ -11,21 +12,27 @@ inside a window that starts anywhere else too is removed.
 2.  Sorted by anchor, neighbours show which regions occur twice (all of it
     goes), share their anchor with a different region (candidates), or stand
     alone.  The sort is by range of anchor and region, so a hot anchor is split;
-    what touches the edge of a partition is taken as a candidate.
+    what touches the edge of a partition is taken as a candidate.  The row number
+    is the last sort key, so a region that very many documents share is split too.
 3.  Documents meet their regions.  Those without candidates are finished.
 4.  Candidate regions are sharded by anchor.  A shard of bounded size becomes
     an FM-index; its passages are streamed through it by backward search, and
     windows with two or more occurrences are reported.  Regions of an anchor
-    with very many different regions are dealt anew as single windows by the
-    hash of the window.
+    with very many different regions are taken apart into single windows, which
+    are counted by their words (partial counts first); those that occur twice or
+    more meet their rows by a join that keeps hot windows where they are.
 5.  Unfinished documents meet the reported windows.
 
 Hashes only choose what is compared together; step 2 takes regions as equal by
 two 64-bit hashes and their length.
 
-Nulls: a null text has no words.  A null id is an id of its own kind.  Rows
-equal in id and text repeat each other like any other two.  Texts shorter than
-a window never change.  An empty table gives an empty result.
+Nulls: a null text has no words.  Rows are told apart by their number, not by
+id, so null and repeated ids mean nothing here, and rows equal in id and text
+repeat each other like any other two.  Texts shorter than a window never change.
+An empty table gives an empty result.
+
+Memory: a task holds the hashes of ``CHUNK_BYTES`` of text at once, and of a
+longer text ``STRETCH_WORDS`` words.
 """
 
 from __future__ import annotations
@@ -40,15 +47,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kindred.llm.common import chunks, utf8
+from kindred.llm.common import utf8
 from kindred.llm.fm_index import FMIndex, repeated_windows
+from kindred.operators.skew import HOT_ROWS, join_unique
 from kindred.sources.scratch import Scratch
 
 WINDOW = 35
 ANCHOR = 8
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 3 << 20
+STRETCH_WORDS = 400_000
 SHARD_TOKENS = 400_000
-HOT_REGIONS = 20_000
+HOT_REGIONS = 1000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -115,49 +124,71 @@ def regions_of(sizes: np.ndarray, hashes: np.ndarray, window: int) -> tuple[np.n
     return grams[p[at]], region, a, m
 
 
-_REGIONS = "anchor long, region long, doc_id long, th int, a int, m short, n int"
+_REGIONS = "anchor long, region long, row_no long, a int, m short, n int"
+
 
+def _bounded(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Row numbers and texts, about ``most`` bytes at once; a longer text alone."""
+    numbers, texts, size = [], [], 0
+    for batch in batches:
+        for number, text in zip(batch["row_no"].to_pylist(), batch["text"].cast(pa.binary()), strict=True):
+            body = text.as_py() or b""
+            if texts and size + len(body) > most:
+                yield numbers, texts
+                numbers, texts, size = [], [], 0
+            numbers.append(number)
+            texts.append(body)
+            size += len(body)
+    if texts:
+        yield numbers, texts
 
-def _signed32(text: bytes) -> int:
-    return xxhash.xxh32_intdigest(text) - (1 << 31)
+
+def _stretches(words: list[bytes], window: int) -> Iterator[tuple[int, list[bytes]]]:
+    """Parts of a text with their first word; every window lies in exactly one part."""
+    step = max(STRETCH_WORDS, window)
+    for at in range(0, len(words) - window + 1, step):
+        yield at, words[at : at + step + window - 1]
 
 
 def _find_regions(window: int):
     """Region rows; of equal regions in one chunk only one has ``n`` > 0, the number of them."""
 
+    def found(numbers: list[int], firsts: list[int], sizes: list[int], hashes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        anchor, region, a, m = regions_of(np.array(sizes), np.concatenate(hashes), window)
+        ends = np.cumsum(sizes)
+        part = np.searchsorted(ends, a, "right")
+        order = np.lexsort((region, anchor))
+        same = (anchor[order][1:] == anchor[order][:-1]) & (region[order][1:] == region[order][:-1])
+        heads = np.flatnonzero(np.concatenate(([True], ~same)))
+        count = np.zeros(len(anchor), np.int32)
+        count[order[heads]] = np.diff(np.concatenate((heads, [len(anchor)])))
+        at = a - (ends - sizes)[part] + np.array(firsts)[part]
+        yield from pa.table({
+            "anchor": anchor.view(np.int64), "region": region.view(np.int64), "row_no": np.array(numbers, np.int64)[part],
+            "a": at.astype(np.int32), "m": m.astype(np.int16), "n": count,
+        }).to_batches(max_chunksize=100_000)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
-        for held in chunks(batches, CHUNK_BYTES):
-            texts = utf8(held["text"])
-            sizes, parts = np.zeros(len(texts), np.int64), []
-            for i, text in enumerate(texts):
-                words = text.split()
-                if len(words) >= window:
-                    sizes[i] = len(words)
-                    parts.append(np.fromiter(map(digest, words), np.uint64, len(words)))
-            if not parts:
-                continue
-            anchor, region, a, m = regions_of(sizes, np.concatenate(parts), window)
-            ends = np.cumsum(sizes)
-            doc = np.searchsorted(ends, a, "right")
-            order = np.lexsort((region, anchor))
-            same = np.concatenate(
-                ([False], (anchor[order][1:] == anchor[order][:-1]) & (region[order][1:] == region[order][:-1]))
-            )
-            heads = np.flatnonzero(~same)
-            count = np.zeros(len(anchor), np.int32)
-            count[order[heads]] = np.diff(np.concatenate((heads, [len(anchor)])))
-            ids = held["doc_id"].combine_chunks() if isinstance(held["doc_id"], pa.ChunkedArray) else held["doc_id"]
-            th = np.array([_signed32(t) for t in texts], np.int32)
-            yield from pa.table({
-                "anchor": anchor.view(np.int64), "region": region.view(np.int64), "doc_id": ids.take(pa.array(doc)),
-                "th": th[doc], "a": (a - (ends - sizes)[doc]).astype(np.int32), "m": m.astype(np.int16), "n": count,
-            }).to_batches(max_chunksize=100_000)
+        for rows, texts in _bounded(batches, CHUNK_BYTES):
+            numbers, firsts, sizes, hashes, held = [], [], [], [], 0
+            for number, text in zip(rows, texts, strict=True):
+                for first, words in _stretches(text.split(), window):
+                    numbers.append(number)
+                    firsts.append(first)
+                    sizes.append(len(words))
+                    hashes.append(np.fromiter(map(digest, words), np.uint64, len(words)))
+                    held += len(words)
+                    if held > STRETCH_WORDS:
+                        yield from found(numbers, firsts, sizes, hashes)
+                        numbers, firsts, sizes, hashes, held = [], [], [], [], 0
+            if sizes:
+                yield from found(numbers, firsts, sizes, hashes)
 
     return run
 
 
-_STATUS = "anchor long, doc_id long, th int, a int, m short, whole boolean"
+_STATUS = "anchor long, row_no long, a int, m short, whole boolean"
 
 
 def _compare_neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +197,7 @@ def _compare_neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Record
     A repeated region next to a different one of its anchor is a candidate too,
     once or twice, so that the others can be found in it.
     """
-    names = ["anchor", "region", "n", "doc_id", "th", "a", "m"]
+    names = ["anchor", "region", "n", "row_no", "a", "m"]
 
     def judged(held: pa.Table, has_before: bool, has_after: bool) -> Iterator[pa.RecordBatch]:
         """All rows but the context row at either end."""
@@ -181,7 +212,7 @@ def _compare_neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Record
         met[0] |= not has_before
         met[-1] |= not has_after
         a, b = int(has_before), len(anchor) - int(has_after)
-        out = held.select(["anchor", "doc_id", "th", "a", "m"]).slice(a, b - a)
+        out = held.select(["anchor", "row_no", "a", "m"]).slice(a, b - a)
         for rows, flag in ((whole[a:b], True), (met[a:b], False)):
             part = out.filter(pa.array(rows)).combine_chunks()
             yield from part.append_column("whole", pa.array(np.full(part.num_rows, flag))).to_batches()
@@ -217,12 +248,10 @@ def _finish(words: list[bytes], gone: np.ndarray | None) -> tuple[int, int, byte
 
 
 def _with_text(row: pa.StructArray, text: str, values: list) -> pa.StructArray:
-    """``row`` with another text column."""
-    fields = [
-        pa.array(values, row.type.field(k).type) if row.type.field(k).name == text else row.field(k)
-        for k in range(row.type.num_fields)
-    ]
-    return pa.StructArray.from_arrays(fields, fields=list(row.type))
+    """``row`` with another text column, which may hold nulls."""
+    kinds = [f.with_nullable(True) if f.name == text else f for f in row.type]
+    columns = [pa.array(values, f.type) if f.name == text else row.field(k) for k, f in enumerate(kinds)]
+    return pa.StructArray.from_arrays(columns, fields=kinds)
 
 
 def _meet_regions(window: int, text: str, with_text: bool):
@@ -256,7 +285,7 @@ def _meet_regions(window: int, text: str, with_text: bool):
             region = pa.struct([("anchor", pa.int64()), ("a", pa.int32()), ("words", pa.string())])
             whole = [None if x is None else [{"a": a, "size": size} for a, size in x] for x in out["whole"]]
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch["doc_id"], "th": batch["th"], "row": _with_text(batch["row"], text, texts),
+                "row_no": batch["row_no"], "row": _with_text(batch["row"], text, texts),
                 "pending": pa.array(out["pending"], pa.bool_()), "n_words": pa.array(out["n_words"], pa.int64()),
                 "n_removed": pa.array(out["n_removed"], pa.int64()), "kept_sha256": pa.array(out["digest"], pa.string()),
                 "whole": pa.array(whole, pa.list_(span)), "regions": pa.array(out["regions"], pa.list_(region)),
@@ -265,11 +294,11 @@ def _meet_regions(window: int, text: str, with_text: bool):
     return run
 
 
-_SPANS = "doc_id long, th int, a int, size int"
+_SPANS = "row_no long, a int, size int"
 
 
 def _search_shards(window: int, shard_tokens: int):
-    """Spans of repeated windows in rows ``key, doc_id, th, a, words`` sorted by key.
+    """Spans of repeated windows in rows ``key, row_no, a, words`` sorted by key.
 
     Equal passages of a shard are indexed twice at most; that is enough to tell
     whether a window occurs again.
@@ -283,7 +312,7 @@ def _search_shards(window: int, shard_tokens: int):
         for words, where in passages.items():
             own = words.split(b" ")
             if len(where) > 1:
-                spans += [(doc_id, th, a, len(own)) for doc_id, th, a in where]
+                spans += [(row_no, a, len(own)) for row_no, a in where]
             starts.append(len(tokens))
             tokens += [numbers.setdefault(w, len(numbers) + 1) for w in own]
             ends.append(len(tokens))
@@ -299,20 +328,20 @@ def _search_shards(window: int, shard_tokens: int):
                 own = np.flatnonzero(hit[a : b + 1])
                 if len(own):
                     breaks = np.flatnonzero(np.diff(own) > 1) + 1
-                    doc_id, th, at = owners[k]
+                    row_no, at = owners[k]
                     for part in np.split(own, breaks):
-                        spans.append((doc_id, th, at + int(part[0]), int(part[-1] - part[0]) + window))
+                        spans.append((row_no, at + int(part[0]), int(part[-1] - part[0]) + window))
         if spans:
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            kinds = (pa.int64(), pa.int32(), pa.int32())
             columns = [pa.array(x, k) for x, k in zip(zip(*spans, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "a", "size"])
+            yield pa.RecordBatch.from_arrays(columns, ["row_no", "a", "size"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages: dict[bytes, list[tuple]] = {}
         held, last = 0, None
         for batch in batches:
-            rows = zip(*[batch[c].to_pylist() for c in ("key", "doc_id", "th", "a")], utf8(batch["words"]), strict=True)
-            for key, doc_id, th, a, words in rows:
+            rows = zip(*[batch[c].to_pylist() for c in ("key", "row_no", "a")], utf8(batch["words"]), strict=True)
+            for key, row_no, a, words in rows:
                 if key != last and held > shard_tokens:
                     yield from solve(passages)
                     passages, held = {}, 0
@@ -320,7 +349,7 @@ def _search_shards(window: int, shard_tokens: int):
                 where = passages.setdefault(words, [])
                 if not where:
                     held += words.count(b" ") + 2
-                where.append((doc_id, th, a))
+                where.append((row_no, a))
         yield from solve(passages)
 
     return run
@@ -351,28 +380,44 @@ def _meet_spans(text: str, with_text: bool):
     return run
 
 
+def _nullable(row: T.StructType, text: str) -> T.StructType:
+    """``row`` whose text may be null."""
+    return T.StructType([T.StructField(f.name, f.dataType, f.nullable or f.name == text, f.metadata) for f in row])
+
+
+def _windows_of_hot_anchors(candidates: DataFrame, hot: DataFrame, window: int, scratch: Scratch, hot_rows: int) -> DataFrame:
+    """Spans of the windows of hot anchors that occur twice or more, found by their words."""
+    own = F.split("words", " ")
+    single = F.transform(
+        F.sequence(F.lit(1), F.size(own) - window + 1), lambda i: F.array_join(F.slice(own, i, F.lit(window)), " ")
+    )
+    windows = candidates.join(hot, "key", "left_semi").select("row_no", "a", F.posexplode(single).alias("k", "words"))
+    windows = scratch.keep(windows.select("row_no", (F.col("a") + F.col("k")).alias("a"), "words"), "windows")
+    twice = windows.groupBy("words").agg(F.count("*").alias("n")).where("n > 1").select("words")
+    met = join_unique(windows, scratch.keep(twice, "twice"), "words", "inner", scratch, hot_rows)
+    return met.select("row_no", "a", F.lit(window).alias("size"))
+
+
 def _without_repeats(
-    docs: DataFrame, scratch: Scratch, doc_id: str, text: str, window: int, shard_tokens: int, hot_regions: int, with_text: bool
+    docs: DataFrame, scratch: Scratch, text: str, window: int, shard_tokens: int, hot_regions: int, hot_rows: int, with_text: bool
 ) -> DataFrame:
     """``row, n_words, n_removed, kept_sha256`` per document; ``row.text`` is what was kept."""
-    identity = F.col(doc_id).cast("long").alias("doc_id")
-    given = docs.select(identity, F.col(text).alias("text"))
+    rows = scratch.keep(docs.select(F.monotonically_increasing_id().alias("row_no"), F.struct("*").alias("row")), "rows")
+    given = rows.select("row_no", F.col(f"row.`{text}`").alias("text"))
     regions = scratch.keep(given.mapInArrow(_find_regions(window), _REGIONS), "regions")
-    ordered = regions.where("n > 0").repartitionByRange("anchor", "region").sortWithinPartitions("anchor", "region")
+    by = ("anchor", "region", "row_no")
+    ordered = regions.where("n > 0").repartitionByRange(*by).sortWithinPartitions(*by)
     status = scratch.keep(ordered.mapInArrow(_compare_neighbours, _STATUS), "status")
-    known = regions.where("n = 0").select("anchor", "doc_id", "th", "a", "m", F.lit(True).alias("whole"))
+    known = regions.where("n = 0").select("anchor", "row_no", "a", "m", F.lit(True).alias("whole"))
     spans = (
         status.unionByName(known)
-        .groupBy("doc_id", "th")
+        .groupBy("row_no")
         .agg(F.collect_list(F.struct("a", "m", "whole", F.when(~F.col("whole"), F.col("anchor")).alias("anchor"))).alias("spans"))
     )
-    # The hash of the text is computed where the regions were found, in the same way.
-    held = docs.select(identity, F.struct("*").alias("row"))
-    row = held.schema["row"].dataType
-    hashed = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("th", T.IntegerType()), T.StructField("row", row)])
-    held = held.mapInArrow(_with_hash(text), hashed)
+    row = _nullable(rows.schema["row"].dataType, text)
     met_schema = T.StructType([
-        *hashed.fields,
+        T.StructField("row_no", T.LongType()),
+        T.StructField("row", row),
         T.StructField("pending", T.BooleanType()),
         T.StructField("n_words", T.LongType()),
         T.StructField("n_removed", T.LongType()),
@@ -381,45 +426,26 @@ def _without_repeats(
             "whole array<struct<a: int, size: int>>, regions array<struct<anchor: bigint, a: int, words: string>>"
         ).fields,
     ])
-
-    def beside(rows: DataFrame, found: DataFrame) -> DataFrame:
-        found = found.withColumnsRenamed({"doc_id": "d", "th": "t"})
-        same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))
-        return rows.join(found, same, "left").drop("d", "t")
-
-    met = scratch.keep(beside(held, spans).mapInArrow(_meet_regions(window, text, with_text), met_schema), "met")
-    candidates = met.where("pending").select("doc_id", "th", F.explode("regions").alias("r"))
-    candidates = candidates.select(F.col("r.anchor").alias("key"), "doc_id", "th", F.col("r.a").alias("a"), "r.words")
+    met = rows.join(spans, "row_no", "left").mapInArrow(_meet_regions(window, text, with_text), met_schema)
+    met = scratch.keep(met, "met")
+    candidates = met.where("pending").select("row_no", F.explode("regions").alias("r"))
+    candidates = candidates.select(F.col("r.anchor").alias("key"), "row_no", F.col("r.a").alias("a"), "r.words")
     hot = status.where("not whole").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot_regions)
     hot = scratch.keep(hot.select(F.col("anchor").alias("key")), "hot")
-    if not hot.isEmpty():
-        own = F.split("words", " ")
-        single = F.transform(
-            F.sequence(F.lit(1), F.size(own) - window + 1), lambda i: F.array_join(F.slice(own, i, F.lit(window)), " ")
-        )
-        windows = candidates.join(hot, "key", "left_semi").select("doc_id", "th", "a", F.posexplode(single).alias("k", "words"))
-        windows = windows.select(F.xxhash64("words").alias("key"), "doc_id", "th", (F.col("a") + F.col("k")).alias("a"), "words")
-        candidates = candidates.join(hot, "key", "left_anti").unionByName(windows)
-    shards = candidates.repartition("key").sortWithinPartitions("key")
-    found = shards.mapInArrow(_search_shards(window, shard_tokens), _SPANS)
-    found = found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "size")).alias("spans"))
+    some_hot = not hot.isEmpty()
+    cold = candidates.join(hot, "key", "left_anti") if some_hot else candidates
+    found = cold.repartition("key").sortWithinPartitions("key").mapInArrow(_search_shards(window, shard_tokens), _SPANS)
+    if some_hot:
+        found = found.unionByName(_windows_of_hot_anchors(candidates, hot, window, scratch, hot_rows))
+    found = found.groupBy("row_no").agg(F.collect_list(F.struct("a", "size")).alias("spans"))
     result = ["row", "n_words", "n_removed", "kept_sha256"]
     last = T.StructType([met_schema[c] for c in result])
-    pending = beside(met.where("pending").select("doc_id", "th", "row", "whole"), found)
+    pending = met.where("pending").select("row_no", "row", "whole").join(found, "row_no", "left")
     return met.where("not pending").select(*result).unionByName(
         pending.select("row", "whole", "spans").mapInArrow(_meet_spans(text, with_text), last)
     )
 
 
-def _with_hash(text: str):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            th = pa.array([_signed32(x) for x in utf8(batch["row"].field(text))], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], th, batch["row"]], ["doc_id", "th", "row"])
-
-    return run
-
-
 def repeated_substrings(
     docs: DataFrame,
     scratch: Scratch,
@@ -428,24 +454,26 @@ def repeated_substrings(
     window: int = WINDOW,
     shard_tokens: int = SHARD_TOKENS,
     hot_regions: int = HOT_REGIONS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256``, one row per document."""
-    found = _without_repeats(docs.select(doc_id, text), scratch, doc_id, text, window, shard_tokens, hot_regions, False)
+    given = docs.select(doc_id, text)
+    found = _without_repeats(given, scratch, text, window, shard_tokens, hot_regions, hot_rows, False)
     return found.select(F.col(f"row.`{doc_id}`").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
 def drop_repeated_substrings(
     docs: DataFrame,
     scratch: Scratch,
-    doc_id: str = "doc_id",
     text: str = "text",
     window: int = WINDOW,
     shard_tokens: int = SHARD_TOKENS,
     hot_regions: int = HOT_REGIONS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """All rows and columns of ``docs``; the text is the kept words joined by one space.
 
     A text that loses nothing is returned as it was.
     """
-    found = _without_repeats(docs, scratch, doc_id, text, window, shard_tokens, hot_regions, True)
+    found = _without_repeats(docs, scratch, text, window, shard_tokens, hot_regions, hot_rows, True)
     return found.select("row.*")

@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from kindred.llm import substring_dedup
 from kindred.llm.fm_index import FMIndex, repeated_windows
 from kindred.llm.substring_dedup import drop_repeated_substrings, repeated_substrings
 from tests.llm.cases import documents, frame, prose
@@ -78,3 +79,46 @@ def test_windows_by_backward_search():
         often = Counter(s for s in slices if 0 not in s)
         want = [often[s] > 1 for s in slices] + [False] * (window - 1)
         assert got.tolist() == want
+
+
+def test_rows_without_id_are_told_apart(spark, scratch):
+    """A clean text keeps its words beside others of the same (missing or repeated) id."""
+    passage = prose(80, 40)
+    for doc_id in (None, 5):
+        rows = [(doc_id, f"{prose(500 + k, 30)} {passage if k % 2 else prose(700 + k, 40)}", "en", "s", 0) for k in range(200)]
+        rows += [(doc_id, rows[0][1], "en", "s", 0)]
+        found = repeated_substrings(frame(spark, rows), scratch)
+        assert Counter(map(tuple, found.collect())) == Counter(r[:4] for r in brute(rows, 35))
+
+
+def test_equal_rows_without_id(spark, scratch):
+    """Equal rows are independent: each meets its own spans only."""
+    rows = [(None, prose(81, 120), "en", "s", 0)] * 1000 + [(1, prose(82, 120), "en", "s", 0)]
+    found = repeated_substrings(frame(spark, rows), scratch)
+    assert Counter(map(tuple, found.collect())) == Counter(r[:4] for r in brute(rows, 35))
+
+
+@pytest.mark.parametrize("hot_rows", [5, 1_000_000])
+def test_a_passage_of_a_third_of_the_documents(spark, scratch, hot_rows):
+    """Its anchors are hot: windows are counted, and the hot ones joined apart."""
+    shared = prose(83, 80)
+    rows = [(k, f"{prose(1000 + k, 25)} {shared if k % 3 == 0 else ''} {prose(2000 + k, 25)}", "en", "s", 0) for k in range(300)]
+    found = repeated_substrings(frame(spark, rows), scratch, hot_regions=3, hot_rows=hot_rows)
+    assert Counter(map(tuple, found.collect())) == Counter(r[:4] for r in brute(rows, 35))
+
+
+def test_long_texts_are_read_in_stretches(spark, scratch, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "STRETCH_WORDS", 50)
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 900)
+    rows = documents() + passages()
+    found = repeated_substrings(frame(spark, rows), scratch)
+    assert Counter(map(tuple, found.collect())) == Counter(r[:4] for r in brute(rows, 35))
+
+
+def test_columns_that_forbid_nulls(spark, scratch):
+    schema = "doc_id long not null, text string not null, n_chars long not null"
+    rows = [(k, r[1] or "") for k, r in enumerate(passages()[:20])]
+    given = spark.createDataFrame([(*r, 1) for r in rows], schema)
+    found = repeated_substrings(given, scratch)
+    assert Counter(map(tuple, found.collect())) == Counter(r[:4] for r in brute(rows, 35))
+    assert drop_repeated_substrings(given, scratch).count() == 20
