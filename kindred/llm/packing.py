@@ -7,8 +7,8 @@ First the longest piece left is completed by the filling that wastes least, as
 often as its lengths last.  Where that needs more sequences than the lower bound
 L2 of Martello and Toth, a search goes back to other undominated fillings and
 other numbers of repeats, fewest deviations first, and leaves what cannot beat
-the best plan.  It ends at the bound, when all is searched, or at ``PLAN_NODES``
-steps with the best plan so far.  Spark then numbers the
+the best plan.  It ends at the bound, when all is searched, or after ``PLAN_NODES``
+steps or ``PLAN_SECONDS`` with the best plan so far.  Spark then numbers the
 pieces within their length (salted, so that a length that a third of all pieces
 share is not one group) and each number finds its place in the plan.
 
@@ -21,27 +21,29 @@ from __future__ import annotations
 
 import bisect
 import sys
+import time
 import zlib
 from collections.abc import Iterable, Iterator
 from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.common import utf8
 from kindred.sources.scratch import Scratch
 
 CAPACITY = 4096
 END_ID = 1
 # Fillings looked at per step before the best one so far is taken.
 SEARCH_NODES = 2000
-# Steps of the search for a plan with fewer sequences.
+# Steps and seconds of the search for a plan with fewer sequences.
 PLAN_NODES = 20_000
-# Words that a Python worker remembers, and words looked up at once.
+PLAN_SECONDS = 60.0
+# Words that a Python worker remembers, and bytes of text split at once.
 KNOWN_WORDS = 1_000_000
-WORDS_AT_ONCE = 400_000
+BYTES_AT_ONCE = 3 << 20
 ROWS_PER_SALT, LEAST_SALTS = 20_000, 32
 
 # A word that cannot be part of another one marks the ends of words.
@@ -63,9 +65,10 @@ class WordIds:
         self._clear()
 
     def _clear(self) -> None:
-        self._number: dict[bytes, int] = {}
+        # The empty word, between white space and the end of a text, has no ids.
+        self._number: dict[bytes, int] = {b"": 0}
         self._flat = np.zeros(0, np.uint32)
-        self._starts = np.zeros(1, np.int64)
+        self._starts = np.zeros(2, np.int64)
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and how many each has; marks between words tell them apart."""
@@ -89,25 +92,27 @@ class WordIds:
         self._flat = np.concatenate((self._flat, found))
         self._starts = np.concatenate((self._starts, self._starts[-1] + np.cumsum(lengths)))
 
-    def of_texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and the number of ids per text."""
-        words: list[bytes] = []
-        per_text = np.empty(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            own = text.split()
-            per_text[i] = len(own)
-            words += own
+    def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and the number of ids per text (strings, none null).
+
+        Splitting and numbering of the words stay in Arrow; Python sees each
+        distinct word once.
+        """
+        parts = pc.ascii_split_whitespace(texts)
+        coded = parts.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
         if len(self._number) > KNOWN_WORDS:
             self._clear()
-        new = dict.fromkeys(w for w in words if w not in self._number)
+        new = [w for w in words if w not in self._number]
         if new:
             self._learn(new)
-        at = np.fromiter(map(self._number.__getitem__, words), np.int64, len(words))
+        number = np.fromiter(map(self._number.__getitem__, words), np.int64, len(words))
+        at = number[coded.indices.to_numpy()]
         sizes = self._starts[at + 1] - self._starts[at] if len(at) else np.zeros(0, np.int64)
         ends = np.cumsum(sizes)
         ids = self._flat[np.repeat(self._starts[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
         before = np.concatenate(([0], ends))
-        upto = np.concatenate(([0], np.cumsum(per_text)))
+        upto = np.concatenate(([0], np.cumsum(parts.value_lengths().to_numpy(zero_copy_only=False))))
         return ids, before[upto[1:]] - before[upto[:-1]]
 
 
@@ -138,7 +143,7 @@ def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_ids(path)
 
-        def pieces(ids: list, texts: list[bytes]) -> pa.RecordBatch:
+        def pieces(ids: list, texts: pa.Array) -> pa.RecordBatch:
             tokens, counts = known.of_texts(texts)
             out: list[list] = [[], [], [], [], [], []]
             at = 0
@@ -159,16 +164,13 @@ def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
 
         for batch in batches:
             id_type = batch["doc_id"].type
-            held_ids, held, size = [], [], 0
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), utf8(batch["text"]), strict=True):
-                held_ids.append(doc_id)
-                held.append(text)
-                size += len(text) // 6 + 1
-                if size > WORDS_AT_ONCE:
-                    yield pieces(held_ids, held)
-                    held_ids, held, size = [], [], 0
-            if held:
-                yield pieces(held_ids, held)
+            texts = batch["text"].cast(pa.string()).fill_null("")
+            upto = np.concatenate(([0], np.cumsum(pc.binary_length(texts).to_numpy())))
+            at = 0
+            while at < len(texts):
+                end = max(at + 1, int(np.searchsorted(upto, upto[at] + BYTES_AT_ONCE, "right")) - 1)
+                yield pieces(batch["doc_id"].slice(at, end - at).to_pylist(), texts.slice(at, end - at))
+                at = end
 
     return run
 
@@ -319,12 +321,13 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int, waste: int,
 
 
 def _search(
-    counts: dict[int, int], capacity: int, best: list[tuple[Filling, int]], nodes: int, plan_nodes: int
+    counts: dict[int, int], capacity: int, best: list[tuple[Filling, int]], nodes: int, plan_nodes: int, seconds: float
 ) -> list[tuple[Filling, int]]:
     """A plan with fewer sequences than ``best`` where one is found, else ``best``."""
     least = sum(times for _, times in best)
     bound = lower_bound(counts, capacity)
     seen, allowed, met_limit = 0, 0, True
+    until = time.monotonic() + seconds
 
     def choices(left: dict[int, int], used: int) -> list[tuple[Filling, int]]:
         """All fillings of the longest piece, as often as they can be; then fewer times."""
@@ -355,13 +358,16 @@ def _search(
                 fewer.append((list(wanted.items()), most))
         return often + fewer
 
-    while met_limit and least > bound and seen < plan_nodes:
+    def goes_on() -> bool:
+        return least > bound and seen < plan_nodes and time.monotonic() < until
+
+    while met_limit and goes_on():
         met_limit = False
         known: dict[tuple, int] = {}  # deviations left when a state was met
         steps: list[tuple[Filling, int]] = []
         start = {x: n for x, n in counts.items() if n}
         frames = [(start, 0, allowed, iter(enumerate(choices(start, 0))))]
-        while frames and least > bound and seen < plan_nodes:
+        while frames and goes_on():
             left, used, deviations, open_ = frames[-1]
             at, step = next(open_, (None, None))
             if at is None or at > deviations:
@@ -394,7 +400,8 @@ def _search(
 
 
 def packing_plan(
-    counts: dict[int, int], capacity: int = CAPACITY, nodes: int = SEARCH_NODES, plan_nodes: int = PLAN_NODES
+    counts: dict[int, int], capacity: int = CAPACITY, nodes: int = SEARCH_NODES, plan_nodes: int = PLAN_NODES,
+    seconds: float = PLAN_SECONDS,
 ) -> dict[int, np.ndarray]:
     """Places by length: rows ``first number, pieces per sequence, first sequence, offset``.
 
@@ -402,7 +409,7 @@ def packing_plan(
     above ``r``.
     """
     given = {length: n for length, n in sorted(counts.items()) if n}
-    steps = _search(given, capacity, _greedy(given, capacity, nodes), nodes, plan_nodes)
+    steps = _search(given, capacity, _greedy(given, capacity, nodes), nodes, plan_nodes, seconds)
     used = dict.fromkeys(given, 0)
     places: dict[int, list[tuple[int, int, int, int]]] = {length: [] for length in given}
     sequence = 0

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -280,3 +281,17 @@ def test_plan_is_the_least_of_small_tables():
     for _ in range(30):
         pieces = sorted(rng.integers(8, 60, 7).tolist(), reverse=True)
         assert sequences_of(dict(Counter(pieces)), 100) == least(pieces, 100)
+
+
+def test_search_for_a_plan_ends_in_time():
+    """Lengths at which the bound is not met: the search stops, and every piece has its place."""
+    rng = np.random.default_rng(9)
+    lengths = Counter(rng.integers(300, 2600, 20_000).tolist())
+    start = time.monotonic()
+    plan = packing_plan(dict(lengths), seconds=5.0)
+    assert time.monotonic() - start < 60
+    used = 0
+    for length, (first, k, sequence, _) in plan.items():
+        upto = np.append(first[1:], lengths[length])
+        used = max(used, int((sequence + -(-(upto - first) // k)).max()))
+    assert lower_bound(dict(lengths), 4096) <= used <= 1.06 * lower_bound(dict(lengths), 4096)
