@@ -15,10 +15,15 @@ a list.  A list that is compared at once yields a spanning forest of its links,
 not all of them: components stay the same and a dense list costs no more rows
 than it has members.
 
+The nodes of the components are the fingerprints themselves, so rows without an
+id link like any others; a component is named after its smallest known id.
+
 Nulls: a null text has no words and fingerprint zero, which links like any
-other.  A row with a null id gets its fingerprint but takes no part in
-components; its component is null.  Repeated rows fall together.  An empty
-table gives an empty result.
+other.  A row with a null id gets the name of its component, null if no row of
+it has an id.  Repeated rows fall together.  Where one row per component stays,
+it is the one with the smallest id (null last), then fingerprint, then hash of
+the text; of rows equal in all of these any one.  Other rows of the same id are
+judged by themselves.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +39,7 @@ from pyspark.sql import functions as F
 
 from kindred.llm.common import utf8
 from kindred.operators.components import connected_components
+from kindred.operators.skew import HOT_ROWS, join_unique
 from kindred.sources.scratch import Scratch
 
 SHINGLE = 4
@@ -68,9 +74,10 @@ def fingerprint(text: bytes) -> int:
 
 
 def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All columns but the text, and ``fp``."""
     for batch in batches:
         found = np.array([fingerprint(x) for x in utf8(batch["text"])], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        yield batch.drop_columns(["text"]).append_column("fp", pa.array(found.view(np.int64)))
 
 
 def covering_triples() -> list[tuple[int, int, int]]:
@@ -223,6 +230,15 @@ def similar_prints(
     return found.unionByName(_search(tiles, distance))
 
 
+def _components(hashed: DataFrame, scratch: Scratch, distance: int, list_limit: int) -> DataFrame:
+    """``fp, root`` of all fingerprints; the root is one of the component's fingerprints."""
+    prints = scratch.keep(hashed.select("fp", F.col("fp").alias("node")).distinct(), "prints")
+    links = scratch.keep(similar_prints(prints, scratch, distance, list_limit), "links")
+    roots = connected_components(links, scratch)
+    found = prints.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
+    return scratch.keep(found, "components")
+
+
 def near_duplicates(
     docs: DataFrame,
     scratch: Scratch,
@@ -230,26 +246,39 @@ def near_duplicates(
     text: str = "text",
     distance: int = DISTANCE,
     list_limit: int = LIST_LIMIT,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``doc_id, fp`` (signed) and ``component_id``, one row per document."""
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     hashed = scratch.keep(given.mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
-    prints = scratch.keep(
-        hashed.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "prints"
-    )
-    links = scratch.keep(similar_prints(prints, scratch, distance, list_limit), "links")
-    roots = connected_components(links, scratch)
-    labels = prints.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return (
-        hashed.join(labels, "fp", "left")
-        .select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-    )
+    components = _components(hashed, scratch, distance, list_limit)
+    least = scratch.keep(hashed.groupBy("fp").agg(F.min("doc_id").alias("least")), "least")
+    names = least.join(components, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    labels = join_unique(components, scratch.keep(names, "names"), "root", "left", scratch, hot_rows)
+    labels = scratch.keep(labels.select("fp", "component_id"), "labels")
+    return join_unique(hashed, labels, "fp", "left", scratch, hot_rows).select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(
-    docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", **options
+    docs: DataFrame,
+    scratch: Scratch,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    distance: int = DISTANCE,
+    list_limit: int = LIST_LIMIT,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Rows of ``docs`` but one document per component, the one with the smallest id."""
-    found = near_duplicates(docs, scratch, doc_id, text, **options)
-    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(dropped, doc_id, "left_anti")
+    """One row of ``docs`` per component, with all its columns."""
+    rows = scratch.keep(docs.select(F.monotonically_increasing_id().alias("row_no"), F.struct("*").alias("row")), "rows")
+    given = rows.select(
+        "row_no", F.col(f"row.`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"row.`{text}`")).alias("th"),
+        F.col(f"row.`{text}`").alias("text"),
+    )
+    hashed = scratch.keep(given.mapInArrow(_fingerprints, "row_no long, doc_id long, th long, fp long"), "fingerprints")
+    components = _components(hashed, scratch, distance, list_limit)
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp", "th", "row_no")
+    # Least of each fingerprint first, so what meets the components is one row per fingerprint.
+    least = hashed.groupBy("fp").agg(F.min(order).alias("least"))
+    keepers = least.join(components, "fp").groupBy("root").agg(F.min("least").alias("least"))
+    kept = keepers.select(F.col("least.row_no").alias("row_no"))
+    return rows.join(kept, "row_no", "left_semi").select("row.*")

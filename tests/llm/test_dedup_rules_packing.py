@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from kindred.llm import simhash_links
 from kindred.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from kindred.llm.packing import best_filling, best_fit_packing, lower_bound, packing_plan
 from kindred.llm.quality_rules import good_documents, quality_rules
@@ -19,7 +20,7 @@ from kindred.llm.simhash_links import (
     near_duplicates,
     similar_prints,
 )
-from tests.llm.cases import documents, frame
+from tests.llm.cases import SCHEMA, documents, frame
 
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -130,27 +131,58 @@ def roots(pairs, nodes):
     return {n: find(n) for n in nodes}
 
 
+def components_of(prints):
+    """Per row: a name of its component, from links between all rows."""
+    first = {}
+    for k, p in enumerate(prints):
+        first.setdefault(p, k)
+    links = [(first[p], first[q]) for p, q in combinations(first, 2) if (p ^ q).bit_count() <= 4]
+    root = roots(links, first.values())
+    return [root[first[p]] for p in prints]
+
+
+def kept_rows(rows, prints):
+    """One row per component: smallest id, null last; then fingerprint and hash of the text."""
+    best = {}
+    for r, p, c in zip(rows, prints, components_of(prints), strict=True):
+        signed = p - (p >> 63 << 64)
+        h = xxhash.xxh64_intdigest((r[1] or "").encode(), 42) if r[1] is not None else 42
+        key = (r[0] is None, r[0] or 0, signed, h - (h >> 63 << 64))
+        best[c] = min(best.get(c, (key, r)), (key, r), key=lambda x: x[0])
+    return [r for _, r in best.values()]
+
+
 def test_near_duplicates_match_brute_force(spark, scratch):
     rows = documents()
-    prints = {(r[0], r[1]): brute_print(r[1]) for r in rows}
-    assert all(fingerprint((t or "").encode()) == p for (_, t), p in prints.items())
-    known = [(i, p) for (i, _), p in prints.items() if i is not None]
-    pairs = [(a, b) for (a, p), (b, q) in combinations(known, 2) if (p ^ q).bit_count() <= 4]
-    by_print = {}
-    for i, p in known:
-        by_print[p] = min(i, by_print.get(p, i))
-    # one node per fingerprint, as an id may stand on several texts
-    links = [(by_print[p], by_print[q]) for p, q in combinations(by_print, 2) if (p ^ q).bit_count() <= 4]
-    assert pairs
-    root = roots(links, by_print.values())
-    found = near_duplicates(frame(spark), scratch)
-    got = Counter((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in found.collect())
-    assert got == Counter(
-        (r[0], prints[r[0], r[1]], None if r[0] is None else root[by_print[prints[r[0], r[1]]]]) for r in rows
-    )
+    prints = [brute_print(r[1]) for r in rows]
+    assert all(fingerprint((r[1] or "").encode()) == p for r, p in zip(rows, prints))
+    names = components_of(prints)
+    least = {}
+    for r, c in zip(rows, names):
+        if r[0] is not None:
+            least[c] = min(r[0], least.get(c, r[0]))
+    assert len(set(names)) < len(set(prints))
+    for hot_rows in (1_000_000, 5):
+        found = near_duplicates(frame(spark), scratch, hot_rows=hot_rows)
+        got = Counter((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in found.collect())
+        assert got == Counter((r[0], p, least.get(c)) for r, p, c in zip(rows, prints, names))
     kept = drop_near_duplicates(frame(spark), scratch)
     assert kept.columns == frame(spark).columns
-    assert near_duplicates(frame(spark, []), scratch).count() == 0
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter((r[0], r[1]) for r in kept_rows(rows, prints))
+    assert near_duplicates(frame(spark, []), scratch).count() == 0 == drop_near_duplicates(frame(spark, []), scratch).count()
+
+
+def test_rows_without_id_link_and_ids_do_not_stand_for_rows(spark, scratch, monkeypatch):
+    monkeypatch.setattr(simhash_links, "fingerprint", lambda text: int(text.split()[0]))
+    rows = [(1, "0"), (None, "15"), (2, "255"), (None, "1048575"), (3, "9223372036854775808"), (None, "72057589742960640")]
+    given = spark.createDataFrame([(*r, None, None, None) for r in rows], SCHEMA)
+    found = {(r["doc_id"], r["fp"] % (1 << 64)): r["component_id"] for r in near_duplicates(given, scratch).collect()}
+    assert found == {(1, 0): 1, (None, 15): 1, (2, 255): 1, (None, 1048575): None, (3, 1 << 63): 1, (None, 72057589742960640): None}
+    # the copy under another id does not take that id's other text along
+    rows = [(3, "1023 A"), (5, "1023 A"), (5, "68719476735 B"), (None, "1023 A"), (None, "4503599627370495 C")]
+    given = spark.createDataFrame([(*r, None, None, None) for r in rows], SCHEMA)
+    kept = drop_near_duplicates(given, scratch)
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([rows[0], rows[2], rows[4]])
 
 
 def test_triples_cover_every_four_positions():

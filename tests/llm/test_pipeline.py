@@ -12,7 +12,7 @@ import public_tokenizers
 import corpus_pipeline
 from kindred.llm import quality_rules
 from tests.llm.cases import SCHEMA, documents, prose
-from tests.llm.test_dedup_rules_packing import WHITE, base_of, brute_print, roots, words_of
+from tests.llm.test_dedup_rules_packing import WHITE, base_of, brute_print, kept_rows, words_of
 from tests.llm.test_substring_dedup import brute
 
 
@@ -70,11 +70,7 @@ def first_of_equals(rows):
 
 
 def first_of_near(rows):
-    prints = {r[0]: brute_print(r[1]) for r in rows}
-    ids = sorted(prints)
-    links = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if (prints[a] ^ prints[b]).bit_count() <= 4]
-    root = roots(links, ids)
-    return [r for r in rows if root[r[0]] == r[0]]
+    return kept_rows(rows, [brute_print(r[1]) for r in rows])
 
 
 def pieces_of(rows):
