@@ -7,15 +7,17 @@ alternate within a text.  A document's language is the one with the largest
 mean probability over its words.
 
 The model is fitted on stretches of at most ``STRETCH`` words of about
-``SAMPLE`` documents; stretches of different documents are joined, so that the
-transitions see changes of language.  Predictions read every word.
+``SAMPLE`` documents per language (all where there are fewer), chosen by a hash
+of id and text; rows equal in both are learned once.  Stretches of different
+documents are joined, so that the transitions see changes of language.
+Predictions read every word.
 
 Words stand between ASCII white space.  One of more than ``LETTERS`` letters
 (text without such space) is several words: it is split at what is neither a
 letter, a mark nor an apostrophe, and then after every ``LETTERS`` letters.
 
 Nulls: a null text has no words; a text without a letter is ``und`` with score
-0.  A null language teaches nothing; with nothing to learn all is ``und``.
+0.  Of languages with equal means the first in alphabetical order stands.  A null language teaches nothing; with nothing to learn all is ``und``.
 Repeated rows get equal results.  An empty table gives an empty result.
 """
 
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from kindred.llm.common import crc_bucket, utf8
 
 FOLDS, HELD_OUT = 4, 2
-SAMPLE, STRETCH = 3000, 60
+SAMPLE, STRETCH = 750, 60
 LETTERS = 32
 HASH_SIZE = 1 << 15
 LEXICON = 300
@@ -87,11 +89,14 @@ def word_features(word: str, lexicon: dict[str, int]) -> list[int]:
     return found
 
 
-def forward_backward(emission: np.ndarray, transition: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def forward_backward(
+    emission: np.ndarray, transition: np.ndarray, lengths: np.ndarray, pairs: np.ndarray | None = None
+) -> np.ndarray:
     """Label probabilities of sequences that lie one after another.
 
     ``emission`` and ``transition`` are log scores.  Sequences advance side by
-    side, longest first, so each step works on a prefix of them.
+    side, longest first, so each step works on a prefix of them.  The
+    probabilities of all pairs of neighbouring labels are added to ``pairs``.
     """
     psi = np.exp(emission - emission.max(axis=1, keepdims=True, initial=-np.inf))
     move = np.exp(transition)
@@ -113,7 +118,12 @@ def forward_backward(emission: np.ndarray, transition: np.ndarray, lengths: np.n
         at = start[:k] + t
         both = out[at] * back[:k]
         out[at] = both / both.sum(axis=1, keepdims=True)
-        new = (psi[at] * back[:k]) @ move.T
+        onward = psi[at] * back[:k]
+        if pairs is not None and t:
+            before = out[at - 1]  # forward states still
+            whole = ((before @ move) * onward).sum(axis=1, keepdims=True)
+            pairs += (before.T @ (onward / whole)) * move
+        new = onward @ move.T
         back[:k] = new / new.sum(axis=1, keepdims=True)
     return out
 
@@ -159,7 +169,8 @@ class Crf:
                 owner = np.repeat(np.arange(len(words)), counts)
                 emission = np.zeros((len(words), len(self.labels)), np.float32)
                 np.add.at(emission, owner, self.weights[flat])
-                p = forward_backward(emission, self.transition, lengths)
+                expected = np.zeros((len(self.labels),) * 2)
+                p = forward_backward(emission, self.transition, lengths, expected)
                 error = p.copy()
                 error[np.arange(len(words)), labels] -= 1
                 gradient = np.zeros_like(self.weights)
@@ -170,11 +181,9 @@ class Crf:
                 self.weights[used] -= RATE * g / np.sqrt(weight_sum[used])
                 ends = np.cumsum(lengths)
                 inner = np.setdiff1d(np.arange(len(words)), np.append(ends - 1, len(words) - 1))
-                # expected minus seen transitions; neighbours taken as independent given the text
-                expected = p[inner].T @ p[inner + 1]
                 seen = np.zeros_like(expected)
                 np.add.at(seen, (labels[inner], labels[inner + 1]), 1)
-                g = (expected - seen) / BATCH
+                g = ((expected - seen) / BATCH).astype(np.float32)
                 move_sum += g**2
                 self.transition -= RATE * g / np.sqrt(move_sum)
 
@@ -271,13 +280,22 @@ def _stretches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Crf:
-    """A model from stretches of documents outside the held-out fold."""
+    """A model from stretches of documents outside the held-out fold, about ``sample`` per language."""
     usable = docs.where(F.col(lang).isNotNull() & (crc_bucket(doc_id, FOLDS) != HELD_OUT)).select(
         F.col(doc_id).alias("_id"), F.col(text).alias("text"), F.col(lang).alias("lang")
     )
-    share = min(1.0, sample / max(1, usable.count()))
-    chosen = usable.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = chosen.select(F.xxhash64("_id", F.lit(1)).alias("place"), "text", "lang").mapInArrow(_stretches, "text string, lang string").collect()
+    pick = F.xxhash64("_id", "text")
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct(pick).alias("n")).collect()
+    # One condition per language, so a rare language is learned whole beside a frequent one.
+    limits = {r["lang"]: int(min(1.0, sample / max(1, r["n"])) * (1 << 30)) for r in counts}
+    limit = F.create_map(*[F.lit(x) for item in limits.items() for x in item])[F.col("lang")] if limits else F.lit(0)
+    chosen = usable.where(F.pmod(pick, F.lit(1 << 30)) < limit)
+    rows = (
+        chosen.select(F.xxhash64("_id", F.lit(1)).alias("place"), "text", "lang")
+        .mapInArrow(_stretches, "text string, lang string")
+        .distinct()
+        .collect()
+    )
     return Crf(sorted((r["text"], r["lang"]) for r in rows))
 
 

@@ -12,7 +12,7 @@ from kindred.llm import language_crf, quality_model
 from kindred.llm.chat_format import Formatter, Template, format_turns, read_back
 from kindred.llm.html_text import extract_text, main_text
 from kindred.llm.sentence_pieces import Encoder, decode, encode
-from tests.llm.cases import documents, frame
+from tests.llm.cases import SCHEMA, documents, frame
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 SF = "/root/testdata/sf0.01"
@@ -183,6 +183,55 @@ def test_forward_backward_matches_enumeration():
         at += n
 
 
+def test_pair_marginals_match_enumeration_and_finite_differences():
+    rng = np.random.default_rng(5)
+    n_labels, lengths = 3, np.array([4, 1, 0, 3])
+    emission, move = rng.normal(size=(8, n_labels)), rng.normal(size=(n_labels, n_labels))
+    pairs = np.zeros((n_labels, n_labels))
+    language_crf.forward_backward(emission, move, lengths, pairs)
+
+    def log_total(m):
+        total, at = 0.0, 0
+        for n in lengths.tolist():
+            scores = [
+                sum(emission[at + t, y] for t, y in enumerate(ys)) + sum(m[a, b] for a, b in zip(ys, ys[1:]))
+                for ys in itertools.product(range(n_labels), repeat=n)
+            ]
+            total += np.logaddexp.reduce(scores)
+            at += n
+        return total
+
+    # expected transitions are the derivative of the log of the sum over all labellings
+    for i in range(n_labels):
+        for j in range(n_labels):
+            up, down = move.copy(), move.copy()
+            up[i, j] += 1e-5
+            down[i, j] -= 1e-5
+            assert abs((log_total(up) - log_total(down)) / 2e-5 - pairs[i, j]) < 1e-5
+    assert abs(pairs.sum() - 5) < 1e-9
+
+
+def test_the_sample_is_bounded_per_language_without_ids(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_crf, "Crf", lambda rows: seen.append(rows))
+    rows = [(None, f"{lang} word{k} text", lang, "s", 0) for lang in ("en", "fr", "de") for k in range(1000)]
+    rows += [(None, "the same text", "en", "s", 0)] * 1000 + [(k, f"rare {k}", "xx", "s", 0) for k in range(6)]
+    language_crf.fit(frame(spark, rows), sample=10)
+    counts = Counter(lang for _, lang in seen[0])
+    assert all(1 <= counts[x] <= 40 for x in ("en", "fr", "de")) and 2 <= counts["xx"] <= 6
+
+
+def test_a_rare_language_is_learned(spark):
+    rng = random.Random(2)
+    common, rare = "the and of with house water green".split(), "qua zhu xol yqu vuz".split()
+    make = lambda words: " ".join(rng.choice(words) + rng.choice(("", "a", "ing")) for _ in range(12))
+    rows = [(k, make(rare if k % 300 == 0 else common), "fr" if k % 300 == 0 else "en", "s", 0) for k in range(30_000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = language_crf.fit(docs, sample=60)
+    found = language_crf.languages(docs.where("lang = 'fr'"), model).where("held_out").collect()
+    assert len(found) > 10 and sum(r["lang_pred"] == "fr" for r in found) >= 0.9 * len(found)
+
+
 def test_held_out_language(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language_crf.fit(docs)
