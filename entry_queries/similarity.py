@@ -74,7 +74,8 @@ def bucket_sizes(spark, sf_dir):
 
 def candidate_pairs_95(spark, sf_dir):
     h = hashed_variants(spark, sf_dir)
-    return similarity.candidate_counts(h, split_bits(F.col("phash"), QUARTERS), max_distance(95), Scratch(spark))
+    found = similarity.candidate_counts(h, split_bits(F.col("phash"), QUARTERS), max_distance(95), Scratch(spark))
+    return found.select(*[F.col(c).cast("bigint").alias(c) for c in found.columns])
 
 
 # The join's forms for large data, forced at any size.

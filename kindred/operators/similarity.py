@@ -336,9 +336,17 @@ def similar_images(images: DataFrame, distance: int, scratch: Scratch,
     return copies.unionByName(similar_pairs(rows, distance, scratch, limits))
 
 
+# Enough for the pairs of 10**18 images in a sum.
+_PAIRS = "decimal(38,0)"
+
+
 def _pairs_of(count: str) -> Column:
     """Exact number of pairs of ``count`` rows; the even factor is halved first."""
-    return F.expr(f"if({count} % 2 = 0, ({count} div 2) * ({count} - 1), {count} * (({count} - 1) div 2))")
+    big = "decimal(19,0)"
+    return F.expr(
+        f"if({count} % 2 = 0, cast({count} div 2 as {big}) * cast({count} - 1 as {big}), "
+        f"cast({count} as {big}) * cast(({count} - 1) div 2 as {big}))"
+    ).cast(_PAIRS)
 
 
 def candidate_counts(images: DataFrame, parts: list[Column], distance: int, scratch: Scratch) -> DataFrame:
@@ -356,12 +364,13 @@ def candidate_counts(images: DataFrame, parts: list[Column], distance: int, scra
         for s in range(1, 1 << len(parts))
     ]))
     pairs = _pairs_of("m")
-    sign = F.when(F.bit_count(F.col("s") + 1) % 2 == 1, 1).otherwise(-1)
+    added = F.bit_count(F.col("s") + 1) % 2 == 1
+    none = F.lit(0).cast(_PAIRS)
     candidates = (
         named.select("n", chosen.alias("s", "value"))
         .groupBy("s", "value")
         .agg(F.sum("n").alias("m"))
-        .select((sign * pairs).cast("bigint").alias("n_candidates"), F.lit(0).cast("bigint").alias("n_verified"))
+        .select(F.when(added, pairs).otherwise(-pairs).alias("n_candidates"), none.alias("n_verified"))
     )
     rows = kept.select("id", "phash", F.lit(True).alias("fresh"))
     size = kept.select("id", "n")
@@ -369,13 +378,11 @@ def candidate_counts(images: DataFrame, parts: list[Column], distance: int, scra
         similar_pairs(rows, distance, scratch)
         .join(size.withColumnsRenamed({"id": "a", "n": "n_a"}), "a")
         .join(size.withColumnsRenamed({"id": "b", "n": "n_b"}), "b")
-        .select((F.col("n_a") * F.col("n_b")).alias("m"))
+        .select((F.col("n_a").cast("decimal(19,0)") * F.col("n_b").cast("decimal(19,0)")).cast(_PAIRS).alias("m"))
     )
     equal = kept.select(_pairs_of("n").alias("m"))
-    verified = apart.unionByName(equal).select(
-        F.lit(0).cast("bigint").alias("n_candidates"), F.col("m").alias("n_verified")
-    )
+    verified = apart.unionByName(equal).select(none.alias("n_candidates"), F.col("m").alias("n_verified"))
     return candidates.unionByName(verified).agg(
-        F.coalesce(F.sum("n_candidates"), F.lit(0)).alias("n_candidates"),
-        F.coalesce(F.sum("n_verified"), F.lit(0)).alias("n_verified"),
+        F.coalesce(F.sum("n_candidates"), none).alias("n_candidates"),
+        F.coalesce(F.sum("n_verified"), none).alias("n_verified"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kindred.operators.clustering import cluster, cluster_incremental, new_neighbours, regroup
 from kindred.operators.similarity import (
+    _pairs_of,
     JoinLimits,
     candidate_counts,
     distinct_hashes,
@@ -176,6 +177,13 @@ def test_lower_threshold_only_merges(spark, scratch):
     assert both.groupBy("group_id").agg(F.countDistinct("coarse").alias("n")).where("n > 1").isEmpty()
 
 
+def test_pair_counts_of_many_images(spark):
+    counts = [0, 1, 2, 3, 20_000_000_000, 20_000_000_001, 10**17]
+    found = spark.createDataFrame([(n,) for n in counts], "m bigint").select("m", _pairs_of("m").alias("p"))
+    assert {int(r.m): int(r.p) for r in found.collect()} == {n: n * (n - 1) // 2 for n in counts}
+    assert int(found.agg(F.sum("p")).first()[0]) == sum(n * (n - 1) // 2 for n in counts)
+
+
 def test_candidate_counts(spark, scratch):
     rows = planted(200, 9, 40) | {1000 + i: 77 for i in range(10)}
     parts = lambda h: [(h >> s) & 0xFFFF for s in (48, 32, 16, 0)]
