@@ -250,6 +250,15 @@ def _spread(keyed: DataFrame, keys: list[str], tasks: float) -> DataFrame:
     return keyed.repartition(int(tasks), *keys)
 
 
+def _fullest_key(rows: DataFrame, scheme: KeyScheme) -> int:
+    """Fresh rows under one key at most: what a stored row may meet in a broadcast.
+
+    Counted, not estimated, as fingerprints of dark or flat pictures crowd.
+    """
+    counts = with_keys(rows.where("fresh").select("phash"), scheme).groupBy("no1", "key1").count()
+    return counts.agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+
+
 def _search(rows: DataFrame, distance: int, scratch: Scratch, forest: bool, limits: JoinLimits) -> DataFrame:
     spark = rows.sparkSession
     n_rows, n_fresh = rows.agg(F.count("*"), F.count_if(F.col("fresh"))).first()
@@ -257,8 +266,7 @@ def _search(rows: DataFrame, distance: int, scratch: Scratch, forest: bool, limi
         return spark.createDataFrame([], "a bigint, b bigint, distance bigint")
     scheme = choose_scheme(distance, n_fresh, n_rows)
     n_masks = len(scheme.key_masks)
-    met = n_fresh * scheme.hit_rate() / n_masks
-    if n_fresh * n_masks <= limits.broadcast_keys and met <= limits.broadcast_bucket:
+    if n_fresh * n_masks <= limits.broadcast_keys and _fullest_key(rows, scheme) <= limits.broadcast_bucket:
         # The fresh keys are counted, so this broadcast has a known bound; the
         # other side streams past it without a shuffle.
         work = n_fresh * n_rows * scheme.hit_rate() / limits.task_comparisons

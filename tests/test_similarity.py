@@ -147,6 +147,21 @@ def test_tiny_limits_reach_the_tiles(spark, scratch, monkeypatch):
     assert calls
 
 
+def test_crowded_fingerprints_are_not_broadcast(spark, scratch, monkeypatch):
+    """2,000 hashes that differ in their low bits only: few enough to broadcast, too many under one key."""
+    calls = []
+    keyed = similarity._search_keyed
+    monkeypatch.setattr(similarity, "_search_keyed", lambda *a: calls.append(1) or keyed(*a))
+    dark = {i: i * 37 for i in range(2000)}
+    even = {i: signed(random.Random(i).getrandbits(64)) for i in range(2000)}
+    for rows, crowded in ((dark, True), (even, False)):
+        calls.clear()
+        df = images(spark, rows).select(F.col("image_id").alias("id"), "phash", F.lit(True).alias("fresh"))
+        found = similar_pairs(scratch.keep(df, "rows"), 3, scratch)
+        assert bool(calls) == crowded
+        assert {tuple(r) for r in found.collect()} == pairs(rows, 3)
+
+
 def test_links_of_a_dense_bucket_stay_few(spark, scratch):
     rows = {i: i for i in range(1, 257)}  # all within 8 bits
     df = scratch.keep(
