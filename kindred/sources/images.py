@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.functions import image_hash
+from kindred.operators.spreading import even_partitions
 from kindred.sources.listing import LISTING_SCHEMA, local_path, remote_path
 from kindred.sources.scratch import Scratch
 
@@ -56,11 +57,13 @@ def _hash_all(blocks: list[np.ndarray | None]) -> pd.Series:
     return hashes
 
 
-def hash_files(files: DataFrame, decode: Decoder = image_hash.pillow_block) -> DataFrame:
+def hash_files(
+    files: DataFrame, decode: Decoder = image_hash.pillow_block, scratch: Scratch | None = None
+) -> DataFrame:
     """Read, decode and hash every file of a listing.
 
     Only paths travel through Spark; each task opens its own files and holds
-    one encoded image at a time.  ``decode`` turns the bytes of a file into a
+    one encoded image at a time.  Tasks get about equal bytes.  ``decode`` turns the bytes of a file into a
     32x32 grey block.  A file that fails becomes a row with an error.
     """
 
@@ -86,7 +89,9 @@ def hash_files(files: DataFrame, decode: Decoder = image_hash.pillow_block) -> D
         files.sparkSession.sparkContext.defaultParallelism,
         size[0] // FILES_PER_TASK, size[1] // BYTES_PER_TASK,
     )))
-    spread = files.select("path", "size", "modified_ns").repartition(int(tasks), "path")
+    given = files.select("path", "size", "modified_ns")
+    weight = F.coalesce("size", F.lit(0)) + BYTES_PER_TASK // FILES_PER_TASK
+    spread = even_partitions(given, weight, ["path"], int(tasks), scratch or Scratch(files.sparkSession))
     return spread.mapInPandas(run, FINGERPRINT_SCHEMA)
 
 
@@ -218,5 +223,5 @@ def fingerprint_files(
     if decode is None and find_spec("PIL") is not None:
         decode = image_hash.pillow_block
     if decode is not None:
-        return hash_files(files, decode)
+        return hash_files(files, decode, scratch)
     return hash_files_jvm(spark, files, scratch)

@@ -16,6 +16,7 @@ from kindred.operators.components import connected_components
 from kindred.operators.grouping import group_members, group_summary
 from kindred.operators.numbering import assign_ids, number_rows
 from kindred.operators.skew import join_unique
+from kindred.operators.spreading import even_partitions
 from kindred.plans.key_schemes import signed
 from kindred.sources.listing import IMAGE_EXTENSIONS, extension, is_image
 
@@ -122,6 +123,18 @@ def test_numbers_follow_the_order(spark, scratch):
     assert assign_ids(new.limit(0), state, scratch).count() == 0
 
 
+def test_even_partitions(spark, scratch):
+    rng = random.Random(6)
+    rows = [(f"/p{k:05d}", int(10 ** rng.uniform(1, 5))) for k in range(5000)]
+    df = spark.createDataFrame(rows, "path string, size bigint").repartition(7)
+    found = even_partitions(df, F.col("size"), ["path"], 16, scratch)
+    assert found.columns == ["path", "size"] and {tuple(r) for r in found.collect()} == set(rows)
+    sums = [r[0] for r in found.groupBy(F.spark_partition_id()).agg(F.sum("size")).select("sum(size)").collect()]
+    assert len(sums) == 16 and max(sums) < 2 * sorted(sums)[8]
+    one = even_partitions(spark.createDataFrame([("a", 0), ("b", 1 << 60), ("c", 5)], "path string, size bigint"), F.col("size"), ["path"], 3, scratch)
+    assert one.count() == 3 and even_partitions(df.limit(0), F.col("size"), ["path"], 4, scratch).count() == 0
+
+
 def test_group_members(spark, scratch):
     rows = [(1, "/b", 1), (2, "/a", 1), (3, "/c", 3), (4, "/z", 4), (5, "/y", 4), (6, "/x", 4)]
     df = spark.createDataFrame(rows, "image_id bigint, path string, group_id bigint")
