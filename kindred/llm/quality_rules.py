@@ -194,8 +194,9 @@ def _judged(docs: DataFrame, scratch: Scratch, row: Column, text: str, rounds: i
     stats = base_statistics(docs.select(row.alias("row"), F.col(text).alias("text"))).drop("text")
     voted = scratch.keep(stats.withColumns({f"vote_{rule}": v.cast("int") for rule, v in _votes().items()}), "votes")
     votes = [f"vote_{rule}" for rule in RULES]
-    patterns = scratch.keep(voted.groupBy(*votes).agg(F.count("*").alias("n")), "patterns")
-    model = estimate(patterns.coalesce(1), rounds)  # a few thousand rows at most
+    counted = scratch.keep(voted.groupBy(*votes).agg(F.count("*").alias("n")), "counted")
+    patterns = scratch.keep(counted.coalesce(1), "patterns")  # a few thousand rows at most
+    model = estimate(patterns, rounds)
     base_failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
     )
