@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from entry_queries.derived import HASHES_SQL, components_sql, hashed_variants, table, variants
-from kindred.functions.bits import QUARTERS, hamming, hash_parts, probe_values, split_bits
+from kindred.functions.bits import block_values, hamming, hash_parts, probe_values
 from kindred.functions.text_hash import hash_texts
 from kindred.functions.vector_hash import hash_vectors, hex_hash
 from kindred.operators import clustering, grouping, similarity
 from kindred.operators.snapshot_diff import unreadable
-from kindred.plans.thresholds import ALLOWED_THRESHOLDS, max_distance, max_distance_column, similarity_column
+from kindred.plans.thresholds import ALLOWED_THRESHOLDS, HASH_BITS, max_distance, max_distance_column, similarity_column
 from kindred.sources.key_index import scratch_index
 from kindred.sources.scratch import Scratch
 
@@ -46,10 +46,10 @@ def threshold_distance(spark, sf_dir):
 
 def probe_neighbours(spark, sf_dir):
     """Images whose first 16-bit part is within two bits, by mask lookup."""
-    h = hashed_variants(spark, sf_dir).withColumn("part", split_bits(F.col("phash"), QUARTERS)[0])
+    h = hashed_variants(spark, sf_dir).withColumn("part", block_values(F.col("phash"), 4)[0])
     kept = Scratch(spark).keep(h.groupBy("part").agg(F.count("*").alias("n")), "parts")
     counts = (
-        probe_values(kept.select("part"), "part", QUARTERS[0], PROBE_RADIUS)
+        probe_values(kept.select("part"), "part", HASH_BITS // 4, PROBE_RADIUS)
         .join(kept.select(F.col("part").alias("probe"), "n"), "probe")
         .groupBy("part")
         .agg(F.sum("n").alias("n_neighbours"))
@@ -64,7 +64,7 @@ def distinct_hashes(spark, sf_dir):
 def bucket_sizes(spark, sf_dir):
     h = hashed_variants(spark, sf_dir)
     return (
-        h.select(F.posexplode(F.array(*split_bits(F.col("phash"), QUARTERS))).alias("part", "value"))
+        h.select(F.posexplode(F.array(*block_values(F.col("phash"), 4))).alias("part", "value"))
         .groupBy("part", "value")
         .agg(F.count("*").alias("size"))
         .groupBy(F.col("part").cast("bigint").alias("part"))
@@ -74,7 +74,7 @@ def bucket_sizes(spark, sf_dir):
 
 def candidate_pairs_95(spark, sf_dir):
     h = hashed_variants(spark, sf_dir)
-    found = similarity.candidate_counts(h, split_bits(F.col("phash"), QUARTERS), max_distance(95), Scratch(spark))
+    found = similarity.candidate_counts(h, block_values(F.col("phash"), 4), max_distance(95), Scratch(spark))
     return found.select(*[F.col(c).cast("bigint").alias(c) for c in found.columns])
 
 

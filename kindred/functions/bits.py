@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.plans.thresholds import HASH_BITS
-
-# Widths of the two stored splits, most significant part first.
-QUARTERS = (16, 16, 16, 16)
-THIRDS = (21, 21, 22)
+from kindred.plans.key_schemes import contiguous_blocks, signed
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -17,22 +13,16 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def split_bits(value: Column, widths: tuple[int, ...]) -> list[Column]:
-    """Cut a fingerprint in parts of the given widths, as non-negative numbers."""
-    parts, low = [], HASH_BITS
-    for width in widths:
-        low -= width
-        if width == HASH_BITS:
-            parts.append(value)
-        else:
-            parts.append(F.shiftrightunsigned(value, low).bitwiseAND(F.lit((1 << width) - 1)))
-    return parts
+def block_values(value: Column, count: int) -> list[Column]:
+    """The ``count`` contiguous blocks of a fingerprint as numbers, most significant first."""
+    lowest = [(mask, (mask & -mask).bit_length() - 1) for mask in contiguous_blocks(count)]
+    return [F.shiftrightunsigned(value, low).bitwiseAND(F.lit(signed(mask >> low))) for mask, low in lowest]
 
 
 def hash_parts(df: DataFrame, value: str = "phash") -> DataFrame:
     """Add the 4x16-bit and 21/21/22-bit parts of ``value``."""
-    named = {f"p16_{i}": part for i, part in enumerate(split_bits(F.col(value), QUARTERS))}
-    named |= {f"p21_{i}": part for i, part in enumerate(split_bits(F.col(value), THIRDS))}
+    named = {f"p16_{i}": part for i, part in enumerate(block_values(F.col(value), 4))}
+    named |= {f"p21_{i}": part for i, part in enumerate(block_values(F.col(value), 3))}
     return df.withColumns(named)
 
 

@@ -16,7 +16,7 @@ from kindred.operators.similarity import (
     similar_links,
     similar_pairs,
 )
-from kindred.functions.bits import QUARTERS, split_bits
+from kindred.functions.bits import block_values
 from kindred.operators import similarity
 from kindred.operators.components import connected_components
 from kindred.plans.key_schemes import choose_scheme, contiguous_blocks, signed, strided_blocks, KeyScheme
@@ -207,7 +207,7 @@ def test_candidate_counts(spark, scratch):
         (a, b) for i, (a, x) in enumerate(items) for b, y in items[i + 1 :]
         if any(p == q for p, q in zip(parts(x), parts(y)))
     ]
-    found = candidate_counts(images(spark, rows), split_bits(F.col("phash"), QUARTERS), 3, scratch).first()
+    found = candidate_counts(images(spark, rows), block_values(F.col("phash"), 4), 3, scratch).first()
     assert tuple(found) == (len(candidates), len(pairs(rows, 3)))
 
 
