@@ -1,6 +1,9 @@
 import hashlib
 import itertools
+import math
 import random
+import re
+import time
 import zlib
 from collections import Counter
 
@@ -125,6 +128,107 @@ def test_two_doubtful_halves_are_not_an_empty_page():
     assert main_text("<div class=search>one two</div><div class=share>six ten</div>")
 
 
+LONG = "Words enough to count as a paragraph of the article, and some more of them to be sure."
+
+
+@pytest.mark.parametrize("part", [
+    f"<section id='search-methods'><p>{LONG}</p></section>", f"<p class='notice'>{LONG}</p>", f"<p id=related-work>{LONG}</p>",
+    f"<p><label>Term</label> and what it means. {LONG}</p>", f"<p>Press <button>Start</button> first. {LONG}</p>",
+])
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>"])
+def test_parts_of_the_article_stay_whatever_their_name(part, wrap):
+    words = " ".join(re.sub("<[^>]*>", "", part).split())
+    page = AROUND.replace("{}", wrap.replace("{}", f"<h1>Title</h1><p>{LONG}</p>{part}<p>{LONG}</p>"))
+    assert main_text(page) == f"Title\n\n{LONG}\n\n{words}\n\n{LONG}"
+
+
+@pytest.mark.parametrize("part", [
+    "<div class=ad>Buy this now, it is cheap and good, and you will like it very much indeed.</div>", "<div><button>Share</button></div>",
+    f"<section class=comments><p>{LONG}</p></section>", f"<ol id='comment-list'><li>{LONG}</ol>", "<p class=notice>Short.</p>",
+    f"<article class=comment><p>{LONG}</p></article>", "<div class=related><a href=x>One more</a> <a href=y>and another</a></div>",
+    f"<form><p>{LONG}</p><label>Name</label><input></form>", f"<div class='cookie-notice'>{LONG}</div>",
+])
+def test_parts_that_are_not_the_article_go(part):
+    page = AROUND.replace("{}", f"<article><h1>Title</h1><p>{LONG}</p><p>{LONG}</p>{part}<p>{LONG}</p></article>")
+    assert main_text(page) == "\n\n".join(["Title", LONG, LONG, LONG])
+
+
+def test_remarks_beside_an_article_go():
+    page = f"<main><h1>Title</h1><article><p>{LONG}</p><p>{LONG}</p></article><h2>Remarks</h2><div><p>{LONG}</p></div></main>"
+    assert main_text(page) == "\n\n".join(["Title", LONG, LONG])
+    links = "<div><a href=x>Another article of this site</a><a href=y>And yet another one</a></div>"
+    assert main_text(f"<main><div><p>{LONG}</p><p>{LONG}</p></div>{links}</main>") == f"{LONG}\n\n{LONG}"
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a b='", "<div>", "<b>", "<a '>'", "<script></script ", "<p><table><div>", "</a", "<div class=ad>"])
+def test_hostile_pages_take_linear_time(unit):
+    begin = time.process_time()
+    main_text(unit * (1_000_000 // len(unit)))
+    assert time.process_time() - begin < 8
+
+
+def test_references_with_very_long_numbers():
+    assert main_text("<p>a&#" + "1" * 9000 + ";b&#" + "0" * 9000 + "65;&#x" + "f" * 9000 + ";") == "a\ufffdbA\ufffd"
+
+
+def _plain_text(body):
+    """The method on a tree of ``[tag, *children]``, by recursion over all subtrees."""
+    parts = lambda t: [x for x in t[1:] if not isinstance(x, str)]
+    size = lambda t: sum(len("".join(x.split())) if isinstance(x, str) else size(x) for x in t[1:])
+    linked = lambda t: size(t) if t[0] == "a" else sum(map(linked, parts(t)))
+    count = lambda t, tag=None: sum(count(x, tag) + (tag in (None, x[0])) for x in parts(t))
+    everything = lambda t: [t] + [y for x in parts(t) for y in everything(x)]
+
+    def density(t, inside):
+        c, lc = size(t), size(t) if inside or t[0] == "a" else linked(t)
+        if not c:
+            return 0.0
+        tags, lt = max(1, count(t)), max(1, count(t, "a"))
+        base = math.log(c / max(1, c - lc) * lc + linked(body) / size(body) * c + math.e)
+        return c / tags * max(0.0, math.log(c / max(1, lc) * tags / lt + 1)) / max(1e-9, math.log(base + math.e - 1))
+
+    above = {id(x): t for t in everything(body) for x in parts(t)}
+    under_link = lambda t: id(t) in above and (above[id(t)][0] == "a" or under_link(above[id(t)]))
+    dense = {id(t): density(t, under_link(t)) for t in everything(body)}
+    best = max(everything(body), key=lambda t: sum(dense[id(x)] for x in parts(t)))
+    path = [best]
+    while id(path[-1]) in above:
+        path.append(above[id(path[-1])])
+    least = min(dense[id(t)] for t in path)
+    on_path = set(map(id, path))
+    taken = {id(best)} | {
+        id(x) for t in path for x in parts(t)
+        if id(x) not in on_path and dense[id(x)] >= least and 2 * (size(x) if under_link(x) else linked(x)) < size(x)
+    }
+
+    def text(t, kept):
+        kept |= id(t) in taken
+        inner = "".join((x if kept else "") if isinstance(x, str) else text(x, kept) for x in t[1:])
+        return f"\0{inner}\0" if t[0] in ("div", "section", "body") else inner
+
+    return "\n\n".join(b for b in (" ".join(x.split()) for x in text(body, False).split("\0")) if b)
+
+
+def test_density_equals_the_plain_version():
+    rng = random.Random(7)
+
+    def made(tag, depth):
+        inner = [" ".join(["word", "text", "more"][: rng.randint(1, 3)] * rng.randint(1, 9)) + " "] * rng.randint(0, 2)
+        kinds = ["span", "b"] + ["a"] * (tag != "a") + ["div", "section"] * 2 * (tag in ("div", "section", "body"))
+        inner += [made(rng.choice(kinds), depth - 1) for _ in range(rng.randint(0, 4))] if depth else []
+        rng.shuffle(inner)
+        return [tag, *inner]
+
+    shown = lambda t: f"<{t[0]}>" + "".join(x if isinstance(x, str) else shown(x) for x in t[1:]) + f"</{t[0]}>"
+    whole = 0
+    for _ in range(300):
+        body = made("body", 5)
+        got = main_text(shown(body))
+        assert got == (_plain_text(body) if re.search("[a-z]", re.sub("<[^>]*>", "", shown(body))) else "")
+        whole += got == "\n\n".join(" ".join(x.split()) for x in re.split("<(?:/?(?:div|section|body))>", re.sub("</?(?:a|b|span)>", "", shown(body))) if x.strip())
+    assert whole < 250  # density decides on many of them
+
+
 # --- quality model -----------------------------------------------------------
 
 
