@@ -4,12 +4,14 @@ A run writes all its rows below ``v=<n>-<id>``, then one small manifest under
 another name, which it renames to ``manifest-<n>.json``.  A version exists once
 its manifest does, whole, so a run that dies earlier leaves the previous version
 in place.  ``n`` follows the version that the run has read, and the rename fails
-when the name is taken: of two runs from one version only one publishes.
+when the name is taken: of two runs from one version only one publishes, and the
+other one ends with the error of the file system.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import time
 import uuid
 from dataclasses import dataclass
@@ -112,7 +114,17 @@ class SnapshotStore:
         return name
 
     def _rename(self, source: str, target: str) -> None:
-        """Rename that fails when the target exists."""
+        """Rename that fails when the target exists, also for two callers at the same moment.
+
+        Local and mounted file systems look before they rename, so there the
+        target is made as a hard link, which the file system refuses if the
+        name is taken.
+        """
+        if self._fs.getUri().getScheme() == "file":
+            names = [self._fs.makeQualified(self._path(x)).toUri().getPath() for x in (source, target)]
+            os.link(*names)
+            self._fs.delete(self._path(source), False)
+            return
         spark = self.spark.sparkContext
         context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
             self._fs.getUri(), spark._jsc.hadoopConfiguration()

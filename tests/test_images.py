@@ -2,6 +2,8 @@ import io
 import json
 import os
 import struct
+from concurrent.futures import ThreadPoolExecutor
+from threading import Barrier
 
 import numpy as np
 import pictures
@@ -269,6 +271,27 @@ def test_runs_over_a_changing_folder(spark, folder, tmp_path):
     assert len(store.versions()) == 1 and state_of(store) == labels
 
 
+def test_of_runs_that_publish_at_the_same_moment_one_succeeds(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path))
+    rows = spark.sql("select 1L as image_id, '/a' as path, 1L as size, 1L as modified_ns, 5L as phash, 1L as group_id")
+    current = store.publish(rows, 90, None)
+    for _ in range(10):
+        meeting = Barrier(6)
+
+        def publish(threshold, based_on=current, meeting=meeting):
+            meeting.wait()
+            try:
+                return SnapshotStore(spark, str(tmp_path)).publish(None, threshold, based_on)
+            except FileExistsError:
+                return None
+
+        with ThreadPoolExecutor(6) as pool:
+            published = [x for x in pool.map(publish, range(90, 96)) if x]
+        assert len(published) == 1 and store.manifest() == published[0]
+        current = published[0]
+    assert store.versions() == list(range(1, 12)) and store.read().count() == 1
+
+
 def test_a_run_that_dies_leaves_the_old_version(spark, tmp_path, monkeypatch):
     store = SnapshotStore(spark, str(tmp_path))
     row = "1L as image_id, '/a' as path, 1L as size, 1L as modified_ns, 5L as phash, 1L as group_id"
