@@ -7,7 +7,9 @@ incremental run.  Pairs meet by equi-join on block keys
 (``plans.key_schemes``).  Small buckets are joined row by row.  Larger ones
 are compared as arrays, in tiles of bounded size that are spread over the
 cluster, which is many times faster per comparison.  Very large ones are first
-keyed a second time with other blocks.  Every way is exact.
+keyed a second time with other blocks.  At large distances blocks may differ
+by radii chosen from their counted values: probes then have a key for every
+value within the radius.  Every way is exact.
 """
 
 from __future__ import annotations
@@ -21,8 +23,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kindred.functions.bits import block_values
 from kindred.operators.skew import join_unique
-from kindred.plans.key_schemes import TILE_FROM, KeyScheme, any_bit, choose_scheme, long_array, signed
+from kindred.plans.key_schemes import (
+    TILE_FROM,
+    KeyScheme,
+    RadiusScheme,
+    allot_radii,
+    block_count,
+    choose_scheme,
+    contiguous_blocks,
+    long_array,
+    signed,
+)
 from kindred.sources.scratch import Scratch
 
 
@@ -47,6 +60,10 @@ class JoinLimits:
     task_keys: int = 2_000_000
     # Tables up to this size are spread anew when they sit in few partitions.
     respread_rows: int = 5_000_000
+    # Distance from which blocks with radii are weighed against equal blocks,
+    # and the share of the cost of equal blocks below which they are taken.
+    radii_from: int = 8
+    radii_share: float = 1.0
 
 
 DEFAULT_LIMITS = JoinLimits()
@@ -71,16 +88,28 @@ def with_keys(rows: DataFrame, scheme: KeyScheme, level: int = 1) -> DataFrame:
     ).drop("_mask")
 
 
-def _owned(scheme: KeyScheme, difference: str, no: str) -> str:
-    """SQL text: whether this key is the one that reports the pair."""
-    agreeing = any_bit(
-        [f"if(({difference} & {signed(b)}L) = 0L, {signed(b)}L, 0L)" for b in scheme.blocks]
-    )
-    reach, mask = long_array(scheme.reach_masks), long_array(scheme.key_masks)
-    return f"({agreeing} & {reach}[{no}]) = {mask}[{no}]"
+def with_probe_keys(rows: DataFrame, scheme: KeyScheme | RadiusScheme) -> DataFrame:
+    """Like :func:`with_keys`, with the keys that only a fresh row has as a probe.
+
+    ``other`` marks the keys under which a row is found.
+    """
+    if isinstance(scheme, KeyScheme):
+        return with_keys(rows, scheme).withColumn("other", F.lit(True))
+    keys = ", ".join(f"struct({no} as no, {signed(mask)}L as mask, {signed(flip)}L as flip)"
+                     for no, mask, flip in scheme.entries)
+    return (
+        rows.withColumn("_k", F.explode(F.expr(f"array({keys})")))
+        .where("fresh or _k.flip = 0L")
+        .withColumns({
+            "no1": F.col("_k.no"),
+            "key1": F.col("phash").bitwiseAND(F.col("_k.mask")).bitwiseXOR(F.col("_k.flip")),
+            "other": F.col("_k.flip") == 0,
+        })
+        .drop("_k")
+    )
 
 
-def _join_keyed(left: DataFrame, right: DataFrame, schemes: list[KeyScheme], distance: int) -> DataFrame:
+def _join_keyed(left: DataFrame, right: DataFrame, schemes: list[KeyScheme | RadiusScheme], distance: int) -> DataFrame:
     """Verified pairs of two keyed tables, each reported by one key."""
     difference = "(x.phash ^ y.phash)"
     tests = []
@@ -88,8 +117,8 @@ def _join_keyed(left: DataFrame, right: DataFrame, schemes: list[KeyScheme], dis
         tests += [f"x.no{level} = y.no{level}", f"x.key{level} = y.key{level}"]
     tests += ["(x.phash < y.phash or not y.fresh)", f"bit_count({difference}) <= {distance}"]
     for level, scheme in enumerate(schemes, start=1):
-        if len(scheme.key_masks) > 1:
-            tests.append(_owned(scheme, difference, f"x.no{level}"))
+        if len(scheme.blocks) > 1:
+            tests.append(scheme.owned_sql(difference, f"x.no{level}"))
     x, y = left.alias("x"), right.alias("y")
     return x.join(y, F.expr(" and ".join(tests))).selectExpr(
         "least(x.id, y.id) as a",
@@ -127,9 +156,6 @@ def _tile_function(schemes: list[KeyScheme], distance: int, forest: bool) -> Cal
     similar pairs of the tile, at most one per row; otherwise the pairs that
     the keys of the tile own.
     """
-    blocks = [np.array(s.blocks, dtype=np.uint64) for s in schemes]
-    masks = [s.key_masks for s in schemes]
-    reaches = [s.reach_masks for s in schemes]
     levels = range(1, len(schemes) + 1)
 
     def bits(rows: pd.DataFrame) -> np.ndarray:
@@ -137,10 +163,8 @@ def _tile_function(schemes: list[KeyScheme], distance: int, forest: bool) -> Cal
 
     def owned(numbers: list[int], difference: np.ndarray) -> np.ndarray:
         keep = np.ones(len(difference), dtype=bool)
-        for no, block, mask, reach in zip(numbers, blocks, masks, reaches):
-            equal = np.where(difference[:, None] & block[None, :], np.uint64(0), block[None, :])
-            agreeing = np.bitwise_or.reduce(equal, axis=1)
-            keep &= (agreeing & np.uint64(reach[no])) == np.uint64(mask[no])
+        for no, scheme in zip(numbers, schemes):
+            keep &= scheme.owned(no, difference)
         return keep
 
     def pairs(numbers: list[int], left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -196,24 +220,26 @@ def _tiles(rows: DataFrame, large: DataFrame, schemes: list[KeyScheme], distance
     """Pairs of larger buckets, compared in a grid of bounded tiles.
 
     A bucket that fits one tile is sent once.  In a larger one every probe
-    meets every column of the grid, and every row meets every line.
+    meets every column of the grid, and every row to be found every line.
     """
     keys = _key_columns(len(schemes))
     grid = large.select(
-        *keys, "n_rows", "n_fresh",
+        *keys, "n_rows", "n_fresh", "n_keys",
         F.expr(f"ceil(n_fresh / {limits.tile_rows})").alias("_across"),
         F.expr(f"ceil(n_rows / {limits.tile_rows})").alias("_down"),
     )
     sent, comparisons = grid.agg(
-        F.sum(F.expr("if(_down = 1, n_rows, n_rows * _across + n_fresh * _down)")), F.sum(F.expr("n_rows * n_fresh"))
+        F.sum(F.expr("if(_down = 1 and _across = 1, n_keys, n_rows * _across + n_fresh * _down)")),
+        F.sum(F.expr("n_rows * n_fresh")),
     ).first()
     tasks = max(sent // limits.task_keys, comparisons // limits.task_tile_comparisons)
     cells = F.expr(f"""
-        if(_down = 1, array(struct({BOTH} as role, 0L as _i, 0L as _j)), concat(
+        if(_down = 1 and _across = 1,
+          array(struct(if(other, {BOTH}, {PROBE}) as role, 0L as _i, 0L as _j)), concat(
           if(fresh, transform(sequence(0L, _down - 1),
                               j -> struct({PROBE} as role, pmod(xxhash64(phash), _across) as _i, j as _j)), array()),
-          transform(sequence(0L, _across - 1),
-                    i -> struct({OTHER} as role, i as _i, pmod(xxhash64(phash), _down) as _j))))""")
+          if(other, transform(sequence(0L, _across - 1),
+                              i -> struct({OTHER} as role, i as _i, pmod(xxhash64(phash), _down) as _j)), array())))""")
     placed = (
         _meet(rows, grid, keys, "inner", limits)
         .select(*keys, "id", "phash", "fresh", F.explode(cells).alias("c"))
@@ -228,7 +254,7 @@ def _tiles(rows: DataFrame, large: DataFrame, schemes: list[KeyScheme], distance
 
 
 def _meet(rows: DataFrame, buckets: DataFrame, keys: list[str], how: str, limits: JoinLimits) -> DataFrame:
-    """Keyed rows joined with a written list of buckets and their ``n_rows``.
+    """Keyed rows joined with a written list of buckets and their ``n_keys``.
 
     A list of a counted, short length is broadcast.  Of a longer one only the
     very large buckets are, one for at least ``rekey_rows`` key rows; the rest
@@ -236,8 +262,8 @@ def _meet(rows: DataFrame, buckets: DataFrame, keys: list[str], how: str, limits
     """
     if buckets.count() <= limits.large_buckets:
         return rows.join(F.broadcast(buckets), keys, how)
-    hot = F.broadcast(buckets.where(F.col("n_rows") > limits.rekey_rows))
-    rest = buckets.where(F.col("n_rows") <= limits.rekey_rows).hint("merge")
+    hot = F.broadcast(buckets.where(F.col("n_keys") > limits.rekey_rows))
+    rest = buckets.where(F.col("n_keys") <= limits.rekey_rows).hint("merge")
     if how == "left_anti":
         return rows.join(hot, keys, how).join(rest, keys, how)
     return rows.join(hot, keys, how).unionByName(rows.join(rest, keys, how))
@@ -274,11 +300,31 @@ def _search(rows: DataFrame, distance: int, scratch: Scratch, forest: bool, limi
         side = rows.repartition(tasks, "phash") if 1 < tasks and n_rows <= limits.respread_rows else rows
         probes = F.broadcast(with_keys(rows.where("fresh"), scheme))
         return _join_keyed(probes, with_keys(side, scheme), [scheme], distance)
-    all_fresh = n_fresh == n_rows
-    return _search_keyed(with_keys(rows, scheme), [scheme], n_rows, n_rows * n_masks, all_fresh,
+    if distance >= limits.radii_from:
+        count, cost = block_count(distance, n_fresh, n_rows)
+        if cost < limits.radii_share * scheme.cost(n_fresh, n_rows):
+            scheme = choose_radii(rows, distance, count)
+    n_keys = n_rows * n_masks
+    if isinstance(scheme, RadiusScheme):
+        n_keys = n_fresh * len(scheme.entries) + (n_rows - n_fresh) * len(scheme.blocks)
+    return _search_keyed(with_probe_keys(rows, scheme), [scheme], n_rows, n_keys, n_fresh == n_rows,
                          distance, scratch, forest, limits)
 
 
+def choose_radii(rows: DataFrame, distance: int, count: int) -> RadiusScheme:
+    """Radii for ``count`` blocks by the counted values of every block.
+
+    The counts are bounded by the number of values: 2 ** 13 for each of five blocks.
+    """
+    blocks = contiguous_blocks(count)
+    counts = [[np.zeros(1 << block.bit_count()) for block in blocks] for _ in range(2)]
+    values = F.posexplode(F.array(*block_values(F.col("phash"), count))).alias("no", "value")
+    counted = rows.select("fresh", values).groupBy("no", "value").agg(F.count("*"), F.count_if("fresh"))
+    for no, value, n_rows, n_fresh in counted.collect():
+        counts[0][no][value], counts[1][no][value] = n_rows, n_fresh
+    return RadiusScheme(blocks, allot_radii(distance, *counts)[0])
+
+
 def _search_keyed(keyed: DataFrame, schemes: list[KeyScheme], most: int, n_keys: int, all_fresh: bool,
                   distance: int, scratch: Scratch, forest: bool, limits: JoinLimits) -> DataFrame:
     """Pairs of keyed rows; no bucket has more than ``most`` of the ``n_keys`` rows."""
@@ -287,16 +333,16 @@ def _search_keyed(keyed: DataFrame, schemes: list[KeyScheme], most: int, n_keys:
     if most > limits.bucket_rows:
         large = scratch.keep(
             keyed.groupBy(*keys)
-            .agg(F.count("*").alias("n_rows"), F.count_if(F.col("fresh")).alias("n_fresh"))
-            .where((F.col("n_rows") > limits.bucket_rows) & (F.col("n_fresh") > 0)),
+            .agg(F.count_if("other").alias("n_rows"), F.count_if("fresh").alias("n_fresh"), F.count("*").alias("n_keys"))
+            .where((F.col("n_keys") > limits.bucket_rows) & (F.col("n_rows") > 0) & (F.col("n_fresh") > 0)),
             "large",
         )
         last = len(schemes) == 2
-        tiled = large if last else large.where(F.col("n_rows") <= limits.rekey_rows)
+        tiled = large if last else large.where(F.col("n_keys") <= limits.rekey_rows)
         if not tiled.isEmpty():
             found.append(_tiles(keyed, tiled, schemes, distance, forest, limits))
-        huge = large.where(F.col("n_rows") > limits.rekey_rows)
-        size = None if last else huge.agg(F.max("n_rows"), F.max("n_fresh"), F.sum("n_rows")).first()
+        huge = large.where(F.col("n_keys") > limits.rekey_rows)
+        size = None if last else huge.agg(F.max("n_rows"), F.max("n_fresh"), F.sum("n_keys")).first()
         if size and size[0] is not None:
             crowded = _meet(keyed, huge, keys, "left_semi", limits)
             finer = choose_scheme(distance, size[1], size[0], strided=True)
@@ -308,7 +354,7 @@ def _search_keyed(keyed: DataFrame, schemes: list[KeyScheme], most: int, n_keys:
         small = _meet(keyed, large, keys, "left_anti", limits)
     small = _spread(small, keys, n_keys // limits.task_keys).hint("merge")
     left = small if all_fresh else small.where("fresh")
-    return reduce(DataFrame.unionByName, found, _join_keyed(left, small, schemes, distance))
+    return reduce(DataFrame.unionByName, found, _join_keyed(left, small.where("other"), schemes, distance))
 
 
 def similar_pairs(rows: DataFrame, distance: int, scratch: Scratch,

@@ -6,6 +6,12 @@ of ``c`` blocks therefore turns "distance <= k" into equi-joins that miss
 nothing (Manku, Jain, Das Sarma, WWW 2007).  More agreeing blocks mean longer,
 more selective keys but more key rows; ``choose_scheme`` weighs the two with
 the row counts of the join at hand.
+
+At large distances such keys are short or very many.  There a block may differ
+by a radius of its own (general pigeonhole principle, Qin et al., ICDE 2018):
+where the radii plus one sum to ``k + 1``, some block of a similar pair lies
+within its radius.  ``allot_radii`` chooses them from counted block values, so
+that crowded blocks get small radii or none.
 """
 
 from __future__ import annotations
@@ -14,6 +20,8 @@ from dataclasses import dataclass
 from itertools import combinations
 from math import comb
 
+import numpy as np
+
 from kindred.plans.thresholds import HASH_BITS
 
 # Costs in units of one comparison of two joined rows, as measured: moving one
@@ -27,6 +35,10 @@ TILE_COST = 40_000
 TILE_FROM = 1500
 # Longest list of masks put in one plan.
 MAX_KEYS = 5000
+# Blocks with radii: fewest blocks (13 bits, so that all values can be counted
+# in a table of bounded size) and largest radius.
+LEAST_BLOCKS = 5
+MAX_RADIUS = 3
 
 
 def signed(value: int) -> int:
@@ -71,6 +83,19 @@ class KeyScheme:
             reaches.append(sum(self.blocks[: chosen[-1] + 1]))
         return tuple(reaches)
 
+    def owned_sql(self, difference: str, no: str) -> str:
+        """SQL text: whether key ``no`` is the one that reports the pair."""
+        agreeing = any_bit([f"if(({difference} & {signed(b)}L) = 0L, {signed(b)}L, 0L)" for b in self.blocks])
+        reach, mask = long_array(self.reach_masks), long_array(self.key_masks)
+        return f"({agreeing} & {reach}[{no}]) = {mask}[{no}]"
+
+    def owned(self, no: int, difference: np.ndarray) -> np.ndarray:
+        """Whether key ``no`` reports pairs with these differing bits."""
+        block = np.array(self.blocks, dtype=np.uint64)
+        equal = np.where(difference[:, None] & block[None, :], np.uint64(0), block[None, :])
+        agreeing = np.bitwise_or.reduce(equal, axis=1)
+        return (agreeing & np.uint64(self.reach_masks[no])) == np.uint64(self.key_masks[no])
+
     def hit_rate(self) -> float:
         """Expected key matches of one pair of uniform hashes."""
         return sum(2.0 ** -mask.bit_count() for mask in self.key_masks)
@@ -113,3 +138,103 @@ def choose_scheme(distance: int, probes: int, rows: int, strided: bool = False)
         if cost < best_cost:
             best, best_cost = scheme, cost
     return best
+
+
+@dataclass(frozen=True)
+class RadiusScheme:
+    """Blocks (bit masks) and the wrong bits allowed in each; -1 leaves a block out.
+
+    A probe has a key for every value within the radius, a stored row only its
+    own value.  A pair is reported by its first block within the radius.
+    """
+
+    blocks: tuple[int, ...]
+    radii: tuple[int, ...]
+
+    @property
+    def entries(self) -> tuple[tuple[int, int, int], ...]:
+        """Number of the block, its mask and flipped bits, for every key of a probe."""
+        return tuple(
+            (no, block, sum(flipped))
+            for no, (block, radius) in enumerate(zip(self.blocks, self.radii))
+            for count in range(radius + 1)
+            for flipped in combinations([1 << b for b in range(HASH_BITS) if block >> b & 1], count)
+        )
+
+    def owned_sql(self, difference: str, no: str) -> str:
+        """SQL text: whether block ``no`` is the one that reports the pair."""
+        first = " ".join(
+            f"when bit_count({difference} & {signed(b)}L) <= {r} then {i}"
+            for i, (b, r) in enumerate(zip(self.blocks, self.radii))
+            if r >= 0
+        )
+        return f"{no} = (case {first} end)"
+
+    def owned(self, no: int, difference: np.ndarray) -> np.ndarray:
+        """Whether block ``no`` reports pairs with these differing bits."""
+        keep = np.ones(len(difference), dtype=bool)
+        for block, radius in zip(self.blocks[:no], self.radii[:no]):
+            if radius >= 0:
+                keep &= np.bitwise_count(difference & np.uint64(block)) > radius
+        return keep
+
+
+def ball(width: int, radius: int) -> int:
+    """Number of values within ``radius`` bits of one value."""
+    return sum(comb(width, wrong) for wrong in range(radius + 1))
+
+
+def comparisons_by_radius(rows: np.ndarray, fresh: np.ndarray) -> list[float]:
+    """Pairs of a fresh row and any row whose block values lie within 0, 1, ... bits.
+
+    ``rows`` and ``fresh`` count the rows by block value.  Going through the
+    bits one by one, each value gathers the fresh rows at every distance.
+    """
+    values = np.arange(len(rows))
+    apart = [fresh.astype(float)] + [np.zeros(len(rows)) for _ in range(MAX_RADIUS)]
+    bit = 1
+    while bit < len(rows):
+        turned = [counts[values ^ bit] for counts in apart[:-1]]
+        for wrong in range(MAX_RADIUS):
+            apart[wrong + 1] = apart[wrong + 1] + turned[wrong]
+        bit *= 2
+    return np.cumsum([float(rows @ counts) for counts in apart]).tolist()
+
+
+def allot_radii(distance: int, rows: list[np.ndarray], fresh: list[np.ndarray]) -> tuple[tuple[int, ...], float]:
+    """Radii of the least estimated cost, and that cost, from the counts per block value."""
+    best = {0: (0.0, ())}
+    for all_rows, probes in zip(rows, fresh):
+        width = (len(all_rows) - 1).bit_length()
+        n_rows, n_probes = float(all_rows.sum()), float(probes.sum())
+        costs = {-1: 0.0}
+        for radius, compared in enumerate(comparisons_by_radius(all_rows, probes)):
+            keys = n_rows - n_probes + n_probes * ball(width, radius)
+            if max(n_rows, n_probes * ball(width, radius)) > TILE_FROM * len(all_rows):
+                cost = keys * (KEY_ROW_COST + TILE_ROW_COST) + compared * TILE_COMPARISON_COST + len(all_rows) * TILE_COST
+            else:
+                cost = keys * KEY_ROW_COST + compared
+            costs[radius] = cost
+        reached = {}
+        for done, (spent, radii) in best.items():
+            for radius, cost in costs.items():
+                # More than the distance asks for is never needed.
+                total = done + radius + 1
+                if total <= distance + 1 and (total not in reached or spent + cost < reached[total][0]):
+                    reached[total] = spent + cost, (*radii, radius)
+        best = reached
+    cost, radii = best.get(distance + 1, (float("inf"), ()))
+    return radii, cost
+
+
+def block_count(distance: int, probes: int, rows: int) -> tuple[int, float]:
+    """Number of blocks with radii that is cheapest on uniform hashes, and its cost."""
+    found = []
+    for count in range(min(LEAST_BLOCKS, distance + 1), distance + 2):
+        sizes = [1 << block.bit_count() for block in contiguous_blocks(count)]
+        if max(sizes) > 1 << -(-HASH_BITS // LEAST_BLOCKS):
+            continue
+        spread = [[np.full(size, n / size) for size in sizes] for n in (rows, probes)]
+        found.append((allot_radii(distance, *spread)[1], count))
+    cost, count = min(found, default=(float("inf"), 0))
+    return count, cost

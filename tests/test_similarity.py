@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import entry_queries.similarity
@@ -19,7 +20,18 @@ from kindred.operators.similarity import (
 from kindred.functions.bits import block_values
 from kindred.operators import similarity
 from kindred.operators.components import connected_components
-from kindred.plans.key_schemes import choose_scheme, contiguous_blocks, signed, strided_blocks, KeyScheme
+from kindred.plans.key_schemes import (
+    KeyScheme,
+    RadiusScheme,
+    allot_radii,
+    ball,
+    block_count,
+    choose_scheme,
+    comparisons_by_radius,
+    contiguous_blocks,
+    signed,
+    strided_blocks,
+)
 from kindred.plans.thresholds import check_threshold, max_distance
 
 # Limits that force each physical form on small data.
@@ -28,6 +40,13 @@ SHUFFLED = JoinLimits(broadcast_keys=0)
 REKEYED = JoinLimits(broadcast_keys=0, bucket_rows=8, rekey_rows=8, tile_rows=16, task_keys=2_000)
 TILED = JoinLimits(broadcast_keys=0, bucket_rows=1, tile_rows=16, task_tile_comparisons=500)
 LISTED = JoinLimits(broadcast_keys=0, bucket_rows=4, rekey_rows=16, tile_rows=16, large_buckets=0)
+RADII = {
+    "radii": JoinLimits(broadcast_keys=0, radii_share=float("inf")),
+    "radii_tiled": JoinLimits(broadcast_keys=0, bucket_rows=1, tile_rows=16, radii_share=float("inf")),
+    "radii_rekeyed": JoinLimits(broadcast_keys=0, bucket_rows=16, rekey_rows=40, tile_rows=16, radii_share=float("inf")),
+    "radii_listed": JoinLimits(broadcast_keys=0, bucket_rows=4, rekey_rows=64, tile_rows=16, large_buckets=0,
+                               radii_share=float("inf")),
+}
 FORMS = {"broadcast": BROADCAST, "shuffled": SHUFFLED, "rekeyed": REKEYED, "tiled": TILED, "listed": LISTED}
 
 
@@ -134,6 +153,58 @@ def test_groups_equal_brute_force(spark, scratch, form, threshold):
     assert {r.image_id: r.group_id for r in found.collect()} == groups(rows, max_distance(threshold))
 
 
+@pytest.mark.parametrize("form", RADII)
+@pytest.mark.parametrize("free_bits, part", [(64, 1), (24, 1), (24, 5)])
+def test_pairs_by_radii_equal_brute_force(spark, scratch, form, free_bits, part):
+    rows = unique(planted(150, 40 + part, free_bits))
+    fresh = {i for i in rows if i % part == 0}
+    df = scratch.keep(
+        images(spark, rows).select(
+            F.col("image_id").alias("id"), "phash", F.col("image_id").isin(fresh).alias("fresh")
+        ), "rows",
+    )
+    found = [tuple(r) for r in similar_pairs(df, 12, scratch, RADII[form]).collect()]
+    assert len(found) == len(set(found))
+    assert set(found) == {p for p in pairs(rows, 12) if p[0] in fresh or p[1] in fresh}
+
+
+@pytest.mark.parametrize("form", ["radii", "radii_tiled", "radii_rekeyed"])
+def test_groups_by_radii_equal_brute_force(spark, scratch, form):
+    rows = planted(200, 81, 30)
+    found = cluster(images(spark, rows), 80, scratch, RADII[form])
+    assert {r.image_id: r.group_id for r in found.collect()} == groups(rows, 12)
+
+
+def test_every_close_pair_is_reported_by_one_block():
+    rng = random.Random(5)
+    scheme = RadiusScheme(contiguous_blocks(7), (2, 1, 3, -1, 0, 1, 1))
+    keys = set(scheme.entries)
+    assert sum(r + 1 for r in scheme.radii) == 14
+    assert len(keys) == sum(ball(b.bit_count(), r) for b, r in zip(scheme.blocks, scheme.radii))
+    for _ in range(300):
+        difference = sum({1 << rng.randrange(64) for _ in range(13)})
+        met = [no for no, block, flip in keys if difference & block == flip]
+        owners = [no for no in met if scheme.owned(no, np.array([difference], dtype=np.uint64))[0]]
+        assert len(owners) == 1
+
+
+def test_radii_avoid_crowded_blocks():
+    rng = np.random.default_rng(3)
+    even = rng.integers(0, 50, 256).astype(float)
+    fresh = np.floor(even / 3)
+    met = comparisons_by_radius(even, fresh)
+    for radius in range(4):
+        near = [[bin(a ^ b).count("1") <= radius for a in range(256)] for b in range(256)]
+        assert met[radius] == even @ (np.array(near) @ fresh)
+    crowded = np.zeros(256)
+    crowded[7] = even.sum()
+    blocks = [even * 1000] * 4 + [crowded * 1000] + [even * 1000] * 3
+    radii, _ = allot_radii(12, blocks, blocks)
+    assert sum(r + 1 for r in radii) == 13
+    assert radii[4] == -1
+    assert block_count(12, 10**9, 10**9)[0] < block_count(12, 10**5, 10**5)[0]
+
+
 def test_tiny_limits_reach_the_tiles(spark, scratch, monkeypatch):
     calls = []
     tiles = similarity._tiles
@@ -271,12 +342,16 @@ def test_registered_forms_are_entered(spark, monkeypatch):
 
     spy("_search_keyed", lambda args: f"{len(args[1])}")
     spy("_tiles", lambda args: f"{len(args[2])}")
+    spy("choose_radii")
     want = {
         "similar_pairs_90_shuffled": {"_search_keyed1"},
         "similar_pairs_90_tiled": {"_search_keyed1", "_tiles1"},
         "similar_pairs_90_listed": {"_search_keyed1", "_tiles1"},
         "similar_pairs_90_rekeyed": {"_search_keyed1", "_search_keyed2", "_tiles2"},
         "components_80_tiled": {"_search_keyed1", "_tiles1"},
+        "similar_pairs_80_radii": {"choose_radii", "_search_keyed1"},
+        "similar_pairs_80_radii_tiled": {"choose_radii", "_tiles1"},
+        "components_80_radii": {"choose_radii", "_tiles1"},
     }
     for name, forms in want.items():
         entered.clear()
