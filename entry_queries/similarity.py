@@ -346,8 +346,8 @@ for _form, _limits in FORMS.items():
     QUERIES[f"similar_pairs_90_{_form}"] = (similar_pairs(90, _limits), _pairs_sql(max_distance(90)))
 # Blocks with radii chosen from their counted values, row by row and in tiles.
 RADII_FORMS = {
-    "radii": similarity.JoinLimits(broadcast_keys=0, radii_share=float("inf")),
-    "radii_tiled": similarity.JoinLimits(broadcast_keys=0, bucket_rows=64, tile_rows=64, radii_share=float("inf")),
+    "radii": similarity.JoinLimits(broadcast_keys=0, radii_blocks=8),
+    "radii_tiled": similarity.JoinLimits(broadcast_keys=0, bucket_rows=64, tile_rows=64, radii_blocks=6),
 }
 for _form, _limits in RADII_FORMS.items():
     QUERIES[f"similar_pairs_80_{_form}"] = (similar_pairs(80, _limits), _pairs_sql(max_distance(80)))

@@ -61,9 +61,9 @@ class JoinLimits:
     # Tables up to this size are spread anew when they sit in few partitions.
     respread_rows: int = 5_000_000
     # Distance from which blocks with radii are weighed against equal blocks,
-    # and the share of the cost of equal blocks below which they are taken.
+    # and their number where it is not to be chosen by cost.
     radii_from: int = 8
-    radii_share: float = 1.0
+    radii_blocks: int = 0
 
 
 DEFAULT_LIMITS = JoinLimits()
@@ -302,8 +302,9 @@ def _search(rows: DataFrame, distance: int, scratch: Scratch, forest: bool, limi
         return _join_keyed(probes, with_keys(side, scheme), [scheme], distance)
     if distance >= limits.radii_from:
         count, cost = block_count(distance, n_fresh, n_rows)
-        if cost < limits.radii_share * scheme.cost(n_fresh, n_rows):
-            scheme = choose_radii(rows, distance, count)
+        # One block more than wrong bits gives the equal blocks above.
+        if limits.radii_blocks or (count <= distance and cost < scheme.cost(n_fresh, n_rows)):
+            scheme = choose_radii(rows, distance, limits.radii_blocks or count)
     n_keys = n_rows * n_masks
     if isinstance(scheme, RadiusScheme):
         n_keys = n_fresh * len(scheme.entries) + (n_rows - n_fresh) * len(scheme.blocks)

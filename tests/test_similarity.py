@@ -41,11 +41,11 @@ REKEYED = JoinLimits(broadcast_keys=0, bucket_rows=8, rekey_rows=8, tile_rows=16
 TILED = JoinLimits(broadcast_keys=0, bucket_rows=1, tile_rows=16, task_tile_comparisons=500)
 LISTED = JoinLimits(broadcast_keys=0, bucket_rows=4, rekey_rows=16, tile_rows=16, large_buckets=0)
 RADII = {
-    "radii": JoinLimits(broadcast_keys=0, radii_share=float("inf")),
-    "radii_tiled": JoinLimits(broadcast_keys=0, bucket_rows=1, tile_rows=16, radii_share=float("inf")),
-    "radii_rekeyed": JoinLimits(broadcast_keys=0, bucket_rows=16, rekey_rows=40, tile_rows=16, radii_share=float("inf")),
+    "radii": JoinLimits(broadcast_keys=0, radii_blocks=5),
+    "radii_tiled": JoinLimits(broadcast_keys=0, bucket_rows=1, tile_rows=16, radii_blocks=8),
+    "radii_rekeyed": JoinLimits(broadcast_keys=0, bucket_rows=16, rekey_rows=40, tile_rows=16, radii_blocks=7),
     "radii_listed": JoinLimits(broadcast_keys=0, bucket_rows=4, rekey_rows=64, tile_rows=16, large_buckets=0,
-                               radii_share=float("inf")),
+                               radii_blocks=10),
 }
 FORMS = {"broadcast": BROADCAST, "shuffled": SHUFFLED, "rekeyed": REKEYED, "tiled": TILED, "listed": LISTED}
 
@@ -202,6 +202,8 @@ def test_radii_avoid_crowded_blocks():
     radii, _ = allot_radii(12, blocks, blocks)
     assert sum(r + 1 for r in radii) == 13
     assert radii[4] == -1
+    # Small tables keep equal blocks: 13 of them, all without wrong bits.
+    assert block_count(12, 10**5, 10**5)[0] == 13
     assert block_count(12, 10**9, 10**9)[0] < block_count(12, 10**5, 10**5)[0]
 
 
