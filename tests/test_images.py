@@ -5,14 +5,17 @@ import struct
 from concurrent.futures import ThreadPoolExecutor
 from threading import Barrier
 
+import duckdb
 import numpy as np
 import pictures
+import pyarrow as pa
 import pytest
 from pictures import png, read_png, smooth
 from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from entry_queries.images import _IMAGES_SQL
 from kindred.functions import image_hash
 from kindred.runs import KEPT_VERSIONS, group_folder, sync
 from kindred.sources import images
@@ -64,6 +67,21 @@ def test_hash_definition():
         v for v in (hashes.view(np.uint64) & np.uint64(2**63 - 1)).tolist() if v.bit_count() >= 32]
 
 
+def test_hashes_are_those_of_doubles_also_where_values_tie():
+    """Pixels of two levels, whose coefficients are often equal or nearly so, against the SQL of ``image_phash``."""
+    levels = np.random.default_rng(5).integers(0, 2, (400, 64)) * 255
+    vectors = pa.array([[(x - 128) / 300 for x in row] for row in levels.tolist()], pa.list_(pa.float32()))
+    with duckdb.connect() as duck:
+        duck.execute("set threads = 1")
+        duck.register("embeddings", pa.table({"vec_id": range(400), "label": [0] * 400, "embedding": vectors}))
+        want = dict(duck.execute(f"with {_IMAGES_SQL} select img_id // 4, h from hm where img_id % 4 = 0").fetchall())
+    blocks = np.kron(levels.reshape(-1, 8, 8), np.ones((4, 4))).astype(np.float32)
+    assert image_hash.hash_blocks(blocks).tolist() == [want[i] for i in range(400)]
+    # Neither the stack nor its size has a part in a hash.
+    mixed = np.concatenate([blocks[:3], np.random.default_rng(6).integers(0, 256, (2, 32, 32)).astype(np.float32)])
+    assert image_hash.hash_blocks(mixed).tolist() == [int(image_hash.hash_blocks(b[None])[0]) for b in mixed]
+
+
 def test_resize_keeps_flat_pictures():
     for shape in ((32, 32), (100, 7), (5, 300)):
         assert (image_hash.shrink(np.full(shape, 93, np.uint8)) == 93).all()
