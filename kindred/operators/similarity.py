@@ -52,7 +52,7 @@ class JoinLimits:
     rekey_rows: int = 200_000
     # Length of the list of larger buckets that may be broadcast.
     large_buckets: int = 1_000_000
-    # Rows on each side of one tile.
+    # Rows on each side of one tile; more where a bucket is cut into GRID already.
     tile_rows: int = 8192
     # Comparisons (row by row, in tiles) and key rows that one task should get.
     task_comparisons: int = 5_000_000
@@ -71,8 +71,19 @@ DEFAULT_LIMITS = JoinLimits()
 
 # What a row does in a tile.
 BOTH, PROBE, OTHER = 0, 1, 2
+# Columns of a row in a tile; the others are its place.
+ROW_COLUMNS = ("id", "phash", "fresh", "role")
 # Comparisons done by one NumPy call; small enough for the caches.
 BLOCK_COMPARISONS = 131_072
+# Comparisons of a tile up to which many tiles share one NumPy call.
+SMALL_TILE = 4096
+# Lines and columns a bucket is cut into before its tiles grow, and their largest side:
+# cut finer, rows would be sent in proportion to the square of the bucket.
+GRID = 4
+LARGEST_TILE = 8192
+# Rows and comparisons that are handed to Python at a time, in whole tiles.
+BUNDLE_ROWS = 2 * LARGEST_TILE
+BUNDLE_COMPARISONS = LARGEST_TILE * LARGEST_TILE
 
 
 def distinct_hashes(images: DataFrame) -> DataFrame:
@@ -149,46 +160,67 @@ def _close(left: np.ndarray, right: np.ndarray, distance: int) -> Iterator[tuple
             yield start + at // width, at % width, apart.reshape(-1)[at]
 
 
+def _close_in_tiles(bits: np.ndarray, left: np.ndarray, right: np.ndarray, tile: np.ndarray,
+                    distance: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Rows, and distances, of the close pairs of each tile.
+
+    ``left`` and ``right`` are rows in the order of their ``tile``.  Small tiles
+    are compared many at a time, each larger one by itself.
+    """
+    n_tiles = int(tile[-1]) + 1
+    n_left, n_right = (np.bincount(tile[side], minlength=n_tiles) for side in (left, right))
+    left_end, right_end = np.cumsum(n_left), np.cumsum(n_right)
+    large = n_left * n_right > SMALL_TILE
+    for t in np.flatnonzero(large):
+        rows, others = left[left_end[t] - n_left[t] : left_end[t]], right[right_end[t] - n_right[t] : right_end[t]]
+        for i, j, apart in _close(bits[rows], bits[others], distance):
+            yield rows[i], others[j], apart
+    rows = left[~large[tile[left]]]
+    width, first = n_right[tile[rows]], (right_end - n_right)[tile[rows]]
+    done = np.concatenate([[0], np.cumsum(width)])
+    start = 0
+    while start < len(rows):
+        # One row has SMALL_TILE others at most, so there is always progress.
+        end = int(np.searchsorted(done, done[start] + SMALL_TILE * 64, side="right")) - 1
+        wide = width[start:end]
+        at = np.arange(done[end] - done[start]) - np.repeat(done[start:end] - done[start], wide)
+        i, j = np.repeat(rows[start:end], wide), right[np.repeat(first[start:end], wide) + at]
+        apart = np.bitwise_count(bits[i] ^ bits[j])
+        near = np.flatnonzero(apart <= distance)
+        yield i[near], j[near], apart[near]
+        start = end
+
+
 def _tile_function(schemes: list[KeyScheme], distance: int, forest: bool) -> Callable:
-    """Function that compares the two sides of one tile.
+    """Function that compares the two sides of every tile it is given.
 
     With ``forest`` it returns links that connect the same images as all
-    similar pairs of the tile, at most one per row; otherwise the pairs that
-    the keys of the tile own.
+    similar pairs of these tiles, at most one per row; otherwise the pairs that
+    the keys of their tiles own.
     """
     levels = range(1, len(schemes) + 1)
 
-    def bits(rows: pd.DataFrame) -> np.ndarray:
-        return rows["phash"].to_numpy().view(np.uint64)
-
-    def owned(numbers: list[int], difference: np.ndarray) -> np.ndarray:
-        keep = np.ones(len(difference), dtype=bool)
-        for no, scheme in zip(numbers, schemes):
-            keep &= scheme.owned(no, difference)
-        return keep
-
-    def pairs(numbers: list[int], left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left_bits, right_bits = bits(left), bits(right)
-        left_id, right_id = left["id"].to_numpy(), right["id"].to_numpy()
-        left_hash, right_hash = left["phash"].to_numpy(), right["phash"].to_numpy()
-        right_old = ~right["fresh"].to_numpy(dtype=bool)
+    def pairs(rows: dict[str, np.ndarray], close: Iterator) -> pd.DataFrame:
+        bits, ids, hashes, fresh = rows["phash"].view(np.uint64), rows["id"], rows["phash"], rows["fresh"]
         found = [np.empty((0, 3), dtype=np.int64)]
-        for i, j, apart in _close(left_bits, right_bits, distance):
-            mine = np.flatnonzero((left_hash[i] < right_hash[j]) | right_old[j])
+        for i, j, apart in close:
+            mine = np.flatnonzero((hashes[i] < hashes[j]) | ~fresh[j])
             if len(mine):
                 i, j, apart = i[mine], j[mine], apart[mine]
-                mine = owned(numbers, left_bits[i] ^ right_bits[j])
-                x, y = left_id[i[mine]], right_id[j[mine]]
-                found.append(np.column_stack([np.minimum(x, y), np.maximum(x, y), apart[mine].astype(np.int64)]))
+                keep = np.ones(len(i), dtype=bool)
+                for level, scheme in zip(levels, schemes):
+                    keep &= scheme.owned(rows[f"no{level}"][i], bits[i] ^ bits[j])
+                x, y = ids[i[keep]], ids[j[keep]]
+                found.append(np.column_stack([np.minimum(x, y), np.maximum(x, y), apart[keep].astype(np.int64)]))
         return pd.DataFrame(np.concatenate(found), columns=["a", "b", "distance"])
 
-    def links(numbers: list[int], left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        nodes = pd.concat([left, right]).drop_duplicates("phash").sort_values(["id", "phash"])
-        ids, place = nodes["id"].to_numpy(), pd.Series(np.arange(len(nodes)), index=nodes["phash"])
-        left_at, right_at = place[left["phash"]].to_numpy(), place[right["phash"]].to_numpy()
-        label = np.arange(len(nodes))
-        for i, j, _ in _close(bits(left), bits(right), distance):
-            ends = np.column_stack([label[left_at[i]], label[right_at[j]]])
+    def links(rows: dict[str, np.ndarray], close: Iterator) -> pd.DataFrame:
+        hashes, first, node = np.unique(rows["phash"], return_index=True, return_inverse=True)
+        order = np.lexsort((hashes, rows["id"][first]))
+        ids, at = rows["id"][first][order], np.argsort(order)[node]
+        label = np.arange(len(ids))
+        for i, j, _ in close:
+            ends = np.column_stack([label[at[i]], label[at[j]]])
             ends = ends[ends[:, 0] != ends[:, 1]]
             if not len(ends):
                 continue
@@ -203,10 +235,18 @@ def _tile_function(schemes: list[KeyScheme], distance: int, forest: bool) -> Cal
         moved = np.flatnonzero(ids[label] != ids)
         return pd.DataFrame({"a": ids[label[moved]], "b": ids[moved], "distance": np.int64(0)})
 
-    def compare(tile: pd.DataFrame) -> pd.DataFrame:
-        role, fresh = tile["role"].to_numpy(), tile["fresh"].to_numpy(dtype=bool)
-        numbers = [int(tile[f"no{level}"].iloc[0]) for level in levels]
-        return (links if forest else pairs)(numbers, tile[fresh & (role != OTHER)], tile[role != PROBE])
+    def compare(given: pd.DataFrame) -> pd.DataFrame:
+        place = [given[c].to_numpy() for c in given.columns if c not in ROW_COLUMNS]
+        order = np.lexsort(place)
+        new = np.zeros(len(given), dtype=bool)
+        for column in place:
+            new[1:] |= np.diff(column[order]) != 0
+        rows = {c: given[c].to_numpy()[order] for c in given.columns}
+        rows["fresh"] = rows["fresh"].astype(bool)
+        left = np.flatnonzero(rows["fresh"] & (rows["role"] != OTHER))
+        right = np.flatnonzero(rows["role"] != PROBE)
+        close = _close_in_tiles(rows["phash"].view(np.uint64), left, right, np.cumsum(new), distance)
+        return (links if forest else pairs)(rows, close)
 
     return compare
 
@@ -221,12 +261,15 @@ def _tiles(rows: DataFrame, large: DataFrame, schemes: list[KeyScheme], distance
 
     A bucket that fits one tile is sent once.  In a larger one every probe
     meets every column of the grid, and every row to be found every line.
+    Python gets whole tiles in bundles, since most of them are small.
     """
     keys = _key_columns(len(schemes))
+    largest = max(limits.tile_rows, LARGEST_TILE)
+    side = f"least({largest}, greatest({limits.tile_rows}, ceil({{0}} / {GRID})))"
     grid = large.select(
         *keys, "n_rows", "n_fresh", "n_keys",
-        F.expr(f"ceil(n_fresh / {limits.tile_rows})").alias("_across"),
-        F.expr(f"ceil(n_rows / {limits.tile_rows})").alias("_down"),
+        F.expr(f"ceil(n_fresh / {side.format('n_fresh')})").alias("_across"),
+        F.expr(f"ceil(n_rows / {side.format('n_rows')})").alias("_down"),
     )
     sent, comparisons = grid.agg(
         F.sum(F.expr("if(_down = 1 and _across = 1, n_keys, n_rows * _across + n_fresh * _down)")),
@@ -246,9 +289,11 @@ def _tiles(rows: DataFrame, large: DataFrame, schemes: list[KeyScheme], distance
         .select(*keys, "id", "phash", "fresh", "c.role", "c._i", "c._j")
     )
     place = [*keys, "_i", "_j"]
+    bundles = int(max(tasks, sent // BUNDLE_ROWS, comparisons // BUNDLE_COMPARISONS)) + 1
+    placed = placed.withColumn("_bundle", F.expr(f"pmod(xxhash64({', '.join(place)}), {bundles})"))
     return (
-        _spread(placed, place, tasks)
-        .groupBy(*place)
+        _spread(placed, ["_bundle"], tasks)
+        .groupBy("_bundle")
         .applyInPandas(_tile_function(schemes, distance, forest), "a bigint, b bigint, distance bigint")
     )
 

@@ -89,12 +89,13 @@ class KeyScheme:
         reach, mask = long_array(self.reach_masks), long_array(self.key_masks)
         return f"({agreeing} & {reach}[{no}]) = {mask}[{no}]"
 
-    def owned(self, no: int, difference: np.ndarray) -> np.ndarray:
-        """Whether key ``no`` reports pairs with these differing bits."""
+    def owned(self, no: int | np.ndarray, difference: np.ndarray) -> np.ndarray:
+        """Whether key ``no`` (of all pairs, or one each) reports pairs with these differing bits."""
+        reach, mask = (np.array(masks, dtype=np.uint64)[no] for masks in (self.reach_masks, self.key_masks))
         block = np.array(self.blocks, dtype=np.uint64)
         equal = np.where(difference[:, None] & block[None, :], np.uint64(0), block[None, :])
         agreeing = np.bitwise_or.reduce(equal, axis=1)
-        return (agreeing & np.uint64(self.reach_masks[no])) == np.uint64(self.key_masks[no])
+        return (agreeing & reach) == mask
 
     def hit_rate(self) -> float:
         """Expected key matches of one pair of uniform hashes."""
@@ -170,12 +171,12 @@ class RadiusScheme:
         )
         return f"{no} = (case {first} end)"
 
-    def owned(self, no: int, difference: np.ndarray) -> np.ndarray:
-        """Whether block ``no`` reports pairs with these differing bits."""
+    def owned(self, no: int | np.ndarray, difference: np.ndarray) -> np.ndarray:
+        """Whether block ``no`` (of all pairs, or one each) reports pairs with these differing bits."""
         keep = np.ones(len(difference), dtype=bool)
-        for block, radius in zip(self.blocks[:no], self.radii[:no]):
+        for at, (block, radius) in enumerate(zip(self.blocks, self.radii)):
             if radius >= 0:
-                keep &= np.bitwise_count(difference & np.uint64(block)) > radius
+                keep &= (np.bitwise_count(difference & np.uint64(block)) > radius) | (at >= np.asarray(no))
         return keep
 
 

@@ -247,6 +247,25 @@ def test_links_of_a_dense_bucket_stay_few(spark, scratch):
     assert connected_components(links, scratch).where("root = 1").count() == 255
 
 
+def test_rows_sent_to_tiles_grow_with_the_bucket(spark, scratch, monkeypatch):
+    """One bucket of twice the rows sends twice the rows, in few calls of Python."""
+    sent, spread = [], similarity._spread
+
+    def spy(keyed, keys, tasks):
+        if "role" in keyed.columns:
+            sent.append((keyed.count(), keyed.select(*keys).distinct().count()))
+        return spread(keyed, keys, tasks)
+
+    monkeypatch.setattr(similarity, "_spread", spy)
+    limits = JoinLimits(broadcast_keys=0, bucket_rows=16, tile_rows=16)
+    for n in (256, 512):
+        rows = images(spark, {i: i for i in range(n)}).select(F.col("image_id").alias("id"), "phash", F.lit(True).alias("fresh"))
+        found = similar_pairs(scratch.keep(rows, "rows"), 1, scratch, limits)
+        assert {tuple(r) for r in found.collect()} == pairs({i: i for i in range(n)}, 1)
+    (rows, calls), (more, more_calls) = sent
+    assert more == 2 * rows and calls <= 2 and more_calls <= 2
+
+
 def test_chain_is_one_group(spark, scratch):
     found = cluster(images(spark, {1: 0, 2: 7, 3: 63}), 95, scratch)
     assert {r.group_id for r in found.collect()} == {1}
