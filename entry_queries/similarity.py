@@ -45,16 +45,20 @@ def threshold_distance(spark, sf_dir):
 
 
 def probe_neighbours(spark, sf_dir):
-    """Images whose first 16-bit part is within two bits, by mask lookup."""
+    """Images whose first 16-bit part is within two bits, by mask lookup.
+
+    Parts and counts have at most 65,536 rows, so these are broadcast; Spark would
+    choose the probes, which it takes for as few as the parts they are made of.
+    """
     h = hashed_variants(spark, sf_dir).withColumn("part", block_values(F.col("phash"), 4)[0])
     kept = Scratch(spark).keep(h.groupBy("part").agg(F.count("*").alias("n")), "parts")
     counts = (
         probe_values(kept.select("part"), "part", HASH_BITS // 4, PROBE_RADIUS)
-        .join(kept.select(F.col("part").alias("probe"), "n"), "probe")
+        .join(F.broadcast(kept.select(F.col("part").alias("probe"), "n")), "probe")
         .groupBy("part")
         .agg(F.sum("n").alias("n_neighbours"))
     )
-    return h.join(counts, "part").select(F.col("image_id").alias("img_id"), "part", "n_neighbours")
+    return h.join(F.broadcast(counts), "part").select(F.col("image_id").alias("img_id"), "part", "n_neighbours")
 
 
 def distinct_hashes(spark, sf_dir):

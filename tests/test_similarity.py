@@ -349,6 +349,14 @@ def test_distinct_hashes(spark):
     assert {tuple(r) for r in found.collect()} == {(9, 1, 2), (4, 2, 1)}
 
 
+def test_probes_are_not_broadcast(spark):
+    """137 probes for each of up to 65,536 parts never pass the driver, only parts and counts do."""
+    found = entry_queries.similarity.QUERIES["probe_neighbours"][0](spark, "/root/testdata/sf0.01")
+    lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    joins = [line for line in lines if "BroadcastHashJoin" in line]
+    assert len(joins) == 2 and all("BuildRight" in line for line in joins)
+
+
 def test_registered_forms_are_entered(spark, monkeypatch):
     entered = set()
 
