@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 from importlib.util import find_spec
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,10 @@ IMAGES_PER_BATCH = 32
 # Paths that one read of the image source is given on average; any number of
 # files is read in shards of this size.
 SHARD_PATHS = 10_000
+# Shards that are looked up and read at a time.
+SHARDS_AT_ONCE = 4
+# Bytes that opening one image counts for when files are dealt to tasks.
+OPEN_COST = 128 << 10
 # Spark's file sources pass over such names.
 HIDDEN_NAME = r"(^|/)(\.[^/]*|_[^/=]*)$"
 HIDDEN_ERROR = "names that start with . or _ need Pillow or another decoder"
@@ -176,12 +181,17 @@ def few_listing_tasks(spark: SparkSession):
     return _setting(spark, name, spark.sparkContext.defaultParallelism)
 
 
+def few_file_tasks(spark: SparkSession):
+    """Tasks of many small files; by default 32 files make a task."""
+    return _setting(spark, "spark.sql.files.openCostInBytes", OPEN_COST)
+
+
 def hash_files_jvm(spark: SparkSession, files: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Like :func:`hash_files`, decoded by the ``image`` source of Spark.
 
     For clusters without Pillow.  Files are read by name, in shards by a hash
-    of the path, so the driver holds the names of one shard however many files
-    there are.  Pixels are hashed where they are decoded; only the hashes are
+    of the path, so the driver holds the names of ``SHARDS_AT_ONCE`` shards however
+    many files there are; while it looks up the files of one, others are decoded.  Pixels are hashed where they are decoded; only the hashes are
     joined with the listing.  The source cannot read names that start with
     ``.`` or ``_``: they get an error that says so.
     """
@@ -198,17 +208,22 @@ def hash_files_jvm(spark: SparkSession, files: DataFrame, scratch: Scratch | Non
     )
     by_shard = spark.read.schema("plain string, shard int").parquet(named)
     done = scratch.folder("hashes")
-    for shard in range(shards):
+
+    def hash_shard(shard: int) -> bool:
         paths = [row.plain for row in by_shard.where(F.col("shard") == shard).select("plain").collect()]
         if paths:
             literal = [re.sub(r"([\[\]{}*?\\])", r"\\\1", path) for path in paths]
-            with small_batches(spark), few_listing_tasks(spark):
-                decoded = decoded_images(spark, literal)
-                decoded = decoded.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
-                decoded.mapInPandas(_hash_decoded, HASHED_SCHEMA).write.mode("append").parquet(done)
+            decoded = decoded_images(spark, literal)
+            decoded = decoded.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+            # A folder each: of two jobs that append to one, the first to end removes the files of the other.
+            decoded.mapInPandas(_hash_decoded, HASHED_SCHEMA).write.parquet(f"{done}/part={shard}")
+        return bool(paths)
+
+    with small_batches(spark), few_listing_tasks(spark), few_file_tasks(spark), ThreadPool(SHARDS_AT_ONCE) as pool:
+        found = pool.map(hash_shard, range(shards), chunksize=1)
     hashed = spark.createDataFrame([], HASHED_SCHEMA)
-    if not by_shard.isEmpty():
-        hashed = spark.read.schema(HASHED_SCHEMA).parquet(done)
+    if any(found):
+        hashed = spark.read.schema(HASHED_SCHEMA).parquet(done).drop("part")
     missing = F.when(F.col("path").rlike(HIDDEN_NAME), HIDDEN_ERROR).otherwise(UNKNOWN_ERROR)
     return listed.join(hashed.withColumnRenamed("path", "plain"), "plain", "left").select(
         "path", "size", "modified_ns", "phash",

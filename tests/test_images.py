@@ -3,6 +3,7 @@ import json
 import os
 import struct
 from concurrent.futures import ThreadPoolExecutor
+from itertools import count
 from threading import Barrier
 
 import duckdb
@@ -169,6 +170,26 @@ def test_shards_and_hidden_names(spark, scratch, folder, monkeypatch):
     assert hash_files_jvm(spark, files.limit(0), scratch).count() == 0
 
 
+def test_shards_are_read_side_by_side(spark, scratch, tmp_path, monkeypatch):
+    for i in range(12):
+        (tmp_path / f"{i}.png").write_bytes(png(smooth(i)))
+    listed = list_images(spark, str(tmp_path), scratch)
+    want = {r.path: r.phash for r in hash_files_jvm(spark, listed, scratch).collect()}
+    monkeypatch.setattr(images, "SHARD_PATHS", 3)
+    met, calls, read = Barrier(2), count(), images.decoded_images
+
+    def wait(*given):
+        if next(calls) < 2:
+            met.wait(60)
+        return read(*given)
+
+    # The first shard goes on when a second has come as far.
+    monkeypatch.setattr(images, "decoded_images", wait)
+    monkeypatch.setattr(images, "SHARDS_AT_ONCE", 4)
+    found = hash_files_jvm(spark, listed, scratch)
+    assert {r.path: r.phash for r in found.collect()} == want and len(want) == 12
+
+
 def test_a_missing_module_fails_the_run(spark, scratch, folder, tmp_path):
     def broken(content):
         raise ImportError("no decoder here")
