@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager, suppress
+from contextlib import suppress
 from importlib.util import find_spec
 from multiprocessing.pool import ThreadPool
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions import image_hash
 from kindred.operators.spreading import even_partitions
-from kindred.sources.listing import LISTING_SCHEMA, local_path, remote_path
+from kindred.sources.listing import LISTING_SCHEMA, few_file_tasks, local_path, remote_path, setting
 from kindred.sources.scratch import Scratch
 
 # Fixed value: text for a failure that gives no reason.
@@ -33,8 +33,6 @@ IMAGES_PER_BATCH = 32
 SHARD_PATHS = 10_000
 # Shards that are looked up and read at a time.
 SHARDS_AT_ONCE = 4
-# Bytes that opening one image counts for when files are dealt to tasks.
-OPEN_COST = 128 << 10
 # Spark's file sources pass over such names.
 HIDDEN_NAME = r"(^|/)(\.[^/]*|_[^/=]*)$"
 HIDDEN_ERROR = "names that start with . or _ need Pillow or another decoder"
@@ -160,30 +158,15 @@ def register_phash(spark: SparkSession, name: str = "phash", decode: Decoder = i
     spark.udf.register(name, phash)
 
 
-@contextmanager
-def _setting(spark: SparkSession, name: str, value: int):
-    before = spark.conf.get(name)
-    spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def small_batches(spark: SparkSession):
     """Few decoded images per Arrow batch while a job is run."""
-    return _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", IMAGES_PER_BATCH)
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", IMAGES_PER_BATCH)
 
 
 def few_listing_tasks(spark: SparkSession):
     """One listing task per core, not one per path, for lists of paths."""
     name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
-    return _setting(spark, name, spark.sparkContext.defaultParallelism)
-
-
-def few_file_tasks(spark: SparkSession):
-    """Tasks of many small files; by default 32 files make a task."""
-    return _setting(spark, "spark.sql.files.openCostInBytes", OPEN_COST)
+    return setting(spark, name, spark.sparkContext.defaultParallelism)
 
 
 def hash_files_jvm(spark: SparkSession, files: DataFrame, scratch: Scratch | None = None) -> DataFrame:

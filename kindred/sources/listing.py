@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,8 @@ IMAGE_EXTENSIONS = (
 SUFFIX_PATTERN = r"[^/](\.[^./]+)$"
 LISTING_SCHEMA = "path string, size bigint, modified_ns bigint"
 LISTING_BATCH = 10_000
+# Bytes that opening one image counts for when files are dealt to tasks.
+OPEN_COST = 128 << 10
 
 
 def extension(path: Column) -> Column:
@@ -145,21 +148,40 @@ def list_images(spark: SparkSession, root: str, scratch: Scratch | None = None)
     return files
 
 
-def list_images_hadoop(spark: SparkSession, root: str) -> DataFrame:
+@contextmanager
+def setting(spark: SparkSession, name: str, value: int):
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def few_file_tasks(spark: SparkSession):
+    """Tasks of many small files while a job is run; by default 32 files make a task."""
+    return setting(spark, "spark.sql.files.openCostInBytes", OPEN_COST)
+
+
+def list_images_hadoop(spark: SparkSession, root: str, scratch: Scratch | None = None) -> DataFrame:
     """The same columns from Spark's own file index, for any Hadoop file system.
 
     Content is not read.  The index lives on the driver, skips names that
     start with ``.`` or ``_``, enters linked folders and has milliseconds
     only, so prefer :func:`list_images` where executors can reach the files.
+    Its folders are listed by tasks, one each, and the rows are written once.
     """
-    found = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .select("path", "length", "modificationTime")
-    )
-    return found.where(is_image(F.col("path"))).select(
+    with setting(spark, "spark.sql.sources.parallelPartitionDiscovery.threshold", 0):
+        found = (
+            spark.read.format("binaryFile")
+            .option("recursiveFileLookup", "true")
+            .load(root)
+            .select("path", "length", "modificationTime")
+        )
+    named = found.where(is_image(F.col("path"))).select(
         "path",
         F.col("length").alias("size"),
         (F.unix_micros("modificationTime") * 1000).alias("modified_ns"),
     )
+    with few_file_tasks(spark):
+        return (scratch or Scratch(spark)).keep(named, "listing")

@@ -129,6 +129,16 @@ def test_listing(spark, scratch, folder):
     assert "content" not in plain._jdf.queryExecution().executedPlan().toString()
 
 
+def test_hadoop_listing_deals_many_files_to_a_task(spark, scratch, tmp_path):
+    for i in range(600):
+        (tmp_path / f"{i}.png").write_bytes(b"x")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    found = list_images_hadoop(spark, str(tmp_path), scratch)
+    assert found.count() == 600
+    assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism + 1  # 19 tasks of 32 files before
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+
+
 @pytest.mark.parametrize("decode", [read_png, None])
 def test_fingerprints(spark, scratch, folder, decode):
     files = list_images(spark, str(folder), scratch)
