@@ -18,9 +18,13 @@ inside a window that starts anywhere else too is removed.
 4.  Candidate regions are sharded by anchor.  A shard of bounded size becomes
     an FM-index; its passages are streamed through it by backward search, and
     windows with two or more occurrences are reported.  Regions of an anchor
-    with very many different regions are taken apart into single windows, which
-    are counted by their words (partial counts first); those that occur twice or
-    more meet their rows by a join that keeps hot windows where they are.
+    with very many different regions (hot) are cut first.  Sorted by the words
+    after the anchor, and by those before it, neighbours show how many of them a
+    region shares with any other; windows that reach further occur once.  Of
+    what is left, equal parts occur twice as a whole; different ones are taken
+    apart into single windows, which are counted by their words (partial counts
+    first).  What occurs twice or more meets its rows by a join that keeps hot
+    parts and windows where they are.
 5.  Unfinished documents meet the reported windows.
 
 Hashes only choose what is compared together; step 2 takes regions as equal by
@@ -85,6 +89,18 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
+def _content(hashes: np.ndarray):
+    """Function that gives the hashes of the parts ``a`` to ``b`` of a run of word hashes."""
+    up, down = _powers(len(hashes))
+    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * up[:-1])))
+    return lambda a, b: (prefix[b] - prefix[a]) * down[a]
+
+
+def _shingles(content, n: int) -> np.ndarray:
+    """Hashes of all shingles of a run of ``n`` words."""
+    return _mixed(content(np.arange(n - ANCHOR + 1), np.arange(ANCHOR, n + 1)))
+
+
 def regions_of(sizes: np.ndarray, hashes: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     """Regions of documents given as one run of word hashes.
 
@@ -95,13 +111,8 @@ def regions_of(sizes: np.ndarray, hashes: np.ndarray, window: int) -> tuple[np.n
     nothing = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     if n < window:
         return nothing
-    up, down = _powers(n)
-    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * up[:-1])))
-
-    def content(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (prefix[b] - prefix[a]) * down[a]
-
-    grams = _mixed(content(np.arange(n - ANCHOR + 1), np.arange(ANCHOR, n + 1)))
+    content = _content(hashes)
+    grams = _shingles(content, n)
     least = _running(grams, starts_per_window, np.minimum)  # per window start
     ends = np.cumsum(sizes)
     left_in_doc = np.repeat(ends, sizes) - np.arange(n)
@@ -188,6 +199,24 @@ def _find_regions(window: int):
     return run
 
 
+def _beside_neighbours(batches: Iterable[pa.RecordBatch], names: list[str], judged) -> Iterator[pa.RecordBatch]:
+    """``judged`` of consecutive rows, with a row of context at each end that has one."""
+    held, before = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch]).select(names)
+        if held is not None:
+            now = pa.concat_tables([held, now])
+        if now.num_rows < 3:
+            held = now
+            continue
+        yield from judged(now, before, True)
+        held, before = now.slice(now.num_rows - 2), True
+    if held is not None:
+        yield from judged(held, before, False)
+
+
 _STATUS = "anchor long, row_no long, a int, m short, whole boolean"
 
 
@@ -197,8 +226,6 @@ def _compare_neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Record
     A repeated region next to a different one of its anchor is a candidate too,
     once or twice, so that the others can be found in it.
     """
-    names = ["anchor", "region", "n", "row_no", "a", "m"]
-
     def judged(held: pa.Table, has_before: bool, has_after: bool) -> Iterator[pa.RecordBatch]:
         """All rows but the context row at either end."""
         anchor, region = held["anchor"].to_numpy(), held["region"].to_numpy()
@@ -217,20 +244,7 @@ def _compare_neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Record
             part = out.filter(pa.array(rows)).combine_chunks()
             yield from part.append_column("whole", pa.array(np.full(part.num_rows, flag))).to_batches()
 
-    held, before = None, False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = pa.Table.from_batches([batch]).select(names)
-        if held is not None:
-            now = pa.concat_tables([held, now])
-        if now.num_rows < 3:
-            held = now
-            continue
-        yield from judged(now, before, True)
-        held, before = now.slice(now.num_rows - 2), True
-    if held is not None:
-        yield from judged(held, before, False)
+    return _beside_neighbours(batches, ["anchor", "region", "n", "row_no", "a", "m"], judged)
 
 
 def _covered(n: int, spans: Iterable[tuple[int, int]]) -> np.ndarray:
@@ -355,6 +369,89 @@ def _search_shards(window: int, shard_tokens: int):
     return run
 
 
+_SIDES = "key long, row_no long, a int, before string, anchor string, after string"
+
+
+def _cut_at_anchor(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of a region before its anchor, nearest first, the anchor, and the words after it; each ends in a space.
+
+    The anchor is the leftmost shingle of its hash, as in :func:`regions_of`.
+    """
+    digest = xxhash.xxh64_intdigest
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = [x.split(b" ") for x in utf8(batch["words"])]
+        sizes = np.array([len(words) for words in own])
+        starts = np.cumsum(sizes) - sizes
+        hashes = np.fromiter((digest(w) for words in own for w in words), np.uint64, sizes.sum())
+        grams = _shingles(_content(hashes), len(hashes))
+        keys = batch["key"].to_numpy().view(np.uint64)
+        at = np.flatnonzero(grams == np.repeat(keys, sizes)[: len(grams)])
+        cuts = (at[np.searchsorted(at, starts)] - starts).tolist()
+        sides = [
+            (words[:k][::-1], words[k : k + ANCHOR], words[k + ANCHOR :]) for words, k in zip(own, cuts, strict=True)
+        ]
+        out = [[b"".join(w + b" " for w in part) for part in column] for column in zip(*sides, strict=True)]
+        columns = [batch[c] for c in ("key", "row_no", "a")] + [pa.array(x, pa.binary()).cast(pa.string()) for x in out]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "row_no", "a", "before", "anchor", "after"])
+
+
+def _shared_with_neighbours(side: str):
+    """Adds ``n_<side>``: how many words of that side a region shares with another of its key, from the anchor on.
+
+    The rows are sorted by key and side, so no other region shares more than
+    one of the two neighbours.  At the edge of a partition all words count as shared.
+    """
+
+    def judged(held: pa.Table, has_before: bool, has_after: bool) -> Iterator[pa.RecordBatch]:
+        keys, words = held["key"].to_numpy(), [x.split() for x in utf8(held[side])]
+        shared = np.zeros(len(words) + 1, np.int32)
+        for k in np.flatnonzero(keys[1:] == keys[:-1]).tolist():
+            shared[k + 1] = next((n for n, (x, y) in enumerate(zip(words[k], words[k + 1])) if x != y), min(len(words[k]), len(words[k + 1])))
+        if not has_before:
+            shared[0] = len(words[0])
+        if not has_after:
+            shared[-1] = len(words[-1])
+        out = held.append_column(f"n_{side}", pa.array(np.maximum(shared[:-1], shared[1:])))
+        a, b = int(has_before), len(words) - int(has_after)
+        yield from out.slice(a, b - a).to_batches()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "row_no", "a", "before", "anchor", "after"] + ["n_after"] * (side == "before")
+        return _beside_neighbours(batches, names, judged)
+
+    return run
+
+
+_PARTS = "row_no long, a int, words string"
+
+
+def _cut_to_shared(window: int):
+    """The run of windows of a region whose words on both sides of the anchor are shared; nothing where there is none."""
+    reach = window - ANCHOR
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            sides = zip(*[utf8(batch[c]) for c in ("before", "anchor", "after")], strict=True)
+            shared = zip(batch["n_before"].to_pylist(), batch["n_after"].to_pylist(), strict=True)
+            where = zip(batch["row_no"].to_pylist(), batch["a"].to_pylist(), strict=True)
+            for (before, anchor, after), (n_before, n_after), (row_no, a) in zip(sides, shared, where, strict=True):
+                before, after = before.split(), after.split()
+                # words before the anchor in the first and in the last window
+                most, least = n_before, reach - n_after
+                if least <= most:
+                    words = before[:most][::-1] + anchor.split() + after[: reach - least]
+                    out.append((row_no, a + len(before) - most, b" ".join(words).decode()))
+            if out:
+                kinds = (pa.int64(), pa.int32(), pa.string())
+                columns = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["row_no", "a", "words"])
+
+    return run
+
+
 def _meet_spans(text: str, with_text: bool):
     """The last of the pending documents."""
 
@@ -385,17 +482,37 @@ def _nullable(row: T.StructType, text: str) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, f.nullable or f.name == text, f.metadata) for f in row])
 
 
-def _windows_of_hot_anchors(candidates: DataFrame, hot: DataFrame, window: int, scratch: Scratch, hot_rows: int) -> DataFrame:
-    """Spans of the windows of hot anchors that occur twice or more, found by their words."""
+def _parts_of_hot_anchors(candidates: DataFrame, hot: DataFrame, window: int, scratch: Scratch) -> DataFrame:
+    """``row_no, a, words``: what regions of hot anchors share with others on either side of the anchor."""
+    sides = candidates.join(hot, "key", "left_semi").mapInArrow(_cut_at_anchor, _SIDES)
+    sides, schema = scratch.keep(sides, "sides"), _SIDES
+    for side in ("after", "before"):
+        by, schema = ("key", side, "row_no", "a"), f"{schema}, n_{side} int"
+        ordered = sides.repartitionByRange(*by).sortWithinPartitions(*by)
+        sides = scratch.keep(ordered.mapInArrow(_shared_with_neighbours(side), schema), side)
+    return scratch.keep(sides.mapInArrow(_cut_to_shared(window), _PARTS), "parts")
+
+
+def _repeats_of_hot_anchors(candidates: DataFrame, hot: DataFrame, window: int, scratch: Scratch, hot_rows: int) -> DataFrame:
+    """Spans of the windows of hot anchors that occur twice or more, found by their words.
+
+    Equal parts are taken apart once, so windows grow with the different parts only.
+    """
+    parts = _parts_of_hot_anchors(candidates, hot, window, scratch)
+    counted = parts.groupBy("words").agg(F.count("*").alias("n"), F.min("row_no").alias("row_no"), F.min("a").alias("a"))
+    counted = scratch.keep(counted, "counted")
+    equal = join_unique(parts, counted.where("n > 1").select("words"), "words", "inner", scratch, hot_rows)
     own = F.split("words", " ")
     single = F.transform(
         F.sequence(F.lit(1), F.size(own) - window + 1), lambda i: F.array_join(F.slice(own, i, F.lit(window)), " ")
     )
-    windows = candidates.join(hot, "key", "left_semi").select("row_no", "a", F.posexplode(single).alias("k", "words"))
-    windows = scratch.keep(windows.select("row_no", (F.col("a") + F.col("k")).alias("a"), "words"), "windows")
-    twice = windows.groupBy("words").agg(F.count("*").alias("n")).where("n > 1").select("words")
-    met = join_unique(windows, scratch.keep(twice, "twice"), "words", "inner", scratch, hot_rows)
-    return met.select("row_no", "a", F.lit(window).alias("size"))
+    windows = counted.select("n", "row_no", "a", F.posexplode(single).alias("k", "words"))
+    windows = scratch.keep(windows.select("n", "row_no", (F.col("a") + F.col("k")).alias("a"), "words"), "windows")
+    twice = windows.groupBy("words").agg(F.sum("n").alias("n")).where("n > 1").select("words")
+    met = join_unique(windows.where("n = 1"), scratch.keep(twice, "twice"), "words", "inner", scratch, hot_rows)
+    return equal.select("row_no", "a", F.size(own).alias("size")).unionByName(
+        met.select("row_no", "a", F.lit(window).alias("size"))
+    )
 
 
 def _without_repeats(
@@ -436,7 +553,7 @@ def _without_repeats(
     cold = candidates.join(hot, "key", "left_anti") if some_hot else candidates
     found = cold.repartition("key").sortWithinPartitions("key").mapInArrow(_search_shards(window, shard_tokens), _SPANS)
     if some_hot:
-        found = found.unionByName(_windows_of_hot_anchors(candidates, hot, window, scratch, hot_rows))
+        found = found.unionByName(_repeats_of_hot_anchors(candidates, hot, window, scratch, hot_rows))
     found = found.groupBy("row_no").agg(F.collect_list(F.struct("a", "size")).alias("spans"))
     result = ["row", "n_words", "n_removed", "kept_sha256"]
     last = T.StructType([met_schema[c] for c in result])

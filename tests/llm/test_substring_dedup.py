@@ -122,3 +122,49 @@ def test_columns_that_forbid_nulls(spark, scratch):
     found = repeated_substrings(given, scratch)
     assert Counter(map(tuple, found.collect())) == Counter(r[:4] for r in brute(rows, 35))
     assert drop_repeated_substrings(given, scratch).count() == 20
+
+
+def near_copies(n):
+    """A passage with one word of its own in each of ``n`` documents, at one of 40 places."""
+    rows = []
+    for k in range(n):
+        shared = prose(84, 80).split()
+        shared[2 * (k % 40)] = f"own{k}"
+        rows.append((k, f"{prose(3000 + k, 25)} {' '.join(shared)} {prose(4000 + k, 25)}", "en", "s", 0))
+    return rows
+
+
+def test_windows_of_near_copies_do_not_grow_with_their_number(spark, scratch, monkeypatch):
+    made, keep = [], scratch.keep
+
+    def kept(df, name):
+        out = keep(df, name)
+        if name == "windows":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(scratch, "keep", kept)
+    for n in (120, 480):
+        rows = near_copies(n)
+        found = repeated_substrings(frame(spark, rows), scratch, hot_regions=3)
+        assert Counter(map(tuple, found.collect())) == Counter(r[:4] for r in brute(rows, 35))
+    assert 0 < made[1] < 2 * made[0], made
+
+
+@pytest.mark.parametrize("partitions", ["1", "8", "61"])
+def test_hot_anchors_of_repeated_words(spark, scratch, partitions):
+    """Anchors that occur several times in a region, few different words, texts of one window."""
+    rng = np.random.default_rng(5)
+    texts = ["d " * n for n in (34, 35, 36, 60, 61)] + ["d e " * n for n in (17, 18, 40)]
+    for _ in range(120):
+        words = np.array(["d", "e", "ü"])[rng.choice(3, rng.integers(35, 90), p=[0.93, 0.05, 0.02])]
+        texts.append(" ".join(words))
+    rows = [(k, text, "en", "s", 0) for k, text in enumerate(texts)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        found = repeated_substrings(frame(spark, rows), scratch, hot_regions=1).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert Counter(map(tuple, found)) == Counter(r[:4] for r in brute(rows, 35))
