@@ -9,7 +9,9 @@ are compared as arrays, in tiles of bounded size that are spread over the
 cluster, which is many times faster per comparison.  Very large ones are first
 keyed a second time with other blocks.  At large distances blocks may differ
 by radii chosen from their counted values: probes then have a key for every
-value within the radius.  Every way is exact.
+value within the radius.  Where all rows are fresh, a pair is looked for from
+one side only: the row with the smaller fingerprint or, where the block of the
+key differs, with the smaller value of the block.  Every way is exact.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -69,8 +72,8 @@ class JoinLimits:
 DEFAULT_LIMITS = JoinLimits()
 
 
-# What a row does in a tile.
-BOTH, PROBE, OTHER = 0, 1, 2
+# What a row does in a tile; flipped probes are there for another value of their block.
+BOTH, PROBE, OTHER, FLIPPED = 0, 1, 2, 3
 # Columns of a row in a tile; the others are its place.
 ROW_COLUMNS = ("id", "phash", "fresh", "role")
 # Comparisons done by one NumPy call; small enough for the caches.
@@ -102,15 +105,17 @@ def with_keys(rows: DataFrame, scheme: KeyScheme, level: int = 1) -> DataFrame:
 def with_probe_keys(rows: DataFrame, scheme: KeyScheme | RadiusScheme) -> DataFrame:
     """Like :func:`with_keys`, with the keys that only a fresh row has as a probe.
 
-    ``other`` marks the keys under which a row is found.
+    ``other`` marks the keys under which a row is found.  One way, a row probes
+    the larger values only: of two values the one without the highest differing bit is smaller.
     """
     if isinstance(scheme, KeyScheme):
         return with_keys(rows, scheme).withColumn("other", F.lit(True))
-    keys = ", ".join(f"struct({no} as no, {signed(mask)}L as mask, {signed(flip)}L as flip)"
-                     for no, mask, flip in scheme.entries)
+    top = [1 << flip.bit_length() - 1 if flip and scheme.one_way else 0 for _, _, flip in scheme.entries]
+    keys = ", ".join(f"struct({no} as no, {signed(mask)}L as mask, {signed(flip)}L as flip, {signed(high)}L as top)"
+                     for (no, mask, flip), high in zip(scheme.entries, top))
     return (
         rows.withColumn("_k", F.explode(F.expr(f"array({keys})")))
-        .where("fresh or _k.flip = 0L")
+        .where("(fresh or _k.flip = 0L) and (phash & _k.top) = 0L")
         .withColumns({
             "no1": F.col("_k.no"),
             "key1": F.col("phash").bitwiseAND(F.col("_k.mask")).bitwiseXOR(F.col("_k.flip")),
@@ -126,7 +131,8 @@ def _join_keyed(left: DataFrame, right: DataFrame, schemes: list[KeyScheme | Rad
     tests = []
     for level in range(1, len(schemes) + 1):
         tests += [f"x.no{level} = y.no{level}", f"x.key{level} = y.key{level}"]
-    tests += ["(x.phash < y.phash or not y.fresh)", f"bit_count({difference}) <= {distance}"]
+    flipped = " or not x.other" if schemes[0].one_way else ""
+    tests += [f"(x.phash < y.phash or not y.fresh{flipped})", f"bit_count({difference}) <= {distance}"]
     for level, scheme in enumerate(schemes, start=1):
         if len(scheme.blocks) > 1:
             tests.append(scheme.owned_sql(difference, f"x.no{level}"))
@@ -138,34 +144,46 @@ def _join_keyed(left: DataFrame, right: DataFrame, schemes: list[KeyScheme | Rad
     )
 
 
-def _close(left: np.ndarray, right: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Places in ``left`` and ``right``, and distances, of the close pairs, by blocks."""
+def _close(left: np.ndarray, right: np.ndarray, distance: int, larger: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
+    """Places in ``left`` and ``right``, and distances, of the close pairs, by blocks.
+
+    With ``larger`` both are sorted as signed numbers, and only pairs whose right
+    one is larger are needed (others may come with them).
+    """
     if not len(left) or not len(right):
         return
     # Tests are read eight at a time, since almost all of them fail.
     width = -(-len(right) // 8) * 8
     padded = np.resize(right, width)
-    step = max(1, BLOCK_COMPARISONS // width)
-    difference = np.empty((step, width), dtype=np.uint64)
-    apart, near = np.empty((step, width), dtype=np.uint8), np.empty((step, width), dtype=bool)
-    for start in range(0, len(left), step):
-        rows = min(step, len(left) - start)
-        np.bitwise_xor(left[start : start + rows, None], padded[None, :], out=difference[:rows])
-        np.bitwise_count(difference[:rows], out=apart[:rows])
-        np.less_equal(apart[:rows], distance, out=near[:rows])
-        eights = np.flatnonzero(near[:rows].reshape(-1).view(np.uint64))
+    skipped = np.zeros(len(left), dtype=np.int64)
+    if larger:
+        skipped = np.searchsorted(right.view(np.int64), left.view(np.int64), side="right") // 8 * 8
+    size = max(BLOCK_COMPARISONS, width)
+    differences = np.empty(size, dtype=np.uint64)
+    counts, tests = np.empty(size, dtype=np.uint8), np.empty(size, dtype=bool)
+    start = 0
+    while start < len(left) and skipped[start] < width:
+        skip = int(skipped[start])
+        wide = width - skip
+        rows = min(max(1, BLOCK_COMPARISONS // wide), len(left) - start)
+        difference, apart, near = (x[: rows * wide].reshape(rows, wide) for x in (differences, counts, tests))
+        np.bitwise_xor(left[start : start + rows, None], padded[None, skip:], out=difference)
+        np.bitwise_count(difference, out=apart)
+        np.less_equal(apart, distance, out=near)
+        eights = np.flatnonzero(near.reshape(-1).view(np.uint64))
         at = (eights[:, None] * 8 + np.arange(8)).reshape(-1)
-        at = at[near.reshape(-1)[at] & (at % width < len(right))]
+        at = at[near.reshape(-1)[at] & (skip + at % wide < len(right))]
         if len(at):
-            yield start + at // width, at % width, apart.reshape(-1)[at]
+            yield start + at // wide, skip + at % wide, apart.reshape(-1)[at]
+        start += rows
 
 
 def _close_in_tiles(bits: np.ndarray, left: np.ndarray, right: np.ndarray, tile: np.ndarray,
-                    distance: int) -> Iterator[tuple[np.ndarray, ...]]:
+                    distance: int, larger: bool) -> Iterator[tuple[np.ndarray, ...]]:
     """Rows, and distances, of the close pairs of each tile.
 
     ``left`` and ``right`` are rows in the order of their ``tile``.  Small tiles
-    are compared many at a time, each larger one by itself.
+    are compared many at a time, each larger one by itself (see :func:`_close` for ``larger``).
     """
     n_tiles = int(tile[-1]) + 1
     n_left, n_right = (np.bincount(tile[side], minlength=n_tiles) for side in (left, right))
@@ -173,7 +191,7 @@ def _close_in_tiles(bits: np.ndarray, left: np.ndarray, right: np.ndarray, tile:
     large = n_left * n_right > SMALL_TILE
     for t in np.flatnonzero(large):
         rows, others = left[left_end[t] - n_left[t] : left_end[t]], right[right_end[t] - n_right[t] : right_end[t]]
-        for i, j, apart in _close(bits[rows], bits[others], distance):
+        for i, j, apart in _close(bits[rows], bits[others], distance, larger):
             yield rows[i], others[j], apart
     rows = left[~large[tile[left]]]
     width, first = n_right[tile[rows]], (right_end - n_right)[tile[rows]]
@@ -199,12 +217,13 @@ def _tile_function(schemes: list[KeyScheme], distance: int, forest: bool) -> Cal
     the keys of their tiles own.
     """
     levels = range(1, len(schemes) + 1)
+    one_way = schemes[0].one_way
 
     def pairs(rows: dict[str, np.ndarray], close: Iterator) -> pd.DataFrame:
         bits, ids, hashes, fresh = rows["phash"].view(np.uint64), rows["id"], rows["phash"], rows["fresh"]
         found = [np.empty((0, 3), dtype=np.int64)]
         for i, j, apart in close:
-            mine = np.flatnonzero((hashes[i] < hashes[j]) | ~fresh[j])
+            mine = np.flatnonzero((hashes[i] < hashes[j]) | ~fresh[j] | (one_way & (rows["role"][i] == FLIPPED)))
             if len(mine):
                 i, j, apart = i[mine], j[mine], apart[mine]
                 keep = np.ones(len(i), dtype=bool)
@@ -237,16 +256,23 @@ def _tile_function(schemes: list[KeyScheme], distance: int, forest: bool) -> Cal
 
     def compare(given: pd.DataFrame) -> pd.DataFrame:
         place = [given[c].to_numpy() for c in given.columns if c not in ROW_COLUMNS]
-        order = np.lexsort(place)
+        order = np.lexsort([given["phash"].to_numpy(), *place])
         new = np.zeros(len(given), dtype=bool)
         for column in place:
             new[1:] |= np.diff(column[order]) != 0
         rows = {c: given[c].to_numpy()[order] for c in given.columns}
         rows["fresh"] = rows["fresh"].astype(bool)
-        left = np.flatnonzero(rows["fresh"] & (rows["role"] != OTHER))
-        right = np.flatnonzero(rows["role"] != PROBE)
-        close = _close_in_tiles(rows["phash"].view(np.uint64), left, right, np.cumsum(new), distance)
-        return (links if forest else pairs)(rows, close)
+        bits, tile, role = rows["phash"].view(np.uint64), np.cumsum(new), rows["role"]
+        left = rows["fresh"] & (role != OTHER)
+        right = (role == BOTH) | (role == OTHER)
+        # In a pair of fresh rows that are there for their own value, the smaller one looks for the larger.
+        # With flips that go both ways, of two values either may find the other.
+        larger = bool(rows["fresh"].all()) and (one_way or isinstance(schemes[0], KeyScheme))
+        close = [
+            _close_in_tiles(bits, np.flatnonzero(left & own), np.flatnonzero(right), tile, distance, larger and sorted_)
+            for own, sorted_ in ((role != FLIPPED, True), (role == FLIPPED, False))
+        ]
+        return (links if forest else pairs)(rows, chain.from_iterable(close))
 
     return compare
 
@@ -278,9 +304,9 @@ def _tiles(rows: DataFrame, large: DataFrame, schemes: list[KeyScheme], distance
     tasks = max(sent // limits.task_keys, comparisons // limits.task_tile_comparisons)
     cells = F.expr(f"""
         if(_down = 1 and _across = 1,
-          array(struct(if(other, {BOTH}, {PROBE}) as role, 0L as _i, 0L as _j)), concat(
+          array(struct(if(other, {BOTH}, {FLIPPED}) as role, 0L as _i, 0L as _j)), concat(
           if(fresh, transform(sequence(0L, _down - 1),
-                              j -> struct({PROBE} as role, pmod(xxhash64(phash), _across) as _i, j as _j)), array()),
+                              j -> struct(if(other, {PROBE}, {FLIPPED}) as role, pmod(xxhash64(phash), _across) as _i, j as _j)), array()),
           if(other, transform(sequence(0L, _across - 1),
                               i -> struct({OTHER} as role, i as _i, pmod(xxhash64(phash), _down) as _j)), array())))""")
     placed = (
@@ -349,15 +375,15 @@ def _search(rows: DataFrame, distance: int, scratch: Scratch, forest: bool, limi
         count, cost = block_count(distance, n_fresh, n_rows)
         # One block more than wrong bits gives the equal blocks above.
         if limits.radii_blocks or (count <= distance and cost < scheme.cost(n_fresh, n_rows)):
-            scheme = choose_radii(rows, distance, limits.radii_blocks or count)
+            scheme = choose_radii(rows, distance, limits.radii_blocks or count, n_fresh == n_rows)
     n_keys = n_rows * n_masks
     if isinstance(scheme, RadiusScheme):
-        n_keys = n_fresh * len(scheme.entries) + (n_rows - n_fresh) * len(scheme.blocks)
+        n_keys = n_fresh * len(scheme.entries) // (1 + scheme.one_way) + n_rows * len(scheme.blocks)
     return _search_keyed(with_probe_keys(rows, scheme), [scheme], n_rows, n_keys, n_fresh == n_rows,
                          distance, scratch, forest, limits)
 
 
-def choose_radii(rows: DataFrame, distance: int, count: int) -> RadiusScheme:
+def choose_radii(rows: DataFrame, distance: int, count: int, one_way: bool = False) -> RadiusScheme:
     """Radii for ``count`` blocks by the counted values of every block.
 
     The counts are bounded by the number of values: 2 ** 13 for each of five blocks.
@@ -368,7 +394,7 @@ def choose_radii(rows: DataFrame, distance: int, count: int) -> RadiusScheme:
     counted = rows.select("fresh", values).groupBy("no", "value").agg(F.count("*"), F.count_if("fresh"))
     for no, value, n_rows, n_fresh in counted.collect():
         counts[0][no][value], counts[1][no][value] = n_rows, n_fresh
-    return RadiusScheme(blocks, allot_radii(distance, *counts)[0])
+    return RadiusScheme(blocks, allot_radii(distance, *counts)[0], one_way)
 
 
 def _search_keyed(keyed: DataFrame, schemes: list[KeyScheme], most: int, n_keys: int, all_fresh: bool,

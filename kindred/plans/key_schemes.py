@@ -64,6 +64,8 @@ class KeyScheme:
 
     blocks: tuple[int, ...]
     agree: int
+    # Rows only meet under values of their own; see RadiusScheme.
+    one_way = False
 
     @property
     def key_masks(self) -> tuple[int, ...]:
@@ -146,11 +148,13 @@ class RadiusScheme:
     """Blocks (bit masks) and the wrong bits allowed in each; -1 leaves a block out.
 
     A probe has a key for every value within the radius, a stored row only its
-    own value.  A pair is reported by its first block within the radius.
+    own value.  A pair is reported by its first block within the radius.  One way
+    (all rows probe), a row only probes the values larger than its own.
     """
 
     blocks: tuple[int, ...]
     radii: tuple[int, ...]
+    one_way: bool = False
 
     @property
     def entries(self) -> tuple[tuple[int, int, int], ...]:
