@@ -7,8 +7,8 @@ when it votes, and the share of good documents.  A document is kept if its poste
 reaches ``threshold`` and it passes the base checks.
 
 All that the estimation needs is the number of documents per pattern of votes.
-There are at most 3 ** 8 patterns whatever the size of the input, so each round
-is an aggregate over a tiny table, and the posteriors come back by broadcast.
+There are at most 3 ** 8 patterns whatever the size of the input, so all rounds
+are one expression over a small array, and the model comes back as literals.
 
 Nulls: a null text has no words; a document without words fails the base
 checks.  Repeated rows give repeated results.  An empty table gives an empty
@@ -18,6 +18,7 @@ result.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -153,36 +154,87 @@ def posterior(model: dict) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-_log_odds(model)))
 
 
+def _clamped(value: Column, least: Column | float, most: float) -> Column:
+    return F.least(F.greatest(value, least if isinstance(least, Column) else F.lit(least)), F.lit(most))
+
+
+def _round(patterns: Column, model: Column) -> Column:
+    """The model after one round over the array of patterns ``votes, n``.
+
+    Posterior-weighted right votes over posterior-weighted votes, by rule.
+    """
+    zeros = F.array_repeat(F.lit(0.0), len(RULES))
+
+    def weighed(pattern: Column) -> Column:
+        def evidence(i: int) -> Column:
+            vote, right_good, right_bad = (F.get(x, F.lit(i)) for x in (pattern["votes"], model["right_good"], model["right_bad"]))
+            return (
+                F.when(vote > 0, F.log(right_good / (1 - right_bad)))
+                .when(vote < 0, F.log((1 - right_good) / right_bad))
+                .otherwise(0.0)
+            )
+
+        odds = reduce(lambda x, y: x + y, map(evidence, range(len(RULES))), F.log(model["good"] / (1 - model["good"])))
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
+        return F.struct(pattern["votes"].alias("votes"), pattern["n"].alias("n"), p.alias("p"))
+
+    def added(sums: Column, pattern: Column) -> Column:
+        good, bad = pattern["n"] * pattern["p"], pattern["n"] * (1 - pattern["p"])
+
+        def by_rule(name: str, weight: Column, counts: Callable[[Column], Column]) -> Column:
+            plus = F.zip_with(sums[name], pattern["votes"], lambda x, vote: x + F.when(counts(vote), weight).otherwise(0.0))
+            return plus.alias(name)
+
+        return F.struct(
+            (sums["n"] + pattern["n"]).alias("n"),
+            (sums["good"] + good).alias("good"),
+            by_rule("right_good", good, lambda vote: vote > 0),
+            by_rule("voted_good", good, lambda vote: vote != 0),
+            by_rule("right_bad", bad, lambda vote: vote < 0),
+            by_rule("voted_bad", bad, lambda vote: vote != 0),
+        )
+
+    def updated(sums: Column) -> Column:
+        def share(kind: str, first: float) -> Column:
+            return F.zip_with(sums[f"right_{kind}"], sums[f"voted_{kind}"], lambda right, voted: (right + first) / (voted + 1))
+
+        good, bad = share("good", FIRST_ACCURACIES[0]), share("bad", FIRST_ACCURACIES[1])
+        good = F.transform(good, lambda x: _clamped(x, LEAST_GOOD, MOST_ACCURACY))
+        bad = F.zip_with(bad, good, lambda x, y: _clamped(x, F.greatest(F.lit(LEAST_BAD), 1 + MARGIN - y), MOST_ACCURACY))
+        return F.struct(
+            _clamped((sums["good"] + 1) / (sums["n"] + 2), 0.01, 0.99).alias("good"),
+            good.alias("right_good"),
+            bad.alias("right_bad"),
+        )
+
+    none = F.struct(
+        F.lit(0).cast("bigint").alias("n"),
+        F.lit(0.0).alias("good"),
+        *[zeros.alias(name) for name in ("right_good", "voted_good", "right_bad", "voted_bad")],
+    )
+    return F.aggregate(F.transform(patterns, weighed), none, added, updated)
+
+
 def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> dict:
     """Accuracies per rule and the share of good documents, from ``vote_*, n``.
 
     A rule has two accuracies: how often its vote is right on good documents
-    and how often on bad ones.  Each round is one aggregate: posterior-weighted
-    right votes over posterior-weighted votes.  With no documents the first
-    guess stays.
+    and how often on bad ones.  The patterns (3 ** 8 at most) are gathered in
+    one array, in a fixed order, and all rounds are one expression over it:
+    one plan whatever the number of rounds.  With no documents the first guess
+    stays.
     """
-    model = dict.fromkeys(RULES, FIRST_ACCURACIES) | {"good": FIRST_GOOD}
-    for _ in range(rounds):
-        p = posterior(model)
-        sums = [F.sum("n").alias("n"), F.sum(F.col("n") * p).alias("good")]
-        for rule in RULES:
-            vote, n = F.col(f"vote_{rule}"), F.col("n")
-            sums += [
-                F.sum(F.when(vote > 0, n * p).otherwise(0.0)).alias(f"{rule}_right_good"),
-                F.sum(F.when(vote != 0, n * p).otherwise(0.0)).alias(f"{rule}_good"),
-                F.sum(F.when(vote < 0, n * (1 - p)).otherwise(0.0)).alias(f"{rule}_right_bad"),
-                F.sum(F.when(vote != 0, n * (1 - p)).otherwise(0.0)).alias(f"{rule}_bad"),
-            ]
-        found = patterns.agg(*sums).first()
-        if not found["n"]:
-            break
-        model["good"] = min(max((found["good"] + 1) / (found["n"] + 2), 0.01), 0.99)
-        for rule in RULES:
-            good = (found[f"{rule}_right_good"] + FIRST_ACCURACIES[0]) / (found[f"{rule}_good"] + 1)
-            bad = (found[f"{rule}_right_bad"] + FIRST_ACCURACIES[1]) / (found[f"{rule}_bad"] + 1)
-            good = min(max(good, LEAST_GOOD), MOST_ACCURACY)
-            model[rule] = good, min(max(bad, LEAST_BAD, 1 + MARGIN - good), MOST_ACCURACY)
-    return model
+    first = F.struct(
+        F.lit(FIRST_GOOD).alias("good"),
+        *[F.array_repeat(F.lit(x), len(RULES)).alias(n) for n, x in zip(("right_good", "right_bad"), FIRST_ACCURACIES)],
+    )
+    pattern = F.struct(F.array(*[f"vote_{rule}" for rule in RULES]).alias("votes"), F.col("n").cast("bigint").alias("n"))
+    gathered = patterns.agg(F.sort_array(F.collect_list(pattern)).alias("patterns"))
+    done = F.slice(F.sequence(F.lit(0), F.lit(rounds)), 2, rounds)
+    done = F.when(F.size("patterns") > 0, done).otherwise(F.slice(done, 1, 0))
+    found = gathered.select(F.aggregate(done, first, lambda model, _: _round(F.col("patterns"), model)).alias("m")).first()["m"]
+    accuracies = zip(found["right_good"], found["right_bad"])
+    return dict(zip(RULES, accuracies)) | {"good": found["good"]}
 
 
 def _judged(docs: DataFrame, scratch: Scratch, row: Column, text: str, rounds: int, threshold: float) -> DataFrame:
@@ -194,9 +246,7 @@ def _judged(docs: DataFrame, scratch: Scratch, row: Column, text: str, rounds: i
     stats = base_statistics(docs.select(row.alias("row"), F.col(text).alias("text"))).drop("text")
     voted = scratch.keep(stats.withColumns({f"vote_{rule}": v.cast("int") for rule, v in _votes().items()}), "votes")
     votes = [f"vote_{rule}" for rule in RULES]
-    counted = scratch.keep(voted.groupBy(*votes).agg(F.count("*").alias("n")), "counted")
-    patterns = scratch.keep(counted.coalesce(1), "patterns")  # a few thousand rows at most
-    model = estimate(patterns, rounds)
+    model = estimate(voted.groupBy(*votes).agg(F.count("*").alias("n")), rounds)
     base_failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
     )

@@ -12,7 +12,7 @@ import xxhash
 from kindred.llm import simhash_links
 from kindred.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from kindred.llm.packing import best_filling, best_fit_packing, lower_bound, packing_plan
-from kindred.llm.quality_rules import good_documents, quality_rules
+from kindred.llm.quality_rules import FIRST_ACCURACIES, FIRST_GOOD, RULES, estimate, good_documents, quality_rules
 from kindred.llm.simhash_links import (
     covering_triples,
     drop_near_duplicates,
@@ -105,6 +105,22 @@ def test_good_documents_keep_all_columns(spark, scratch):
     assert good_documents(frame(spark, []), scratch).count() == 0
 
 
+def test_rounds_of_the_estimate_are_one_plan(spark):
+    """Every round used to be planned and compiled anew by the driver, which filled its memory."""
+    votes = [tuple((i // 3**k) % 3 - 1 for k in range(len(RULES))) + (i % 7 + 1,) for i in range(0, 3 ** len(RULES), 5)]
+    patterns = spark.createDataFrame(votes, ", ".join(f"vote_{rule} int" for rule in RULES) + ", n bigint")
+    tracker, jobs = spark.sparkContext.statusTracker(), {}
+    for rounds in (1, 12):
+        spark.sparkContext.setJobGroup(f"estimate {rounds}", "")
+        found = estimate(patterns, rounds)
+        jobs[rounds] = len(tracker.getJobIdsForGroup(f"estimate {rounds}"))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert jobs[12] == jobs[1]
+    assert found != estimate(patterns, 1)
+    first = dict.fromkeys(RULES, FIRST_ACCURACIES) | {"good": FIRST_GOOD}
+    assert estimate(patterns, 0) == estimate(patterns.limit(0)) == first
+
+
 # --- SimHash -----------------------------------------------------------------
 
 
