@@ -9,7 +9,8 @@ are compared as arrays, in tiles of bounded size that are spread over the
 cluster, which is many times faster per comparison.  Very large ones are first
 keyed a second time with other blocks.  At large distances blocks may differ
 by radii chosen from their counted values: probes then have a key for every
-value within the radius.  Where all rows are fresh, a pair is looked for from
+value within the radius, or for every region of values that reaches into it.
+Where all rows are fresh, a pair is looked for from
 one side only: the row with the smaller fingerprint or, where the block of the
 key differs, with the smaller value of the block.  Every way is exact.
 """
@@ -37,6 +38,7 @@ from kindred.plans.key_schemes import (
     choose_scheme,
     contiguous_blocks,
     long_array,
+    region_bits,
     signed,
 )
 from kindred.sources.scratch import Scratch
@@ -67,6 +69,10 @@ class JoinLimits:
     # and their number where it is not to be chosen by cost.
     radii_from: int = 8
     radii_blocks: int = 0
+    # Rows of one region of block values at most (regions are weighed from as many
+    # rows on), and the number of blocks with regions where it is not to be chosen by cost.
+    region_rows: int = 262_144
+    region_blocks: int = 0
 
 
 DEFAULT_LIMITS = JoinLimits()
@@ -87,6 +93,9 @@ LARGEST_TILE = 8192
 # Rows and comparisons that are handed to Python at a time, in whole tiles.
 BUNDLE_ROWS = 2 * LARGEST_TILE
 BUNDLE_COMPARISONS = LARGEST_TILE * LARGEST_TILE
+# Rows per value that a region is divided down to, and close pairs handed on at a time.
+VALUE_ROWS = 32
+FOUND_PAIRS = 65_536
 
 
 def distinct_hashes(images: DataFrame) -> DataFrame:
@@ -209,6 +218,58 @@ def _close_in_tiles(bits: np.ndarray, left: np.ndarray, right: np.ndarray, tile:
         start = end
 
 
+def _close_in_regions(rows: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray, tile: np.ndarray,
+                      scheme: RadiusScheme, distance: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Like :func:`_close_in_tiles`; only values within the radius of the block are compared.
+
+    What the regions of the two sides differ by is taken off the radius; the
+    rest of it bounds how far the values inside the regions may be apart.
+    """
+    bits = rows["phash"].view(np.uint64)
+    n_tiles = int(tile[-1]) + 1
+    n_left, n_right = (np.bincount(tile[side], minlength=n_tiles) for side in (left, right))
+    left_end, right_end = np.cumsum(n_left), np.cumsum(n_right)
+    found, n_found = [], 0
+    for t in np.flatnonzero((n_left > 0) & (n_right > 0)):
+        mine, others = left[left_end[t] - n_left[t] : left_end[t]], right[right_end[t] - n_right[t] : right_end[t]]
+        no = int(rows["no1"][others[0]])
+        block, mask, radius = scheme.blocks[no], scheme.masks[no], scheme.radii[no]
+        inside = block & ~mask
+        width = min(inside.bit_count(), max(0, (len(others) // VALUE_ROWS).bit_length() - 1))
+        low, values = inside.bit_length() - width, np.uint64((1 << width) - 1)
+        apart_outside = np.bitwise_count((bits[mine] ^ bits[others[0]]) & np.uint64(mask)).astype(np.int64)
+        value = (bits[others] >> np.uint64(low) & values).astype(np.int64)
+        others = others[np.argsort(value, kind="stable")]
+        other_bits = bits[others]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << width))])
+        place = apart_outside << width | (bits[mine] >> np.uint64(low) & values).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        mine, place = mine[order], place[order]
+        cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(place)]
+        wrong = np.bitwise_count(np.arange(1 << width))
+        flips = [np.flatnonzero(wrong <= radius - outside) for outside in range(radius + 1)]
+        for start, end in zip(cuts, cuts[1:]):
+            outside, own = divmod(int(place[start]), 1 << width)
+            near = flips[outside] ^ own
+            sizes = ends[near + 1] - ends[near]
+            done = np.cumsum(sizes)
+            if not done[-1]:
+                continue
+            which = np.repeat(ends[near] - (done - sizes), sizes) + np.arange(done[-1])
+            for i, j, apart in _close(bits[mine[start:end]], other_bits[which], distance):
+                found.append((mine[start + i], others[which[j]], apart))
+                n_found += len(i)
+            if n_found >= FOUND_PAIRS:
+                yield tuple(np.concatenate(column) for column in zip(*found))
+                found, n_found = [], 0
+    if found:
+        yield tuple(np.concatenate(column) for column in zip(*found))
+
+
+def _by_regions(schemes: list[KeyScheme | RadiusScheme]) -> bool:
+    return len(schemes) == 1 and isinstance(schemes[0], RadiusScheme) and bool(schemes[0].regions)
+
+
 def _tile_function(schemes: list[KeyScheme], distance: int, forest: bool) -> Callable:
     """Function that compares the two sides of every tile it is given.
 
@@ -265,6 +326,9 @@ def _tile_function(schemes: list[KeyScheme], distance: int, forest: bool) -> Cal
         bits, tile, role = rows["phash"].view(np.uint64), np.cumsum(new), rows["role"]
         left = rows["fresh"] & (role != OTHER)
         right = (role == BOTH) | (role == OTHER)
+        if _by_regions(schemes):
+            found = _close_in_regions(rows, np.flatnonzero(left), np.flatnonzero(right), tile, schemes[0], distance)
+            return (links if forest else pairs)(rows, found)
         # In a pair of fresh rows that are there for their own value, the smaller one looks for the larger.
         # With flips that go both ways, of two values either may find the other.
         larger = bool(rows["fresh"].all()) and (one_way or isinstance(schemes[0], KeyScheme))
@@ -292,14 +356,19 @@ def _tiles(rows: DataFrame, large: DataFrame, schemes: list[KeyScheme], distance
     keys = _key_columns(len(schemes))
     largest = max(limits.tile_rows, LARGEST_TILE)
     side = f"least({largest}, greatest({limits.tile_rows}, ceil({{0}} / {GRID})))"
+    across, down = side.format("n_fresh"), side.format("n_rows")
+    regions = _by_regions(schemes)
+    if regions:
+        across, down = 2 * limits.region_rows, limits.region_rows
     grid = large.select(
         *keys, "n_rows", "n_fresh", "n_keys",
-        F.expr(f"ceil(n_fresh / {side.format('n_fresh')})").alias("_across"),
-        F.expr(f"ceil(n_rows / {side.format('n_rows')})").alias("_down"),
+        F.expr(f"ceil(n_fresh / {across})").alias("_across"),
+        F.expr(f"ceil(n_rows / {down})").alias("_down"),
     )
-    sent, comparisons = grid.agg(
+    sent, comparisons, tiles = grid.agg(
         F.sum(F.expr("if(_down = 1 and _across = 1, n_keys, n_rows * _across + n_fresh * _down)")),
         F.sum(F.expr("n_rows * n_fresh")),
+        F.sum(F.expr("_across * _down")),
     ).first()
     tasks = max(sent // limits.task_keys, comparisons // limits.task_tile_comparisons)
     cells = F.expr(f"""
@@ -316,10 +385,12 @@ def _tiles(rows: DataFrame, large: DataFrame, schemes: list[KeyScheme], distance
     )
     place = [*keys, "_i", "_j"]
     bundles = int(max(tasks, sent // BUNDLE_ROWS, comparisons // BUNDLE_COMPARISONS)) + 1
+    if regions:  # a tile is large enough to be a task
+        tasks, bundles = tiles, 4 * tiles
     placed = placed.withColumn("_bundle", F.expr(f"pmod(xxhash64({', '.join(place)}), {bundles})"))
+    dealt = placed.repartition(int(tasks), "_bundle") if regions else _spread(placed, ["_bundle"], tasks)
     return (
-        _spread(placed, ["_bundle"], tasks)
-        .groupBy("_bundle")
+        dealt.groupBy("_bundle")
         .applyInPandas(_tile_function(schemes, distance, forest), "a bigint, b bigint, distance bigint")
     )
 
@@ -372,10 +443,13 @@ def _search(rows: DataFrame, distance: int, scratch: Scratch, forest: bool, limi
         probes = F.broadcast(with_keys(rows.where("fresh"), scheme))
         return _join_keyed(probes, with_keys(side, scheme), [scheme], distance)
     if distance >= limits.radii_from:
-        count, cost = block_count(distance, n_fresh, n_rows)
+        by_regions = limits.region_blocks or (n_rows >= limits.region_rows and not limits.radii_blocks)
+        region_rows = limits.region_rows if by_regions else 0
+        wanted = limits.region_blocks or limits.radii_blocks
+        count, cost = block_count(distance, n_fresh, n_rows, region_rows)
         # One block more than wrong bits gives the equal blocks above.
-        if limits.radii_blocks or (count <= distance and cost < scheme.cost(n_fresh, n_rows)):
-            scheme = choose_radii(rows, distance, limits.radii_blocks or count, n_fresh == n_rows)
+        if wanted or (count <= distance and cost < scheme.cost(n_fresh, n_rows)):
+            scheme = choose_radii(rows, distance, wanted or count, n_fresh == n_rows, region_rows)
     n_keys = n_rows * n_masks
     if isinstance(scheme, RadiusScheme):
         n_keys = n_fresh * len(scheme.entries) // (1 + scheme.one_way) + n_rows * len(scheme.blocks)
@@ -383,8 +457,9 @@ def _search(rows: DataFrame, distance: int, scratch: Scratch, forest: bool, limi
                          distance, scratch, forest, limits)
 
 
-def choose_radii(rows: DataFrame, distance: int, count: int, one_way: bool = False) -> RadiusScheme:
-    """Radii for ``count`` blocks by the counted values of every block.
+def choose_radii(rows: DataFrame, distance: int, count: int, one_way: bool = False,
+                 region_rows: int = 0) -> RadiusScheme:
+    """Radii for ``count`` blocks, and regions of ``region_rows`` rows at most, by the counted values of every block.
 
     The counts are bounded by the number of values: 2 ** 13 for each of five blocks.
     """
@@ -394,7 +469,8 @@ def choose_radii(rows: DataFrame, distance: int, count: int, one_way: bool = Fal
     counted = rows.select("fresh", values).groupBy("no", "value").agg(F.count("*"), F.count_if("fresh"))
     for no, value, n_rows, n_fresh in counted.collect():
         counts[0][no][value], counts[1][no][value] = n_rows, n_fresh
-    return RadiusScheme(blocks, allot_radii(distance, *counts)[0], one_way)
+    regions = tuple(region_bits(all_rows, region_rows) for all_rows in counts[0]) if region_rows else ()
+    return RadiusScheme(blocks, allot_radii(distance, *counts, region_rows)[0], one_way, regions)
 
 
 def _search_keyed(keyed: DataFrame, schemes: list[KeyScheme], most: int, n_keys: int, all_fresh: bool,
@@ -410,10 +486,12 @@ def _search_keyed(keyed: DataFrame, schemes: list[KeyScheme], most: int, n_keys:
             "large",
         )
         last = len(schemes) == 2
-        tiled = large if last else large.where(F.col("n_keys") <= limits.rekey_rows)
+        # Regions are made for tiles: only a single value can have more rows than these hold.
+        size, most_rows = ("n_rows", limits.region_rows) if _by_regions(schemes) else ("n_keys", limits.rekey_rows)
+        tiled = large if last else large.where(F.col(size) <= most_rows)
         if not tiled.isEmpty():
             found.append(_tiles(keyed, tiled, schemes, distance, forest, limits))
-        huge = large.where(F.col("n_keys") > limits.rekey_rows)
+        huge = large.where(F.col(size) > most_rows)
         size = None if last else huge.agg(F.max("n_rows"), F.max("n_fresh"), F.sum("n_keys")).first()
         if size and size[0] is not None:
             crowded = _meet(keyed, huge, keys, "left_semi", limits)

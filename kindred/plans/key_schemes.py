@@ -11,7 +11,10 @@ At large distances such keys are short or very many.  There a block may differ
 by a radius of its own (general pigeonhole principle, Qin et al., ICDE 2018):
 where the radii plus one sum to ``k + 1``, some block of a similar pair lies
 within its radius.  ``allot_radii`` chooses them from counted block values, so
-that crowded blocks get small radii or none.
+that crowded blocks get small radii or none.  A key for every value within a
+radius is many keys; with regions a key is only the leading bits of a block,
+as few as leave regions of bounded size, and the values within the radius are
+found inside the tiles.
 """
 
 from __future__ import annotations
@@ -149,21 +152,34 @@ class RadiusScheme:
 
     A probe has a key for every value within the radius, a stored row only its
     own value.  A pair is reported by its first block within the radius.  One way
-    (all rows probe), a row only probes the values larger than its own.
+    (all rows probe), a row only probes the values larger than its own.  With
+    ``regions`` the values are those of so many leading bits of each block.
     """
 
     blocks: tuple[int, ...]
     radii: tuple[int, ...]
     one_way: bool = False
+    regions: tuple[int, ...] = ()
+
+    @property
+    def masks(self) -> tuple[int, ...]:
+        """The bits of each block that are its key."""
+        if not self.regions:
+            return self.blocks
+        leading = []
+        for block, bits in zip(self.blocks, self.regions):
+            low = (block & -block).bit_length() - 1 + block.bit_count() - bits
+            leading.append(block >> low << low)
+        return tuple(leading)
 
     @property
     def entries(self) -> tuple[tuple[int, int, int], ...]:
-        """Number of the block, its mask and flipped bits, for every key of a probe."""
+        """Number of the block, the mask of its key and flipped bits, for every key of a probe."""
         return tuple(
-            (no, block, sum(flipped))
-            for no, (block, radius) in enumerate(zip(self.blocks, self.radii))
+            (no, mask, sum(flipped))
+            for no, (mask, radius) in enumerate(zip(self.masks, self.radii))
             for count in range(radius + 1)
-            for flipped in combinations([1 << b for b in range(HASH_BITS) if block >> b & 1], count)
+            for flipped in combinations([1 << b for b in range(HASH_BITS) if mask >> b & 1], count)
         )
 
     def owned_sql(self, difference: str, no: str) -> str:
@@ -180,7 +196,8 @@ class RadiusScheme:
         keep = np.ones(len(difference), dtype=bool)
         for at, (block, radius) in enumerate(zip(self.blocks, self.radii)):
             if radius >= 0:
-                keep &= (np.bitwise_count(difference & np.uint64(block)) > radius) | (at >= np.asarray(no))
+                far = np.bitwise_count(difference & np.uint64(block)) > radius
+                keep &= np.where(at == np.asarray(no), ~far, far | (at > np.asarray(no)))
         return keep
 
 
@@ -206,16 +223,23 @@ def comparisons_by_radius(rows: np.ndarray, fresh: np.ndarray) -> list[float]:
     return np.cumsum([float(rows @ counts) for counts in apart]).tolist()
 
 
-def allot_radii(distance: int, rows: list[np.ndarray], fresh: list[np.ndarray]) -> tuple[tuple[int, ...], float]:
+def region_bits(rows: np.ndarray, most: int) -> int:
+    """Fewest leading bits whose values have at most ``most`` rows each; all bits for ``most`` 0."""
+    width = (len(rows) - 1).bit_length()
+    return next((bits for bits in range(width) if rows.reshape(1 << bits, -1).sum(axis=1).max() <= most), width)
+
+
+def allot_radii(distance: int, rows: list[np.ndarray], fresh: list[np.ndarray],
+                region_rows: int = 0) -> tuple[tuple[int, ...], float]:
     """Radii of the least estimated cost, and that cost, from the counts per block value."""
     best = {0: (0.0, ())}
     for all_rows, probes in zip(rows, fresh):
-        width = (len(all_rows) - 1).bit_length()
+        width = region_bits(all_rows, region_rows)
         n_rows, n_probes = float(all_rows.sum()), float(probes.sum())
         costs = {-1: 0.0}
         for radius, compared in enumerate(comparisons_by_radius(all_rows, probes)):
             keys = n_rows - n_probes + n_probes * ball(width, radius)
-            if max(n_rows, n_probes * ball(width, radius)) > TILE_FROM * len(all_rows):
+            if max(n_rows, n_probes * ball(width, radius)) > TILE_FROM << width:
                 cost = keys * (KEY_ROW_COST + TILE_ROW_COST) + compared * TILE_COMPARISON_COST + len(all_rows) * TILE_COST
             else:
                 cost = keys * KEY_ROW_COST + compared
@@ -232,7 +256,7 @@ def allot_radii(distance: int, rows: list[np.ndarray], fresh: list[np.ndarray])
     return radii, cost
 
 
-def block_count(distance: int, probes: int, rows: int) -> tuple[int, float]:
+def block_count(distance: int, probes: int, rows: int, region_rows: int = 0) -> tuple[int, float]:
     """Number of blocks with radii that is cheapest on uniform hashes, and its cost."""
     found = []
     for count in range(min(LEAST_BLOCKS, distance + 1), distance + 2):
@@ -240,6 +264,6 @@ def block_count(distance: int, probes: int, rows: int) -> tuple[int, float]:
         if max(sizes) > 1 << -(-HASH_BITS // LEAST_BLOCKS):
             continue
         spread = [[np.full(size, n / size) for size in sizes] for n in (rows, probes)]
-        found.append((allot_radii(distance, *spread)[1], count))
+        found.append((allot_radii(distance, *spread, region_rows)[1], count))
     cost, count = min(found, default=(float("inf"), 0))
     return count, cost

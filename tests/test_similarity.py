@@ -1,6 +1,8 @@
 import random
+from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 
 import entry_queries.similarity
@@ -47,6 +49,13 @@ RADII = {
     "radii_listed": JoinLimits(broadcast_keys=0, bucket_rows=4, rekey_rows=64, tile_rows=16, large_buckets=0,
                                radii_blocks=10),
 }
+# Regions of one value to many, tiles cut into a grid, single values with more rows than a region.
+REGIONS = {
+    "whole": JoinLimits(broadcast_keys=0, bucket_rows=1, region_blocks=5),
+    "small": JoinLimits(broadcast_keys=0, bucket_rows=1, region_blocks=6, region_rows=40),
+    "crowded": JoinLimits(broadcast_keys=0, bucket_rows=1, region_blocks=5, region_rows=12, tile_rows=16),
+    "few": JoinLimits(broadcast_keys=0, bucket_rows=60, region_blocks=9, region_rows=90),
+}
 FORMS = {"broadcast": BROADCAST, "shuffled": SHUFFLED, "rekeyed": REKEYED, "tiled": TILED, "listed": LISTED}
 
 
@@ -168,6 +177,59 @@ def test_pairs_by_radii_equal_brute_force(spark, scratch, form, free_bits, part)
     assert set(found) == {p for p in pairs(rows, 12) if p[0] in fresh or p[1] in fresh}
 
 
+@pytest.mark.parametrize("form", REGIONS)
+@pytest.mark.parametrize("free_bits, part", [(64, 1), (24, 1), (64, 4)])
+def test_pairs_by_regions_equal_brute_force(spark, scratch, form, free_bits, part):
+    rows = unique(planted(150, 60 + part, free_bits))
+    fresh = {i for i in rows if i % part == 0}
+    df = scratch.keep(
+        images(spark, rows).select(
+            F.col("image_id").alias("id"), "phash", F.col("image_id").isin(fresh).alias("fresh")
+        ), "rows",
+    )
+    found = [tuple(r) for r in similar_pairs(df, 12, scratch, REGIONS[form]).collect()]
+    assert len(found) == len(set(found))
+    assert set(found) == {p for p in pairs(rows, 12) if p[0] in fresh or p[1] in fresh}
+
+
+@pytest.mark.parametrize("form", REGIONS)
+def test_groups_by_regions_equal_brute_force(spark, scratch, form):
+    rows = planted(200, 82, 30)
+    found = cluster(images(spark, rows), 80, scratch, REGIONS[form])
+    assert {r.image_id: r.group_id for r in found.collect()} == groups(rows, 12)
+
+
+@pytest.mark.parametrize("value_rows", [1, 4, 1000])
+@pytest.mark.parametrize("bits", [0, 2, 11])
+def test_values_inside_regions_equal_brute_force(monkeypatch, value_rows, bits):
+    """A tile whose probes come from all regions within the radius, divided down to few rows a value."""
+    monkeypatch.setattr(similarity, "VALUE_ROWS", value_rows)
+    monkeypatch.setattr(similarity, "FOUND_PAIRS", 50)
+    scheme = RadiusScheme(contiguous_blocks(5), (2, 2, 3, 1, 0), True, (bits,) * 5)
+    rng = random.Random(bits)
+    values = sorted(unique(planted(300, 90)).values(), key=lambda _: rng.random())
+    values += [signed((v ^ (1 << rng.randrange(64))) & (1 << 64) - 1) for v in values[:100]]
+    found, n_rows = [], 0
+    for no, mask, key in {(no, mask, v & mask) for no, mask in enumerate(scheme.masks) for v in values}:
+        flips = {signed(flip) for at, _, flip in scheme.entries if at == no}
+        rows = [(i, v, True, similarity.BOTH if (v & mask) == key else similarity.FLIPPED)
+                for i, v in enumerate(values) if (v & mask) == key or (v & mask) < key and signed((v & mask) ^ key) in flips]
+        given = pd.DataFrame(rows, columns=["id", "phash", "fresh", "role"]).assign(no1=no, key1=key, _i=0, _j=0)
+        found += similarity._tile_function([scheme], 12, False)(given)[["a", "b"]].itertuples(index=False, name=None)
+        n_rows += len(rows)
+    want = [(i, j) for (i, x), (j, y) in combinations(enumerate(values), 2) if x != y and bin((x ^ y) & (1 << 64) - 1).count("1") <= 12]
+    assert sorted(found) == want
+
+
+def test_regions_cost_less_than_equal_blocks_or_values():
+    """At 2.5 million hashes and 80%: what is estimated to be moved and compared."""
+    n = 2_500_000
+    count, cost = block_count(12, n, n, JoinLimits().region_rows)
+    assert count <= 12
+    assert cost < choose_scheme(12, n, n).cost(n, n) / 2
+    assert cost < block_count(12, n, n)[1]
+
+
 @pytest.mark.parametrize("form", ["radii", "radii_tiled", "radii_rekeyed"])
 def test_groups_by_radii_equal_brute_force(spark, scratch, form):
     rows = planted(200, 81, 30)
