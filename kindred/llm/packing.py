@@ -41,9 +41,9 @@ SEARCH_NODES = 2000
 # Steps and seconds of the search for a plan with fewer sequences.
 PLAN_NODES = 20_000
 PLAN_SECONDS = 60.0
-# Words that a Python worker remembers, and bytes of text split at once.
-KNOWN_WORDS = 1_000_000
-BYTES_AT_ONCE = 3 << 20
+# Words that a Python worker remembers (and their bytes), bytes of text split and new words encoded at once.
+KNOWN_WORDS, KNOWN_BYTES = 500_000, 16 << 20
+BYTES_AT_ONCE, WORDS_AT_ONCE = 3 << 20, 8_000
 ROWS_PER_SALT, LEAST_SALTS = 20_000, 32
 
 # A word that cannot be part of another one marks the ends of words.
@@ -51,7 +51,10 @@ _MARK = "\x00"
 
 
 class WordIds:
-    """Token ids of white-space words, remembered up to ``KNOWN_WORDS``.
+    """Token ids of white-space words, remembered up to ``KNOWN_WORDS`` and ``KNOWN_BYTES``.
+
+    A worker keeps this between tasks, beside the memory of all later steps, so
+    words stay in Arrow and no Python object stays per word.
 
     Valid for tokenizers that never join text across ASCII white space and drop
     it; :func:`tokenizer_is_by_word` tests that.
@@ -66,7 +69,7 @@ class WordIds:
 
     def _clear(self) -> None:
         # The empty word, between white space and the end of a text, has no ids.
-        self._number: dict[bytes, int] = {b"": 0}
+        self._words = pa.array([""], pa.string())
         self._flat = np.zeros(0, np.uint32)
         self._starts = np.zeros(2, np.int64)
 
@@ -81,32 +84,35 @@ class WordIds:
         is_mark = ids == self._mark[0]
         return ids[~is_mark], np.diff(np.flatnonzero(is_mark), prepend=-1) - 1
 
-    def _learn(self, new: Iterable[bytes]) -> None:
-        number = self._number
-        at = len(number)
-        words = []
-        for at, w in enumerate(new, at):
-            number[w] = at
-            words.append(w.decode("utf-8", "replace"))
-        found, lengths = self._encode_words(words)
-        self._flat = np.concatenate((self._flat, found))
-        self._starts = np.concatenate((self._starts, self._starts[-1] + np.cumsum(lengths)))
+    def _learn(self, new: pa.Array) -> None:
+        found, lengths = [self._flat], []
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            words = new.slice(at, WORDS_AT_ONCE).cast(pa.binary()).to_pylist()
+            ids, own = self._encode_words([w.decode("utf-8", "replace") for w in words])
+            found.append(ids)
+            lengths.append(own)
+        self._words = pa.concat_arrays([self._words, new])
+        self._flat = np.concatenate(found)
+        self._starts = np.concatenate((self._starts, self._starts[-1] + np.cumsum(np.concatenate(lengths))))
 
     def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids per text (strings, none null).
 
-        Splitting and numbering of the words stay in Arrow; Python sees each
-        distinct word once.
+        Splitting and numbering of the words stay in Arrow; Python sees new
+        words only.
         """
         parts = pc.ascii_split_whitespace(texts)
         coded = parts.flatten().dictionary_encode()
-        words = coded.dictionary.cast(pa.binary()).to_pylist()
-        if len(self._number) > KNOWN_WORDS:
+        words = coded.dictionary
+        if len(self._words) > KNOWN_WORDS or self._words.nbytes + words.nbytes > KNOWN_BYTES:
             self._clear()
-        new = [w for w in words if w not in self._number]
-        if new:
+        number = pc.index_in(words, value_set=self._words)
+        is_new = pc.is_null(number)
+        number = number.fill_null(0).to_numpy().astype(np.int64)
+        new = words.filter(is_new)
+        if len(new):
+            number[is_new.to_numpy(zero_copy_only=False)] = np.arange(len(self._words), len(self._words) + len(new))
             self._learn(new)
-        number = np.fromiter(map(self._number.__getitem__, words), np.int64, len(words))
         at = number[coded.indices.to_numpy()]
         sizes = self._starts[at + 1] - self._starts[at] if len(at) else np.zeros(0, np.int64)
         ends = np.cumsum(sizes)
@@ -171,6 +177,9 @@ def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
                 end = max(at + 1, int(np.searchsorted(upto, upto[at] + BYTES_AT_ONCE, "right")) - 1)
                 yield pieces(batch["doc_id"].slice(at, end - at).to_pylist(), texts.slice(at, end - at))
                 at = end
+            # Idle workers stay beside the steps that follow.
+            batch = texts = None
+            pa.default_memory_pool().release_unused()
 
     return run
 

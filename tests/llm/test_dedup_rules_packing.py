@@ -11,7 +11,7 @@ import xxhash
 
 from kindred.llm import simhash_links
 from kindred.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
-from kindred.llm.packing import best_filling, best_fit_packing, lower_bound, packing_plan
+from kindred.llm.packing import WordIds, best_filling, best_fit_packing, lower_bound, packing_plan
 from kindred.llm.quality_rules import FIRST_ACCURACIES, FIRST_GOOD, RULES, estimate, good_documents, quality_rules
 from kindred.llm.simhash_links import (
     covering_triples,
@@ -258,6 +258,45 @@ def test_packing_matches_the_tokenizer(spark, scratch):
     assert best_fit_packing(frame(spark, []), scratch, path).count() == 0
 
 
+def test_remembered_words_take_little_memory(monkeypatch):
+    import gc
+    import tracemalloc
+
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from kindred.llm import packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    texts = [" ".join(f"w{n:x}" for n in range(at, at + 500)) for at in range(0, 40_000, 500)] + ["", " a  a\x00b ", "w1f w1f"]
+    want = [plain.encode(x, add_special_tokens=False).ids for x in texts]
+
+    def held_after(at_once: int) -> int:
+        known = WordIds(path)
+        gc.collect()
+        tracemalloc.start()
+        before = pa.total_allocated_bytes()
+        for at in range(0, len(texts), at_once):
+            ids, sizes = known.of_texts(pa.array(texts[at : at + at_once], pa.string()))
+            assert ids.tolist() == [x for own in want[at : at + at_once] for x in own]
+            assert sizes.tolist() == [len(own) for own in want[at : at + at_once]]
+            del ids, sizes
+        gc.collect()
+        held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+        tracemalloc.stop()
+        return held
+
+    assert held_after(10) < 64 * 40_000
+    # Forgotten words are learnt again; many bytes of words are forgotten like many words.
+    monkeypatch.setattr(packing, "KNOWN_BYTES", 30_000)
+    assert held_after(1) < 200_000
+    monkeypatch.setattr(packing, "KNOWN_BYTES", 1 << 20)
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 700)
+    assert held_after(1) < 200_000
+
+
 def test_best_filling_wastes_least():
     rng = np.random.default_rng(5)
     for _ in range(60):
