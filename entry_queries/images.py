@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from entry_queries.derived import components_sql, write_colour_images, write_images
 from kindred.operators import clustering, grouping
-from kindred.sources.images import decoded_images, fingerprint_files
-from kindred.sources.listing import few_file_tasks, list_images, list_images_hadoop, qualified
+from kindred.sources.images import decode_shards, fingerprint_files
+from kindred.sources.listing import list_images, list_images_hadoop, qualified
 from kindred.sources.report import SUMMARY_KEYS, report_lines
 from kindred.sources.scratch import Scratch
 
@@ -40,9 +40,12 @@ def image_listing_hadoop(spark, sf_dir):
 def image_decode(spark, sf_dir):
     scratch, root = _folder(spark, sf_dir)
     sizes = [F.col(c).cast("bigint").alias(c) for c in ("height", "width", "channels")]
-    found = decoded_images(spark, root).select(_relative(F.col("path"), root).alias("path"), *sizes)
-    with few_file_tasks(spark):
-        return scratch.keep(found, "decoded")
+    path = _relative(F.col("path"), root).alias("path")
+    files = list_images(spark, root, scratch)
+    return decode_shards(
+        spark, files, lambda decoded: decoded.select(path, *sizes),
+        "path string, height bigint, width bigint, channels bigint", scratch,
+    )
 
 
 def _hashed(spark, sf_dir, write=write_images):

@@ -169,44 +169,68 @@ def few_listing_tasks(spark: SparkSession):
     return setting(spark, name, spark.sparkContext.defaultParallelism)
 
 
-def hash_files_jvm(spark: SparkSession, files: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """Like :func:`hash_files`, decoded by the ``image`` source of Spark.
+def no_listing_cache(spark: SparkSession):
+    """Nothing kept of listings while a job is run; by default Spark keeps 250 MB of them on the driver."""
+    return setting(spark, "spark.sql.hive.filesourcePartitionFileCacheSize", 0)
 
-    For clusters without Pillow.  Files are read by name, in shards by a hash
-    of the path, so the driver holds the names of ``SHARDS_AT_ONCE`` shards however
-    many files there are; while it looks up the files of one, others are decoded.  Pixels are hashed where they are decoded; only the hashes are
-    joined with the listing.  The source cannot read names that start with
-    ``.`` or ``_``: they get an error that says so.
+
+def decode_shards(
+    spark: SparkSession, files: DataFrame, each: Callable[[DataFrame], DataFrame], schema: str, scratch: Scratch
+) -> DataFrame:
+    """What ``each`` makes of the images of a listing, decoded by the ``image`` source of Spark.
+
+    ``each`` turns images as of :func:`decoded_images` into rows of ``schema``;
+    paths of local files come without a scheme.  Files are read by name, in
+    shards by a hash of the path, so the driver holds the names of
+    ``SHARDS_AT_ONCE`` shards however many files there are; while it looks up
+    the files of one, others are decoded.  The source cannot read names that
+    start with ``.`` or ``_``: they give no row.
     """
-    scratch = scratch or Scratch(spark)
-    listed = files.select("path", "size", "modified_ns", F.regexp_replace("path", "^file:/+", "/").alias("plain"))
-    shards = max(1, -(-listed.count() // SHARD_PATHS))
+    shards = max(1, -(-files.count() // SHARD_PATHS))
+    plain = F.regexp_replace("path", "^file:/+", "/")
     named = scratch.folder("shards")
     (
-        listed.where(~F.col("path").rlike(HIDDEN_NAME))
+        files.where(~F.col("path").rlike(HIDDEN_NAME))
+        .select(plain.alias("plain"))
         .select("plain", F.expr(f"cast(pmod(xxhash64(plain), {shards}) as int)").alias("shard"))
         .repartition("shard")
         .write.partitionBy("shard")
         .parquet(named)
     )
     by_shard = spark.read.schema("plain string, shard int").parquet(named)
-    done = scratch.folder("hashes")
+    done = scratch.folder("decoded")
 
-    def hash_shard(shard: int) -> bool:
+    def decode_shard(shard: int) -> bool:
         paths = [row.plain for row in by_shard.where(F.col("shard") == shard).select("plain").collect()]
         if paths:
             literal = [re.sub(r"([\[\]{}*?\\])", r"\\\1", path) for path in paths]
-            decoded = decoded_images(spark, literal)
-            decoded = decoded.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+            decoded = decoded_images(spark, literal).withColumn("path", plain)
             # A folder each: of two jobs that append to one, the first to end removes the files of the other.
-            decoded.mapInPandas(_hash_decoded, HASHED_SCHEMA).write.parquet(f"{done}/part={shard}")
+            each(decoded).write.parquet(f"{done}/part={shard}")
         return bool(paths)
 
-    with small_batches(spark), few_listing_tasks(spark), few_file_tasks(spark), ThreadPool(SHARDS_AT_ONCE) as pool:
-        found = pool.map(hash_shard, range(shards), chunksize=1)
-    hashed = spark.createDataFrame([], HASHED_SCHEMA)
+    with (
+        small_batches(spark), few_listing_tasks(spark), few_file_tasks(spark), no_listing_cache(spark),
+        ThreadPool(SHARDS_AT_ONCE) as pool,
+    ):
+        found = pool.map(decode_shard, range(shards), chunksize=1)
     if any(found):
-        hashed = spark.read.schema(HASHED_SCHEMA).parquet(done).drop("part")
+        return spark.read.schema(schema).parquet(done).drop("part")
+    return spark.createDataFrame([], schema)
+
+
+def hash_files_jvm(spark: SparkSession, files: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """Like :func:`hash_files`, decoded by the ``image`` source of Spark.
+
+    For clusters without Pillow.  Pixels are hashed where they are decoded,
+    shard by shard; only the hashes are joined with the listing.  Names that
+    start with ``.`` or ``_`` get an error that says so.
+    """
+    scratch = scratch or Scratch(spark)
+    listed = files.select("path", "size", "modified_ns", F.regexp_replace("path", "^file:/+", "/").alias("plain"))
+    hashed = decode_shards(
+        spark, files, lambda decoded: decoded.mapInPandas(_hash_decoded, HASHED_SCHEMA), HASHED_SCHEMA, scratch
+    )
     missing = F.when(F.col("path").rlike(HIDDEN_NAME), HIDDEN_ERROR).otherwise(UNKNOWN_ERROR)
     return listed.join(hashed.withColumnRenamed("path", "plain"), "plain", "left").select(
         "path", "size", "modified_ns", "phash",

@@ -16,6 +16,7 @@ from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from entry_queries import images as entry_images
 from entry_queries.images import _IMAGES_SQL
 from kindred.functions import image_hash
 from kindred.runs import KEPT_VERSIONS, group_folder, sync
@@ -200,6 +201,44 @@ def test_shards_are_read_side_by_side(spark, scratch, tmp_path, monkeypatch):
     assert {r.path: r.phash for r in found.collect()} == want and len(want) == 12
 
 
+def test_image_decode_names_its_files_shard_by_shard(spark, monkeypatch):
+    """One read of the whole folder keeps all its files on the driver."""
+    given, read = [], images.decoded_images
+
+    def seen(spark, paths):
+        given.append([paths] if isinstance(paths, str) else paths)
+        return read(spark, paths)
+
+    monkeypatch.setattr(images, "decoded_images", seen)
+    monkeypatch.setattr(entry_images, "decoded_images", seen, raising=False)
+    monkeypatch.setattr(images, "SHARD_PATHS", 500)
+    cache = "spark.sql.hive.filesourcePartitionFileCacheSize"
+    before = spark.conf.get(cache)
+    found = entry_images.image_decode(spark, "/root/testdata/sf0.001")
+    assert found.dtypes == [("path", "string")] + [(c, "bigint") for c in ("height", "width", "channels")]
+    rows = found.collect()
+    assert len({r.path for r in rows}) == len(rows) == 2000 and {tuple(r)[1:] for r in rows} == {(32, 32, 1)}
+    assert len(given) == 4 and max(map(len, given)) < 700 and sum(map(len, given)) == 2000
+    assert spark.conf.get(cache) == before
+
+
+def test_shards_give_every_image_the_source_can_read(spark, scratch, folder, monkeypatch):
+    schema = "path string, height int, width int, channels int"
+    columns = [name.split()[0] for name in schema.split(", ")]
+    files = list_images(spark, str(folder), scratch)
+    plain = F.regexp_replace("path", "^file:/+", "/").alias("path")
+    # A read of the folder also has linked folders and other files, but no folder whose name starts with _.
+    listed = {r.path for r in files.collect()}
+    whole = decoded_images(spark, [str(folder), str(folder / "_u" / "c.png")]).select(plain, *columns[1:]).collect()
+    want = sorted(tuple(r) for r in whole if r.path in listed)
+    monkeypatch.setattr(images, "SHARD_PATHS", 2)
+    found = images.decode_shards(spark, files, lambda decoded: decoded.select(*columns), schema, scratch)
+    assert sorted(map(tuple, found.collect())) == want and len(want) == 8
+    assert (str(folder / "bad.jpg"), -1, -1, -1) in want and str(folder / ".hid.png") not in {row[0] for row in want}
+    none = images.decode_shards(spark, files.limit(0), lambda decoded: decoded.select(*columns), schema, scratch)
+    assert none.columns == columns and none.count() == 0
+
+
 def test_a_missing_module_fails_the_run(spark, scratch, folder, tmp_path):
     def broken(content):
         raise ImportError("no decoder here")
